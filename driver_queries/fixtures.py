@@ -71,24 +71,28 @@ VIEWS = {
 _built: dict[tuple[str, str, str], str] = {}
 
 
-def _path(spark: SparkSession, sf_dir: str, name: str, write: Callable[[DataFrame, str], None]) -> str:
-    """Path of a view written once per application to the shared folder, as input files would lie there."""
+def built(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Path of an input written once per application to the shared folder, as input files would lie there."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _built:
-        for table in BASE_TABLES:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
         path = new_path(spark, name)
-        write(spark.sql(VIEWS[name]), path)
+        write(path)
         _built[key] = path
     return _built[key]
 
 
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for table in BASE_TABLES:
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    return spark.sql(VIEWS[name])
+
+
 def postings_path(spark: SparkSession, sf_dir: str) -> str:
-    return _path(spark, sf_dir, "fx_postings", write_year)
+    return built(spark, sf_dir, "fx_postings", lambda path: write_year(_view(spark, sf_dir, "fx_postings"), path))
 
 
 def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    return _path(spark, sf_dir, name, write_table)
+    return built(spark, sf_dir, name, lambda path: write_table(_view(spark, sf_dir, name), path))
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +105,3 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(spark, sf_dir, "fx_link"))
-
-
-def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")

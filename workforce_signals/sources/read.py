@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,15 +25,18 @@ _SKILL_YEAR_FILES = "[0-9][0-9][0-9][0-9]_skills_counts_co"
 _PEEK_THREADS = 16
 
 
+def _glob(spark: SparkSession, pattern: str) -> list[str]:
+    """Files and folders matching a path or glob, by one listing of the file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(status.getPath().toString() for status in found or ())
+
+
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Files matching a path or glob, sorted; an empty list when there are none."""
-    try:
-        found = spark.read.format("binaryFile").load(pattern).inputFiles()
-    except PySparkException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """Data files matching a path or glob, those inside matching folders too; sorted."""
+    if not _glob(spark, pattern):
         return []
-    return sorted(unquote(f) for f in found)
+    return sorted(unquote(f) for f in spark.read.format("binaryFile").load(pattern).inputFiles())
 
 
 def require_input(spark: SparkSession, pattern: str) -> list[str]:
@@ -88,8 +92,8 @@ def parquet_parts(spark: SparkSession, pattern: str) -> list[DataFrame]:
     """Parquet files as one scan, or as one scan per schema where column types disagree."""
     try:
         return [spark.read.option("mergeSchema", True).parquet(pattern)]
-    except PySparkException as error:
-        if error.getCondition() != "CANNOT_MERGE_SCHEMAS":
+    except (PySparkException, Py4JJavaError) as error:
+        if "CANNOT_MERGE_SCHEMAS" not in str(error):
             raise
     files = require_input(spark, pattern)
     groups = _by_schema(files, lambda f: spark.read.parquet(f).schema)
@@ -170,14 +174,14 @@ def read_postings(
     ``root`` holds either one folder per year (``2010/parquet/*.parquet``) or the
     ``year=...`` partitions that ``ingest_postings`` writes. A filter on ``year`` skips the rest.
     """
-    partitioned = list_files(spark, f"{root}/year=*")
-    if partitioned:
+    if _glob(spark, f"{root}/year=*"):
         table = spark.read.option("mergeSchema", True).parquet(root)
         table = conform(table, schema, keep=[F.col("year").cast("int").alias("year")])
         return table if years is None else table.where(F.col("year").isin(list(years)))
     if years is None:
-        files = require_input(spark, f"{root}/[0-9][0-9][0-9][0-9]/parquet/*.parquet")
-        years = {int(re.search(r"/(\d{4})/parquet/[^/]+$", f).group(1)) for f in files}
+        years = [int(p.split("/")[-2]) for p in _glob(spark, f"{root}/[0-9][0-9][0-9][0-9]/parquet")]
+        if not years:
+            raise FileNotFoundError(f"no year folders in {root}")
     parts = []
     for year in sorted(years):
         pattern = f"{root}/{year}/parquet/*.parquet"
@@ -190,11 +194,12 @@ def read_skill_years(spark: SparkSession, path: str) -> DataFrame:
     """Skill counts of all years: yearly files, Parquet before CSV, or ``year=...`` partitions."""
     for fmt in ("parquet", "csv"):
         pattern = f"{path}/{_SKILL_YEAR_FILES}.{fmt}"
-        if list_files(spark, pattern):
+        if _glob(spark, pattern):
             table = read_united(spark, pattern, schemas.SKILL_YEAR, fmt, with_file=True)
             year = F.regexp_extract("filename", rf"/([0-9]{{4}})_skills_counts_co\.{fmt}(?:/[^/]*)?$", 1)
             return table.select(year.cast("int").alias("year"), *schemas.SKILL_YEAR.names)
-    require_input(spark, f"{path}/year=*")
+    if not _glob(spark, f"{path}/year=*"):
+        raise FileNotFoundError(f"no yearly skill counts in {path}")
     table = spark.read.option("mergeSchema", True).parquet(path)
     return conform(table, schemas.SKILL_YEAR, keep=[F.col("year").cast("int").alias("year")]).select(
         "year", *schemas.SKILL_YEAR.names
@@ -202,7 +207,7 @@ def read_skill_years(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_profiles_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, every column as text."""
+    """A CSV with a header, every column as text; empty values, quoted or not, are NULL."""
     require_input(spark, path)
     return spark.read.options(**CSV_OPTIONS).csv(path)
 
