@@ -1,0 +1,59 @@
+from conftest import rows
+
+import workforce_signals as ws
+
+FLAGGED = "id string, company_name_raw string, year int, ai_related int"
+LINK = "ID double, NAME string, GVKEY string"
+
+
+def test_person_counts_once_per_firm_and_year(spark):
+    flagged = spark.createDataFrame(
+        [("1", "Firm 1", 2000, 0), ("1", "Firm 1", 2000, 1), ("2", "Firm 1", 2000, 0), ("1", " firm 1", 2000, 0)], FLAGGED
+    )
+    assert rows(ws.company_year_person(flagged)) == [
+        ("firm 1", " firm 1", 2000, "1", 0),
+        ("firm 1", "Firm 1", 2000, "1", 1),
+        ("firm 1", "Firm 1", 2000, "2", 0),
+    ]
+    assert rows(ws.company_year_share(flagged)) == [(" firm 1", 2000, 1, 0, 0.0), ("Firm 1", 2000, 2, 1, 0.5)]
+
+
+def test_share_keeps_null_firms(spark):
+    flagged = spark.createDataFrame([("1", None, 2000, 1), (None, None, 2000, 0)], FLAGGED)
+    assert rows(ws.company_year_share(flagged)) == [(None, 2000, 2, 1, 0.5)]
+
+
+def share(spark, *companies):
+    return spark.createDataFrame([(c, 0.5) for c in companies], "company string, ai_job_share double")
+
+
+def test_link_by_id(spark):
+    link = spark.createDataFrame([(12.0, "F", "001"), (12.0, "F2", "002"), (None, None, "999")], LINK)
+    found = ws.link_by_id(share(spark, "12.0", "12", "abc", None, "13"), link)
+    assert found.columns == ["company", "ai_job_share", "company_num", "ID", "NAME", "GVKEY"]
+    assert rows(found, "company", "GVKEY") == [("12", "001"), ("12", "002"), ("12.0", "001"), ("12.0", "002")]
+    nullsafe = ws.link_by_id(share(spark, "12d", "abc", None), link, null_keys_match=True)
+    assert rows(nullsafe, "company", "GVKEY") == [(None, "999"), ("12d", "999"), ("abc", "999")]
+
+
+def test_nan_in_the_link_table_is_no_id(spark):
+    link = spark.createDataFrame([(float("nan"), None, "999")], LINK)
+    assert rows(ws.link_by_id(share(spark, "nan", "abc"), link)) == []
+    assert len(rows(ws.link_by_id(share(spark, "nan", "abc"), link, null_keys_match=True))) == 2
+
+
+def test_link_by_name(spark):
+    measure = spark.createDataFrame(
+        [("F", 2009, 1.0), ("F", 2010, 1.0), ("F", 2024, 1.0), ("F", 2025, 1.0), ("f", 2010, 1.0), (None, 2010, 1.0)],
+        "company_name string, year int, ai_measure double",
+    )
+    link = spark.createDataFrame([(1.0, "F", "001"), (None, None, "999")], LINK)
+    assert rows(ws.link_by_name(measure, link), "company_name", "year") == [("F", 2010), ("F", 2024)]
+    assert (None, 2010) in rows(ws.link_by_name(measure, link, null_keys_match=True), "company_name", "year")
+
+
+def test_lookup_and_order(spark):
+    df = spark.createDataFrame([(2, "b"), (1, None), (1, "a"), (None, "c")], "id bigint, v string")
+    assert rows(ws.lookup(df, 1), "v") == [(None,), ("a",)]
+    found = [tuple(r) for r in ws.order_output(df, "-id", "v").collect()]
+    assert found == [(2, "b"), (1, "a"), (1, None), (None, "c")]

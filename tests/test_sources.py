@@ -1,0 +1,171 @@
+import gzip
+
+import pytest
+from conftest import rows
+
+import workforce_signals as ws
+from workforce_signals.plans import stored
+from workforce_signals.sources import schemas
+from workforce_signals.sources.ingest import csv_to_parquet, ingest_postings, read_raw_postings
+
+COUNTS = "year int, skill string, cnt bigint, co_jobs_with_ai bigint"
+
+
+def table(spark, *values):
+    return spark.createDataFrame(list(values), "skill string, cnt bigint")
+
+
+def test_missing_input_fails_at_once(spark, tmp_path):
+    for read in (ws.read_postings, ws.read_skill_years, ws.read_table, ws.read_profiles_csv, read_raw_postings):
+        with pytest.raises(FileNotFoundError):
+            read(spark, str(tmp_path / "none"))
+    with pytest.raises(FileNotFoundError):
+        ws.require_input(spark, str(tmp_path / "*.parquet"))
+    with pytest.raises(FileNotFoundError):
+        ws.read_postings(spark, str(tmp_path), years=[2010])
+    assert ws.list_files(spark, str(tmp_path / "*.csv")) == []
+
+
+def test_postings_of_year_folders(spark, tmp_path):
+    def write(df, year):
+        df.write.mode("append").parquet(f"{tmp_path}/{year}/parquet")
+
+    write(spark.createDataFrame([(1, "a", "12", "F")], "id bigint, skills_name string, company string, company_name string"), 2010)
+    write(spark.createDataFrame([("b", 2.0, 7.0)], "skills_name string, id double, company double"), 2010)
+    write(spark.createDataFrame([(3, "c", 1)], "id int, skills_name string, other int"), 2011)
+    found = ws.read_postings(spark, str(tmp_path))
+    assert found.columns == ["id", "company", "company_name", "skills_name", "year"]
+    assert rows(found) == [
+        (1, "12", "F", "a", 2010),
+        (2, "7.0", None, "b", 2010),
+        (3, None, None, "c", 2011),
+    ]
+    assert rows(ws.read_postings(spark, str(tmp_path), years=[2011]), "id") == [(3,)]
+
+
+def test_parquet_before_csv(spark, tmp_path):
+    base = str(tmp_path / "scores")
+    ws.write_table(table(spark, ("csv", 1)), base + ".csv", "csv")
+    assert rows(ws.read_table(spark, base)) == [("csv", 1)]
+    ws.write_table(table(spark, ("parquet", 1)), base + ".parquet")
+    assert rows(ws.read_table(spark, base)) == [("parquet", 1)]
+    assert rows(ws.read_table(spark, base, schema=schemas.SKILL_YEAR)) == [("parquet", 1, None)]
+    with pytest.raises(ValueError):
+        ws.write_table(table(spark), base, "orc")
+
+
+def test_csv_keeps_quotes_blanks_and_line_breaks(spark, tmp_path):
+    values = [('say "hi", you', 1), (" padded ", 2), ("two\nlines", 3), ("back\\slash", 4), (None, 5)]
+    ws.write_table(table(spark, *values), str(tmp_path / "t.csv"), "csv")
+    assert rows(ws.read_table(spark, str(tmp_path / "t.csv"))) == rows(table(spark, *values))
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("skill,cnt,co_jobs_with_ai\nx,1,0\n")
+    (tmp_path / "b.csv").write_text("cnt,skill\n2.0,y\n")
+    found = ws.read_table(spark, f"{tmp_path}/*.csv", "csv", schemas.SKILL_YEAR)
+    assert rows(found) == [("x", 1, 0), ("y", 2, None)]
+
+
+def test_yearly_files(spark, tmp_path):
+    ws.write_table(table(spark, ("c", 1)), f"{tmp_path}/2010_skills_counts_co.csv", "csv")
+    assert rows(ws.read_skill_years(spark, str(tmp_path))) == [(2010, "c", 1, None)]
+    ws.write_table(table(spark, ("p", 1)), f"{tmp_path}/2011_skills_counts_co.parquet")
+    ws.write_table(table(spark, ("q", 1)), f"{tmp_path}/2012_skills_counts_co.parquet")
+    ws.write_table(table(spark, ("n", 1)), f"{tmp_path}/all_years_skills_counts_co.parquet")
+    assert rows(ws.read_skill_years(spark, str(tmp_path))) == [(2011, "p", 1, None), (2012, "q", 1, None)]
+
+
+def test_rewriting_one_year_leaves_the_others(spark, tmp_path):
+    path = str(tmp_path / "t")
+    ws.write_year(spark.createDataFrame([(2010, "a", 1, 0), (2011, "a", 1, 0)], COUNTS), path)
+    ws.write_year(spark.createDataFrame([(2011, "b", 2, 1)], COUNTS), path)
+    assert rows(ws.read_skill_years(spark, path)) == [(2010, "a", 1, 0), (2011, "b", 2, 1)]
+
+
+def test_rows_are_counted_by_the_write(spark, tmp_path):
+    df = spark.range(1000)
+    assert ws.write_counted(df, str(tmp_path / "t")) == 1000
+    assert ws.write_counted(df.where("id < 0"), str(tmp_path / "u")) == 0
+    assert rows(ws.row_count(df)) == [(1000,)]
+
+
+def test_profiles_csv_is_all_text(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('ID,IS_CURRENT,DESCRIPTION_RAW\n007,1,"two\nlines"\n8,,""\n')
+    found = ws.read_profiles_csv(spark, str(tmp_path / "p.csv"))
+    assert rows(found) == [("007", "1", "two\nlines"), ("8", None, None)]
+
+
+def test_link_table(spark, tmp_path):
+    (tmp_path / "link.csv").write_text(",ID,NAME,GVKEY,CIK\n0,12,F,001234,5\n1,,,009999,\n")
+    found = ws.read_link(spark, str(tmp_path / "link"))
+    assert found.columns == ["ID", "NAME", "GVKEY", "CIK"]
+    assert rows(found) == [(None, None, "009999", None), (12.0, "F", "001234", "5")]
+
+
+def test_csv_folder_to_parquet(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.csv").write_text("id,company_name\n1,NA\n2,F\n")
+    (tmp_path / "src" / "b.csv").write_text("company_name,id,x\nG,3,y\n")
+    csv_to_parquet(spark, str(tmp_path / "src"), str(tmp_path / "dst"))
+    assert rows(spark.read.parquet(str(tmp_path / "dst"))) == [("1", None, None), ("2", "F", None), ("3", "G", "y")]
+    csv_to_parquet(spark, str(tmp_path / "src"), str(tmp_path / "typed"), schemas.PROFILE)
+    typed = spark.read.parquet(str(tmp_path / "typed"))
+    assert rows(typed, "id", "company_name", "title_raw") == [(1, None, None), (2, "F", None), (3, "G", None)]
+
+
+def extract(path, header, *lines):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with gzip.open(path, "wt") as out:
+        out.write("\n".join([",".join(header), *lines]) + "\n")
+
+
+def test_ingest(spark, tmp_path):
+    names = schemas.RAW_POSTING.names
+    root = tmp_path / "raw"
+    line = "{0},d,0,p,e,1,{1},t,c,a|b,s"
+    extract(root / "2010" / "jan 1+2" / "x.csv.gz", [*names, "body"], line.format(1, "F") + ",text", line.format("2.0", "NA") + ",text")
+    extract(root / "2010" / "feb" / "x.csv.gz", ["body", *names], "text," + line.format(3, '"G, ""H"""'))
+    extract(root / "2011" / "jan" / "x.csv.gz", names, line.format(4, ""))
+    found = read_raw_postings(spark, str(root))
+    assert rows(found, "id", "company_name", "year", "month") == [
+        (1, "F", 2010, "jan 1+2"),
+        (2, None, 2010, "jan 1+2"),
+        (3, 'G, "H"', 2010, "feb"),
+        (4, None, 2011, "jan"),
+    ]
+    dst = str(tmp_path / "out")
+    ingest_postings(spark, str(root), dst)
+    table = spark.read.parquet(dst)
+    assert table.columns == [*names, "year", "month"]
+    assert rows(ws.reconcile_counts(found, table)) == [(4, 4, 0)]
+    ingest_postings(spark, str(root), dst, years=[2011])
+    postings = ws.read_postings(spark, dst)
+    assert rows(postings, "id", "year") == [(1, 2010), (2, 2010), (3, 2010), (4, 2011)]
+    assert rows(ws.read_postings(spark, dst, years=[2011]), "id") == [(4,)]
+    extract(root / "2012" / "jan" / "x.csv.gz", names[1:], "d")
+    with pytest.raises(ValueError, match="id"):
+        read_raw_postings(spark, str(root))
+
+
+def test_file_row_counts(spark, tmp_path):
+    for name, n in (("a", 2), ("b", 3)):
+        (tmp_path / f"{name}.csv").write_text("id\n" + "1\n" * n)
+    scan = spark.read.option("header", True).csv(f"{tmp_path}/*.csv")
+    found = ws.file_row_counts(ws.with_source_file(scan), "Total")
+    assert [(r["filename"].split("/")[-1], r["nrows"]) for r in found.collect()] == [("Total", 5), ("a.csv", 2), ("b.csv", 3)]
+
+
+def test_reconcile_by_key(spark):
+    before = spark.createDataFrame([(2010,), (2010,), (2011,)], "year int")
+    after = spark.createDataFrame([(2010,), (2012,)], "year int")
+    assert rows(ws.reconcile_counts(before, after, by=("year",))) == [(2010, 2, 1, -1), (2011, 1, 0, -1), (2012, 0, 1, 1)]
+
+
+def test_stored_tables_are_measured(spark):
+    table = ws.store(spark.createDataFrame([("é",), (None,)], "s string"), "t")
+    assert (table.rows, table.is_empty, table.is_small) == (2, False, True)
+    assert table.nbytes == 2 + 2 * (stored._ROW_OVERHEAD + 8)
+    assert ws.store(table, "t") is table
+    assert ws.store(spark.createDataFrame([], "s string"), "t").is_empty
+    assert stored.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
