@@ -82,9 +82,10 @@ def built(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], No
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view, in as many pieces as there are cores: inputs are folders of files."""
     for table in BASE_TABLES:
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(VIEWS[name])
+    return spark.sql(VIEWS[name]).repartition(spark.sparkContext.defaultParallelism)
 
 
 def postings_path(spark: SparkSession, sf_dir: str) -> str:

@@ -31,13 +31,14 @@ def _shared_id_postings(spark: SparkSession, sf: str) -> DataFrame:
     return _postings(spark, sf).withColumn("id", F.col("company").try_cast("double").cast("bigint"))
 
 
-def _scores(postings: DataFrame, **options) -> DataFrame:
-    return ws.skill_scores(ws.skill_year_counts(postings), **options)
+def _scores(postings: DataFrame, repeated: ws.Stored | None = None, **options) -> DataFrame:
+    return ws.skill_scores(ws.skill_year_counts(postings, repeated=repeated), **options)
 
 
 def _job_scores(spark: SparkSession, sf: str, **options) -> DataFrame:
     postings = _postings(spark, sf)
-    return ws.job_scores(postings, _scores(postings), **options)
+    repeated = ws.repeated_ids(postings)
+    return ws.job_scores(postings, _scores(postings, repeated), repeated=repeated, **options)
 
 
 def _rounded(jobs: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ from workforce_signals.functions.text import regex_quote
 # Keywords per pattern; longer lists become several patterns over the same text.
 PATTERN_KEYWORDS = 5_000
 
+# Widest choice tried branch by branch, and letters tested ahead before a choice is entered.
 _FANOUT = 4
+_AHEAD = 4
 
 
 def keyword_patterns(keywords: Iterable[str]) -> list[str]:
@@ -35,7 +37,7 @@ def _pattern(words: Sequence[str]) -> str:
     for word in words:
         if not (kept and word.startswith(kept[-1])):
             kept.append(word)
-    return _branches(kept, 0)
+    return _ahead(kept, 0) + _branches(kept, 0)
 
 
 def _branches(words: Sequence[str], depth: int) -> str:
@@ -50,11 +52,11 @@ def _branches(words: Sequence[str], depth: int) -> str:
 
 
 def _choose(heads: dict[str, list[str]], chars: Sequence[str], depth: int) -> str:
-    # Wide choices are halved by a character-class test instead of being tried one by one.
+    # Wide choices are halved, and a half is entered only where the next letters could fit.
     if len(chars) > _FANOUT:
         mid = len(chars) // 2
         options = [
-            f"(?=[{''.join(map(regex_quote, part))}]){_choose(heads, part, depth)}"
+            _ahead([w for ch in part for w in heads[ch]], depth) + _choose(heads, part, depth)
             for part in (chars[:mid], chars[mid:])
         ]
     else:
@@ -62,6 +64,30 @@ def _choose(heads: dict[str, list[str]], chars: Sequence[str], depth: int) -> st
     return f"(?:{'|'.join(options)})"
 
 
+def _ahead(words: Sequence[str], depth: int) -> str:
+    reach = min(_AHEAD, min(map(len, words)) - depth)
+    classes = ({w[depth + i] for w in words} for i in range(reach))
+    return f"(?={''.join('[' + ''.join(map(regex_quote, sorted(c))) + ']' for c in classes)})"
+
+
+def longest_pattern(pieces: Iterable[str]) -> str:
+    """A pattern that matches the longest of ``pieces`` a text begins with."""
+    return r"\A" + _longest(sorted(set(pieces)), 0)
+
+
+def _longest(words: Sequence[str], depth: int) -> str:
+    shared = commonprefix(words)[depth:]
+    depth += len(shared)
+    ends, longer = len(words[0]) == depth, [w for w in words if len(w) > depth]
+    heads: dict[str, list[str]] = {}
+    for word in longer:
+        heads.setdefault(word[depth], []).append(word)
+    if not heads:
+        return regex_quote(shared)
+    choice = "|".join(_longest(group, depth) for group in heads.values())
+    return f"{regex_quote(shared)}(?:{choice}){'?' if ends else ''}"
+
+
 def first_match(text: Column, patterns: Sequence[str]) -> Column:
     """The keyword that starts earliest in ``text``; NULL when none occurs."""
     hits = [F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in patterns]

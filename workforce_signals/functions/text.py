@@ -84,26 +84,22 @@ def blank_to_null(col: Column) -> Column:
 
 def month_start(col: Column) -> Column:
     """First day of a ``YYYY-MM`` month; NULL when the text is not one. Never raises."""
-    month = r"^[\t\n\x0B\f\r ]*([0-9]{1,4})-(0?[1-9]|1[0-2])\z"
-    year = F.regexp_extract(col, month, 1)
-    return F.when(
-        col.rlike(month),
-        F.make_date(year.try_cast("int"), F.regexp_extract(col, month, 2).try_cast("int"), F.lit(1)),
-    )
+    month = r"\A[\t\n\x0B\f\r ]*[0-9]{1,4}-(?:0?[1-9]|1[0-2])\z"
+    year, number = F.substring_index(col, "-", 1), F.substring_index(col, "-", -1)
+    return F.when(col.rlike(month), F.make_date(year.try_cast("int"), number.try_cast("int"), F.lit(1)))
 
 
 def flag_or_zero(col: Column) -> Column:
     """Text to INT, fractions rounded half away from zero; anything unreadable is 0."""
-    text = blank_to_null(col)
-    number = F.when(text.rlike(rf"^\s*{_NUMBER}\s*\z"), text.try_cast("double"))
+    number = F.when(col.rlike(rf"\A\s*{_NUMBER}\s*\z"), col.try_cast("double"))
     return F.coalesce(F.round(number).try_cast("int"), F.lit(0))
 
 
 def number_or_null(col: Column) -> Column:
     """Text to DOUBLE; unreadable text, NaN and overflow become NULL."""
     number = col.try_cast("double")
-    signed_infinity = col.rlike(r"(?i)^\s*[+-]?inf(inity)?\s*\z")
-    finite = col.rlike(rf"^\s*{_NUMBER}\s*\z") & (F.abs(number) < F.lit(float("inf")))
+    signed_infinity = col.rlike(r"(?i)\A\s*[+-]?inf(inity)?\s*\z")
+    finite = col.rlike(rf"\A\s*{_NUMBER}\s*\z") & (F.abs(number) < F.lit(float("inf")))
     return F.when(signed_infinity | finite, number)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workforce_signals.functions.text import blank_to_null, flag_or_zero, id_text, month_start
+from workforce_signals.functions.text import blank_to_null, flag_or_zero, id_text, month_start, trim_spaces
 
 PROFILE_NAMES = {
     "id": "id",
@@ -59,17 +59,22 @@ def parse_spells(
     ``names`` maps the roles of columns to their names in ``df``; ``with_current`` adds the
     0/1 flag of a job that is still held.
     """
-    columns = [
-        id_text(F.col(names["id"]), df.schema[names["id"]].dataType.typeName()).alias("id"),
-        F.col(names["title"]).alias("title_name"),
-        F.col(names["company"]).alias("company_name_raw"),
-        F.col(names["description"]).alias("description_raw"),
-        month_start(blank_to_null(F.col(names["start"]))).alias("job_start_ym"),
-        month_start(blank_to_null(F.col(names["end"]))).alias("job_end_ym"),
-    ]
+    columns = {
+        "id": id_text(F.col(names["id"]), df.schema[names["id"]].dataType.typeName()),
+        "title_name": F.col(names["title"]),
+        "company_name_raw": F.col(names["company"]),
+        "description_raw": F.col(names["description"]),
+        "job_start_ym": trim_spaces(F.col(names["start"])),
+        "job_end_ym": trim_spaces(F.col(names["end"])),
+    }
+    parsed = {name: F.col(name) for name in columns}
+    parsed |= {name: month_start(F.col(name)) for name in ("job_start_ym", "job_end_ym")}
     if with_current:
-        columns.append(flag_or_zero(F.col(names["current"])).alias("is_current"))
-    return df.select(*columns)
+        columns["is_current"] = blank_to_null(F.col(names["current"]))
+        parsed["is_current"] = flag_or_zero(F.col("is_current"))
+    # Two steps, so that a text that is used several times is trimmed once.
+    trimmed = df.select(*(c.alias(name) for name, c in columns.items()))
+    return trimmed.select(*(c.alias(name) for name, c in parsed.items()))
 
 
 def expand_years(

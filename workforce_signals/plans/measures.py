@@ -7,8 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workforce_signals.functions.patterns import keyword_patterns
-from workforce_signals.functions.text import CORE_TERMS, id_text, lower_text, regex_quote
+from workforce_signals.functions.patterns import keyword_patterns, longest_pattern
+from workforce_signals.functions.text import CORE_TERMS, id_text, lower_text
 from workforce_signals.operators.firms import company_year_share
 from workforce_signals.operators.jobs import THRESHOLD, company_share, job_scores
 from workforce_signals.operators.keywords import first_keyword_hit, flag_keyword, literal_keywords
@@ -125,7 +125,7 @@ def _flagged_spells(profiles: DataFrame, descriptions: DataFrame, words: Sequenc
         .select(
             id_text(F.col("id"), id_kind).alias("id"),
             found(text).alias("in_text"),
-            _piece(text, r"\A(?:{})", [tail for _, tail in cuts]).alias("opening"),
+            _opening(text, (tail for _, tail in cuts)).alias("opening"),
         )
         .groupBy("id", "opening")
         .agg(F.max("in_text").alias("in_text"))
@@ -138,7 +138,7 @@ def _flagged_spells(profiles: DataFrame, descriptions: DataFrame, words: Sequenc
         "job_start_ym",
         "job_end_ym",
         found(title).alias("in_title"),
-        _piece(title, r"(?:{})\z", [head for head, _ in cuts]).alias("ending"),
+        _ending(title, (head for head, _ in cuts)).alias("ending"),
     )
     across = found(F.concat("ending", F.lit(" "), "opening"))
     related = F.col("in_text") | F.col("in_title") | F.coalesce(across, F.lit(False))
@@ -147,10 +147,14 @@ def _flagged_spells(profiles: DataFrame, descriptions: DataFrame, words: Sequenc
     )
 
 
-def _piece(text: Column, place: str, pieces: Iterable[str]) -> Column:
-    """The longest of ``pieces`` that stands at the given place of ``text``, else NULL."""
-    longest_first = sorted(set(pieces), key=lambda p: (-len(p), p))
-    if not longest_first:
+def _opening(text: Column, pieces: Iterable[str]) -> Column:
+    """The longest of ``pieces`` that ``text`` begins with, else NULL."""
+    pieces = set(pieces)
+    if not pieces:
         return F.lit(None).cast("string")
-    pattern = place.format("|".join(map(regex_quote, longest_first)))
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 0))
+    return F.nullif(F.regexp_extract(text, longest_pattern(pieces), 0), F.lit(""))
+
+
+def _ending(text: Column, pieces: Iterable[str]) -> Column:
+    """The longest of ``pieces`` that ``text`` ends with, else NULL."""
+    return F.reverse(_opening(F.reverse(text), (p[::-1] for p in pieces)))

@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Largest table, uncompressed, that is sent to every executor. Beyond it the join shuffles.
@@ -63,16 +63,15 @@ class Stored:
 
 
 def store(df: DataFrame | Stored, name: str) -> Stored:
-    """Write ``df`` to the shared folder and measure it. A stored table is returned as it is."""
+    """Write ``df`` to the shared folder, measured by the write. A stored table is returned as it is."""
     if isinstance(df, Stored):
         return df
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    written = spark.read.schema(df.schema).parquet(path)
-    width = F.lit(_ROW_OVERHEAD + 8 * len(written.columns))
-    for field in written.schema:
+    spark, path, seen = df.sparkSession, new_path(df.sparkSession, name), Observation()
+    width = F.lit(_ROW_OVERHEAD + 8 * len(df.columns))
+    for field in df.schema:
         if field.dataType.typeName() == "string":
             width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
-    size = written.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("bigint")).alias("b")).first()
-    return Stored(written, size["n"], size["b"] or 0)
+    size = F.count(F.lit(1)).alias("rows"), F.sum(width.cast("bigint")).alias("nbytes")
+    df.observe(seen, *size).write.parquet(path)
+    found = seen.get
+    return Stored(spark.read.schema(df.schema).parquet(path), found["rows"], found["nbytes"] or 0)

@@ -22,7 +22,7 @@ from workforce_signals.sources import schemas
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 _SKILL_YEAR_FILES = "[0-9][0-9][0-9][0-9]_skills_counts_co"
-_PEEK_THREADS = 16
+_PEEK_THREADS = 32
 
 
 def _glob(spark: SparkSession, pattern: str) -> list[str]:
