@@ -51,8 +51,9 @@ def explode_skills(
     skills_col: str = SKILLS,
 ) -> DataFrame:
     """One row per (posting, listed skill). Repeated skills give repeated rows."""
-    return listed(postings, id_col, skills_col).select(
-        *job_key(with_job_id(postings, id_col)),
+    jobs = listed(postings, id_col, skills_col)
+    return jobs.select(
+        *job_key(jobs),
         *(F.col(c).cast("string").alias(c) for c in keep),
         F.explode(skill_tokens(F.col("skills"), sep)).alias("skill"),
     )
@@ -68,7 +69,8 @@ def core_jobs(
 ) -> DataFrame:
     """Distinct jobs listing a core term. The list is tested as it stands, without exploding it."""
     jobs = listed(postings, id_col, skills_col)
-    return jobs.where(holds_any(F.col("skills"), terms, sep)).select(*job_key(jobs)).distinct()
+    core = jobs.where(holds_any(skill_tokens(F.col("skills"), sep), terms))
+    return core.select(*job_key(jobs)).distinct()
 
 
 def repeated_ids(postings: DataFrame, *, id_col: str = ID) -> Stored:
@@ -104,7 +106,8 @@ def skill_year_counts(
     terms = list(terms)
     jobs = listed(postings, id_col, skills_col)
     key = job_key(jobs)
-    jobs = jobs.select(*key, "skills", holds_any(F.col("skills"), terms, sep).alias("has_core"))
+    jobs = jobs.select(*key, skill_tokens(F.col("skills"), sep).alias("tokens"))
+    jobs = jobs.withColumn("has_core", holds_any(F.col("tokens"), terms))
     is_core: Column = F.col("has_core")
     if not unique_ids:
         repeated = repeated or repeated_ids(postings, id_col=id_col)
@@ -114,9 +117,7 @@ def skill_year_counts(
                 jobs = jobs.join(mixed.for_join(), key, "left")
                 is_core = is_core | F.coalesce(F.col("id_has_core"), F.lit(False))
     co = F.when(F.col("job_id").isNotNull() & is_core, 1).otherwise(0)
-    rows = jobs.select(
-        *key[:-1], co.alias("co"), F.explode(skill_tokens(F.col("skills"), sep)).alias("skill")
-    )
+    rows = jobs.select(*key[:-1], co.alias("co"), F.explode("tokens").alias("skill"))
     if drop_core:
         rows = rows.where(~F.col("skill").isin(terms))
     return rows.groupBy(*key[:-1], "skill").agg(
