@@ -11,13 +11,20 @@ from workforce_signals.functions.text import norm_token
 def company_year_person(flagged: DataFrame) -> DataFrame:
     """One row per firm, year and person; a hit in any of the person's spells counts.
 
-    The normalised firm key follows from the name, so it takes no part in the grouping.
+    The normalised firm key follows from the name, so it takes no part in the grouping. The
+    person is grouped on as a struct: a plain id would let Spark count on the partitions of an
+    earlier join on ids, and then it could no longer split an id that holds many rows there.
     """
-    persons = flagged.groupBy(F.col("company_name_raw").alias("company_name"), "year", "id").agg(
-        F.max("ai_related").alias("ai_related_any")
+    rows = flagged.select(
+        F.col("company_name_raw").alias("company_name"), "year", F.struct("id").alias("id"), "ai_related"
     )
+    persons = rows.groupBy("company_name", "year", "id").agg(F.max("ai_related").alias("ai_related_any"))
     return persons.select(
-        norm_token(F.col("company_name")).alias("company_key"), "company_name", "year", "id", "ai_related_any"
+        norm_token(F.col("company_name")).alias("company_key"),
+        "company_name",
+        "year",
+        F.col("id.id").alias("id"),
+        "ai_related_any",
     )
 
 

@@ -59,7 +59,9 @@ def _hit_by_join(df: DataFrame, keywords: DataFrame, text: Column) -> DataFrame:
     """The same for keyword tables of any length: texts and keywords meet on a keyword's first letters.
 
     Each distinct text is cut at every position; a piece meets only keywords that begin
-    with its first characters, and the equality join spreads over the cluster.
+    with its first characters, and the equality join spreads over the cluster. Hits are grouped
+    on a struct so that both sides of the last join are shuffled for it, which lets Spark split
+    a text that very many rows share.
     """
     lead, longest = keywords.agg(F.min(F.length("skill")), F.max(F.length("skill"))).first()
     keyed = df.withColumn("_digest", F.sha2(text, 256))
@@ -75,8 +77,9 @@ def _hit_by_join(df: DataFrame, keywords: DataFrame, text: Column) -> DataFrame:
     )
     hits = (
         found.where(F.startswith("piece", "skill"))
-        .groupBy("_digest")
+        .groupBy(F.struct("_digest").alias("_key"))
         .agg(F.min(F.struct("pos", "skill"))["skill"].alias("first_hit_skill"))
+        .select(F.col("_key._digest").alias("_digest"), "first_hit_skill")
     )
     return keyed.join(hits, "_digest", "left").drop("_digest")
 
