@@ -65,7 +65,8 @@ def _keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _flagged(spark: SparkSession, sf: str) -> DataFrame:
-    return ws.flag_years(_spells(spark, sf), _keywords(spark, sf), fx.AS_OF)
+    merged = ws.merge_with_hits(fx.profiles(spark, sf), fx.descriptions(spark, sf), _keywords(spark, sf))
+    return ws.flag_years(ws.parse_spells(merged, keep=["first_hit_skill"]), as_of=fx.AS_OF)
 
 
 def q_explode_skills(spark: SparkSession, sf: str) -> DataFrame:

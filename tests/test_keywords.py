@@ -85,6 +85,19 @@ def test_pattern_is_earliest_then_shortest(spark, words, texts):
     assert found == [earliest(t, words) for t in texts]
 
 
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.sets(st.text(st.sampled_from("ab "), min_size=1, max_size=5).map(str.strip), max_size=8),
+    st.lists(st.tuples(st.text(st.sampled_from("ab xé𝒜"), max_size=5), st.text(st.sampled_from("abx "), max_size=6)), min_size=1, max_size=10),
+)
+def test_search_before_the_join(spark, words, values):
+    words = words - {""}
+    profiles = spark.createDataFrame([(i, "1", "F", a, "2000-01", None) for i, (a, _) in enumerate(values)], PROFILE)
+    texts = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(values)], "id bigint, description_raw string")
+    found = ws.merge_with_hits(profiles, texts, words).orderBy("id").collect()
+    assert [r["first_hit_skill"] for r in found] == [earliest(f"{a} {b}", words) for a, b in values]
+
+
 PROFILE = (
     "id bigint, company string, company_name string, title_raw string, "
     "most_recent_company_start_month string, most_recent_company_end_month string"
@@ -118,8 +131,12 @@ def test_resume_measure_equals_its_steps(spark, monkeypatch, path):
     descriptions = spark.createDataFrame(texts, "id bigint, description_raw string")
     spells = ws.parse_spells(ws.merge_profiles(profiles, descriptions))
     steps = ws.company_year_share(ws.flag_years(spells, words, 2003))
+    columns = ("id", "company_name", "title_raw", "most_recent_company_start_month", "description_raw")
+    searched = ws.first_keyword_hit(ws.merge_profiles(profiles, descriptions), words, "title_raw")
     if path == "join":
         monkeypatch.setattr(keyword_module, "LITERAL_KEYWORDS", 3)
+    merged = ws.merge_with_hits(profiles, descriptions, table(spark, words))
+    assert rows(merged, *columns, "first_hit_skill") == rows(searched, *columns, "first_hit_skill")
     measure = ws.resume_measure(profiles, descriptions, table(spark, words), as_of=2003)
     assert rows(measure) == rows(steps)
     assert 0 < sum(r["ai_employees"] for r in measure.collect()) < sum(r["employees"] for r in measure.collect())

@@ -17,7 +17,7 @@ from workforce_signals.operators.skills import (
     top_skills,
 )
 from workforce_signals.operators.spells import expand_years, merge_profiles, parse_spells
-from workforce_signals.plans.measures import flag_years, posting_measure, resume_measure
+from workforce_signals.plans.measures import flag_years, merge_with_hits, posting_measure, resume_measure
 from workforce_signals.plans.stored import Stored, store
 from workforce_signals.sources.ingest import csv_to_parquet, ingest_postings, read_raw_postings
 from workforce_signals.sources.read import (
@@ -55,6 +55,7 @@ __all__ = [
     "list_files",
     "lookup",
     "merge_profiles",
+    "merge_with_hits",
     "order_output",
     "parse_spells",
     "posting_measure",

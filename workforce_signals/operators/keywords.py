@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workforce_signals.functions.patterns import first_match, keyword_patterns
+from workforce_signals.functions.patterns import first_match, keyword_patterns, longest_pattern
 from workforce_signals.functions.text import lower_text, norm_token, trim_spaces
 
 # Longest list that is folded into literal patterns. Longer ones are matched by a join.
@@ -84,6 +84,51 @@ def _hit_by_join(df: DataFrame, keywords: DataFrame, text: Column) -> DataFrame:
     return keyed.join(hits, "_digest", "left").drop("_digest")
 
 
+def opening(text: Column, pieces: Iterable[str]) -> Column:
+    """The longest of ``pieces`` that ``text`` begins with, else NULL."""
+    pieces = set(pieces)
+    if not pieces:
+        return F.lit(None).cast("string")
+    return F.nullif(F.regexp_extract(text, longest_pattern(pieces), 0), F.lit(""))
+
+
+def ending(text: Column, pieces: Iterable[str]) -> Column:
+    """The longest of ``pieces`` that ``text`` ends with, else NULL."""
+    return F.reverse(opening(F.reverse(text), (p[::-1] for p in pieces)))
+
+
+def cuts(words: Iterable[str]) -> list[tuple[str, str]]:
+    """What stands before and after each space of each keyword.
+
+    Title and description are searched with a space between them. A keyword lies in the
+    title, in the description, or across that space; in the last case it is cut there: the
+    title ends with the first part and the description begins with the second.
+    """
+    return [(w[:i], w[i + 1 :]) for w in words for i, ch in enumerate(w) if ch == " "]
+
+
+def search_descriptions(descriptions: DataFrame, words: Iterable[str]) -> DataFrame:
+    """Add what a later join with titles needs to know of each text, reading it once.
+
+    ``text_hit`` is the text's first keyword, ``text_opening`` the longest end of a cut
+    keyword it begins with.
+    """
+    words, text = list(words), lower_text(F.col("description_raw"))
+    return descriptions.select(
+        "*",
+        first_match(text, keyword_patterns(words)).alias("text_hit"),
+        opening(text, (tail for _, tail in cuts(words))).alias("text_opening"),
+    )
+
+
+def joint_hit(title: Column, words: Iterable[str]) -> Column:
+    """First keyword of title and searched description: one that starts in the title, else the text's."""
+    title = lower_text(F.coalesce(title, F.lit("")))
+    start = F.concat(title, F.lit(" "), F.coalesce("text_opening", F.lit("")))
+    hit = first_match(start, keyword_patterns(words))
+    return F.when(F.instr(start, hit) <= F.length(title), hit).otherwise(F.col("text_hit"))
+
+
 def flag_keyword(df: DataFrame) -> DataFrame:
     """Add ``ai_related``: 1 where a keyword was found, else 0."""
     return df.withColumn("ai_related", F.when(F.col("first_hit_skill").isNotNull(), 1).otherwise(0))

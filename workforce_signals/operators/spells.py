@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +36,15 @@ def usable_profiles(profiles: DataFrame) -> DataFrame:
     )
 
 
-def merge_profiles(profiles: DataFrame, descriptions: DataFrame) -> DataFrame:
+def merge_profiles(
+    profiles: DataFrame, descriptions: DataFrame, *, keep: Sequence[str] = ()
+) -> DataFrame:
     """Profiles with their description, keeping rows that have a start month, a firm and a text.
 
-    Ids that repeat on either side give every combination.
+    Ids that repeat on either side give every combination. Columns of the descriptions in
+    ``keep`` are carried along.
     """
-    merged = profiles.join(descriptions.select("id", "description_raw"), "id", "left")
+    merged = profiles.join(descriptions.select("id", "description_raw", *keep), "id", "left")
     return usable_profiles(merged).where(F.col("description_raw").isNotNull()).select(
         "id",
         "company",
@@ -48,16 +53,21 @@ def merge_profiles(profiles: DataFrame, descriptions: DataFrame) -> DataFrame:
         "most_recent_company_start_month",
         "most_recent_company_end_month",
         "description_raw",
+        *keep,
     )
 
 
 def parse_spells(
-    df: DataFrame, with_current: bool = False, *, names: dict[str, str] = PROFILE_NAMES
+    df: DataFrame,
+    with_current: bool = False,
+    *,
+    names: dict[str, str] = PROFILE_NAMES,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Ids to text and months to dates; months that cannot be read become NULL.
 
     ``names`` maps the roles of columns to their names in ``df``; ``with_current`` adds the
-    0/1 flag of a job that is still held.
+    0/1 flag of a job that is still held; columns in ``keep`` are carried along.
     """
     columns = {
         "id": id_text(F.col(names["id"]), df.schema[names["id"]].dataType.typeName()),
@@ -73,8 +83,8 @@ def parse_spells(
         columns["is_current"] = blank_to_null(F.col(names["current"]))
         parsed["is_current"] = flag_or_zero(F.col("is_current"))
     # Two steps, so that a text that is used several times is trimmed once.
-    trimmed = df.select(*(c.alias(name) for name, c in columns.items()))
-    return trimmed.select(*(c.alias(name) for name, c in parsed.items()))
+    trimmed = df.select(*(c.alias(name) for name, c in columns.items()), *keep)
+    return trimmed.select(*(c.alias(name) for name, c in parsed.items()), *keep)
 
 
 def expand_years(

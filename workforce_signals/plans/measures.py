@@ -7,11 +7,20 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workforce_signals.functions.patterns import keyword_patterns, longest_pattern
+from workforce_signals.functions.patterns import keyword_patterns
 from workforce_signals.functions.text import CORE_TERMS, id_text, lower_text
 from workforce_signals.operators.firms import company_year_share
 from workforce_signals.operators.jobs import THRESHOLD, company_share, job_scores
-from workforce_signals.operators.keywords import first_keyword_hit, flag_keyword, literal_keywords
+from workforce_signals.operators.keywords import (
+    cuts,
+    ending,
+    first_keyword_hit,
+    flag_keyword,
+    joint_hit,
+    literal_keywords,
+    opening,
+    search_descriptions,
+)
 from workforce_signals.operators.linking import link_by_id, link_by_name
 from workforce_signals.operators.skills import repeated_ids, skill_scores, skill_year_counts
 from workforce_signals.operators.spells import (
@@ -59,14 +68,35 @@ def posting_measure(
     return share if link is None else link_by_id(share, link, null_keys_match)
 
 
+def merge_with_hits(
+    profiles: DataFrame, descriptions: DataFrame, keywords: DataFrame | Iterable[str]
+) -> DataFrame:
+    """``merge_profiles`` with ``first_hit_skill``, each description searched once, before the join.
+
+    However many profile rows share a description, its text is read a single time, and where only
+    the hit is used later no text passes the join.
+    """
+    words = literal_keywords(keywords)
+    if words is None:
+        return first_keyword_hit(merge_profiles(profiles, descriptions), keywords, "title_raw")
+    found = ("text_hit", "text_opening")
+    merged = merge_profiles(profiles, search_descriptions(descriptions, words), keep=found)
+    return merged.withColumn("first_hit_skill", joint_hit(F.col("title_raw"), words)).drop(*found)
+
+
 def flag_years(
     spells: DataFrame,
-    keywords: DataFrame | Iterable[str],
+    keywords: DataFrame | Iterable[str] | None = None,
     as_of: int | Column | None = None,
     open_end: str = "current",
 ) -> DataFrame:
-    """Spell-years with ``ai_related`` and ``first_hit_skill``. A spell is searched once, not every year."""
-    years = expand_years(first_keyword_hit(spells, keywords), as_of, open_end)
+    """Spell-years with ``ai_related`` and ``first_hit_skill``. A spell is searched once, not every year.
+
+    Without ``keywords`` the spells already have ``first_hit_skill``.
+    """
+    if keywords is not None:
+        spells = first_keyword_hit(spells, keywords)
+    years = expand_years(spells, as_of, open_end)
     return flag_keyword(years).select(
         "id", "title_name", "company_name_raw", "description_raw", "year", "ai_related", "first_hit_skill"
     )
@@ -103,14 +133,13 @@ def resume_measure(
 def _flagged_spells(profiles: DataFrame, descriptions: DataFrame, words: Sequence[str]) -> DataFrame:
     """Spells with ``ai_related``, found without moving any text through the join.
 
-    The searched text is ``title + ' ' + description``. A keyword lies in the description, in
-    the title, or across the space between them. The first two are decided where each text is
-    read. For the third, a keyword with a space in it must be split there: the description begins
-    with what follows the space and the title ends with what precedes it. Only descriptions
-    and titles that do so keep that piece, so a row enters the shuffle as an id and a flag.
+    Keywords in the title or in the description are found where each is read, over the whole
+    text. For keywords across the space between them, a title keeps the first part of a cut
+    keyword if it ends with one, and a description the second part if it begins with one. A
+    row enters the shuffle as an id, a flag and, rarely, such a part; flags of one id are
+    combined before it.
     """
-    patterns = keyword_patterns(words)
-    cuts = [(w[:i], w[i + 1 :]) for w in words for i, ch in enumerate(w) if ch == " "]
+    patterns, cut = keyword_patterns(words), cuts(words)
 
     def found(text: Column) -> Column:
         result = F.lit(False)
@@ -125,7 +154,7 @@ def _flagged_spells(profiles: DataFrame, descriptions: DataFrame, words: Sequenc
         .select(
             id_text(F.col("id"), id_kind).alias("id"),
             found(text).alias("in_text"),
-            _opening(text, (tail for _, tail in cuts)).alias("opening"),
+            opening(text, (tail for _, tail in cut)).alias("opening"),
         )
         .groupBy("id", "opening")
         .agg(F.max("in_text").alias("in_text"))
@@ -138,23 +167,10 @@ def _flagged_spells(profiles: DataFrame, descriptions: DataFrame, words: Sequenc
         "job_start_ym",
         "job_end_ym",
         found(title).alias("in_title"),
-        _ending(title, (head for head, _ in cuts)).alias("ending"),
+        ending(title, (head for head, _ in cut)).alias("ending"),
     )
     across = found(F.concat("ending", F.lit(" "), "opening"))
     related = F.col("in_text") | F.col("in_title") | F.coalesce(across, F.lit(False))
     return spells.join(texts, "id").select(
         "id", "company_name_raw", "job_start_ym", "job_end_ym", F.when(related, 1).otherwise(0).alias("ai_related")
     )
-
-
-def _opening(text: Column, pieces: Iterable[str]) -> Column:
-    """The longest of ``pieces`` that ``text`` begins with, else NULL."""
-    pieces = set(pieces)
-    if not pieces:
-        return F.lit(None).cast("string")
-    return F.nullif(F.regexp_extract(text, longest_pattern(pieces), 0), F.lit(""))
-
-
-def _ending(text: Column, pieces: Iterable[str]) -> Column:
-    """The longest of ``pieces`` that ``text`` ends with, else NULL."""
-    return F.reverse(_opening(F.reverse(text), (p[::-1] for p in pieces)))
