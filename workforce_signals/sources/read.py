@@ -163,6 +163,11 @@ def read_table(
     return spark.read.parquet(path)
 
 
+def _by_year(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A ``year=...`` table of this library. Its schema is known, so no file footer is read to plan."""
+    return spark.read.schema(StructType([*schema.fields, StructField("year", IntegerType())])).parquet(path)
+
+
 def read_postings(
     spark: SparkSession,
     root: str,
@@ -175,8 +180,7 @@ def read_postings(
     ``year=...`` partitions that ``ingest_postings`` writes. A filter on ``year`` skips the rest.
     """
     if _glob(spark, f"{root}/year=*"):
-        table = spark.read.option("mergeSchema", True).parquet(root)
-        table = conform(table, schema, keep=[F.col("year").cast("int").alias("year")])
+        table = _by_year(spark, root, schema).select(*schema.names, "year")
         return table if years is None else table.where(F.col("year").isin(list(years)))
     if years is None:
         years = [int(p.split("/")[-2]) for p in _glob(spark, f"{root}/[0-9][0-9][0-9][0-9]/parquet")]
@@ -200,10 +204,7 @@ def read_skill_years(spark: SparkSession, path: str) -> DataFrame:
             return table.select(year.cast("int").alias("year"), *schemas.SKILL_YEAR.names)
     if not _glob(spark, f"{path}/year=*"):
         raise FileNotFoundError(f"no yearly skill counts in {path}")
-    table = spark.read.option("mergeSchema", True).parquet(path)
-    return conform(table, schemas.SKILL_YEAR, keep=[F.col("year").cast("int").alias("year")]).select(
-        "year", *schemas.SKILL_YEAR.names
-    )
+    return _by_year(spark, path, schemas.SKILL_YEAR).select("year", *schemas.SKILL_YEAR.names)
 
 
 def read_profiles_csv(spark: SparkSession, path: str) -> DataFrame:
