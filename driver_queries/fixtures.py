@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from workforce_signals.plans.stored import new_path
+from workforce_signals.sources.read import glob_paths
 from workforce_signals.sources.write import write_table, write_year
 
 BASE_TABLES = ("customer", "documents", "lineitem", "orders", "part")
@@ -74,7 +75,7 @@ _built: dict[tuple[str, str, str], str] = {}
 def built(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
     """Path of an input written once per application to the shared folder, as input files would lie there."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _built:
+    if key not in _built or not glob_paths(spark, _built[key]):
         path = new_path(spark, name)
         write(path)
         _built[key] = path

@@ -1,6 +1,8 @@
+import pytest
 from conftest import rows
 
 import workforce_signals as ws
+from workforce_signals.operators import lookup
 
 FLAGGED = "id string, company_name_raw string, year int, ai_related int"
 LINK = "ID double, NAME string, GVKEY string"
@@ -57,3 +59,21 @@ def test_lookup_and_order(spark):
     assert rows(ws.lookup(df, 1), "v") == [(None,), ("a",)]
     found = [tuple(r) for r in ws.order_output(df, "-id", "v").collect()]
     assert found == [(2, "b"), (1, "a"), (1, None), (None, "c")]
+
+
+@pytest.mark.parametrize(
+    "order",
+    [lookup.SKILL_YEAR_ORDER, lookup.SKILL_ORDER, lookup.JOB_ORDER, lookup.COMPANY_ORDER, lookup.SPELL_YEAR_ORDER],
+)
+def test_output_orders(spark, order, tmp_path):
+    names = [c.removeprefix("-") for c in order]
+    values = [(a, b, str(c)) for a in (None, 1.0, 2.0) for b in (3, 1) for c in range(3)]
+    df = spark.createDataFrame(values[::-1], f"{names[0]} double, {names[1]} int, {names[2]} string").repartition(3)
+    found = [tuple(r) for r in ws.order_output(df, *order).collect()]
+
+    def place(row):
+        return tuple(
+            (v is None, 0 if v is None else -v if c.startswith("-") else v) for c, v in zip(order, row, strict=True)
+        )
+
+    assert found == sorted(values, key=place)

@@ -148,6 +148,26 @@ def test_ingest(spark, tmp_path):
         read_raw_postings(spark, str(root))
 
 
+def test_odd_csv_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffskill,"cnt"\r\nx,1\r\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("skill,,cnt\ny,0,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as out:
+        out.write("cnt,skill\n3,z\n")
+    found = ws.read_table(spark, f"{tmp_path}/*.csv*", "csv", schemas.SKILL_YEAR)
+    assert rows(found, "skill", "cnt") == [("x", 1), ("y", 2), ("z", 3)]
+
+
+def test_compression(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    for codec, expected in (("zstd", "ZSTD"), (None, "SNAPPY")):
+        path = tmp_path / expected
+        ws.write_table(table(spark, ("a", 1)).coalesce(1), str(path), compression=codec)
+        file = next(path.glob("*.parquet"))
+        assert pq.ParquetFile(file).metadata.row_group(0).column(0).compression == expected
+
+
 def test_file_row_counts(spark, tmp_path):
     for name, n in (("a", 2), ("b", 3)):
         (tmp_path / f"{name}.csv").write_text("id\n" + "1\n" * n)

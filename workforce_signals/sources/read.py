@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import csv
 import re
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -25,7 +25,7 @@ _SKILL_YEAR_FILES = "[0-9][0-9][0-9][0-9]_skills_counts_co"
 _PEEK_THREADS = 32
 
 
-def _glob(spark: SparkSession, pattern: str) -> list[str]:
+def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Files and folders matching a path or glob, by one listing of the file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
@@ -34,7 +34,7 @@ def _glob(spark: SparkSession, pattern: str) -> list[str]:
 
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
     """Data files matching a path or glob, those inside matching folders too; sorted."""
-    if not _glob(spark, pattern):
+    if not glob_paths(spark, pattern):
         return []
     return sorted(unquote(f) for f in spark.read.format("binaryFile").load(pattern).inputFiles())
 
@@ -78,13 +78,13 @@ def _cast(source: StructField, target: DataType) -> Column:
     return column.cast(target)
 
 
-def _by_schema(files: list[str], schema_of: Callable[[str], StructType]) -> dict[str, list[str]]:
-    """Group files by their own schema. Only file headers are looked at."""
+def _grouped(files: list[str], shape_of: Callable[[str], str]) -> dict[str, list[str]]:
+    """Group files by their shape. Only file headers are looked at."""
     with ThreadPoolExecutor(_PEEK_THREADS) as pool:
-        found = list(pool.map(lambda f: schema_of(f).json(), files))
+        shapes = list(pool.map(shape_of, files))
     groups: dict[str, list[str]] = {}
-    for file, schema in zip(files, found, strict=True):
-        groups.setdefault(schema, []).append(file)
+    for file, shape in zip(files, shapes, strict=True):
+        groups.setdefault(shape, []).append(file)
     return groups
 
 
@@ -96,20 +96,35 @@ def parquet_parts(spark: SparkSession, pattern: str) -> list[DataFrame]:
         if "CANNOT_MERGE_SCHEMAS" not in str(error):
             raise
     files = require_input(spark, pattern)
-    groups = _by_schema(files, lambda f: spark.read.parquet(f).schema)
+    groups = _grouped(files, lambda f: spark.read.parquet(f).schema.json())
     return [spark.read.parquet(*group) for group in groups.values()]
 
 
+def _first_line(spark: SparkSession, file: str) -> str:
+    """The first line of a plain or compressed text file; no Spark job, and only its first block is read."""
+    hadoop, java = spark._jvm.org.apache.hadoop, spark._jvm.java.io
+    settings, path = spark._jsc.hadoopConfiguration(), hadoop.fs.Path(file)
+    stream = path.getFileSystem(settings).open(path)
+    try:
+        codec = hadoop.io.compress.CompressionCodecFactory(settings).getCodec(path)
+        text = stream if codec is None else codec.createInputStream(stream)
+        return java.BufferedReader(java.InputStreamReader(text, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
 def csv_parts(spark: SparkSession, pattern: str, *, multi_line: bool = True) -> list[DataFrame]:
     """CSV files as all-string tables, one scan per distinct header, so columns go by name."""
-    files = require_input(spark, pattern)
-    options = {**CSV_OPTIONS, "multiLine": multi_line}
-    peek = {**CSV_OPTIONS, "multiLine": False}
-    groups = _by_schema(files, lambda f: spark.read.options(**peek).csv(f).schema)
-    return [
-        spark.read.options(**options).schema(StructType.fromJson(json.loads(header))).csv(group)
-        for header, group in groups.items()
-    ]
+    groups = _grouped(require_input(spark, pattern), lambda f: _first_line(spark, f))
+    parts = []
+    for header, files in groups.items():
+        names = next(csv.reader([header.removeprefix("\ufeff")]), [])
+        schema = StructType([StructField(name or f"_c{i}", StringType()) for i, name in enumerate(names)])
+        if names:
+            parts.append(spark.read.options(**CSV_OPTIONS | {"multiLine": multi_line}).schema(schema).csv(files))
+    if not parts:
+        raise FileNotFoundError(f"only empty files at {pattern}")
+    return parts
 
 
 def read_united(
@@ -179,11 +194,11 @@ def read_postings(
     ``root`` holds either one folder per year (``2010/parquet/*.parquet``) or the
     ``year=...`` partitions that ``ingest_postings`` writes. A filter on ``year`` skips the rest.
     """
-    if _glob(spark, f"{root}/year=*"):
+    if glob_paths(spark, f"{root}/year=*"):
         table = _by_year(spark, root, schema).select(*schema.names, "year")
         return table if years is None else table.where(F.col("year").isin(list(years)))
     if years is None:
-        years = [int(p.split("/")[-2]) for p in _glob(spark, f"{root}/[0-9][0-9][0-9][0-9]/parquet")]
+        years = [int(p.split("/")[-2]) for p in glob_paths(spark, f"{root}/[0-9][0-9][0-9][0-9]/parquet")]
         if not years:
             raise FileNotFoundError(f"no year folders in {root}")
     parts = []
@@ -198,11 +213,11 @@ def read_skill_years(spark: SparkSession, path: str) -> DataFrame:
     """Skill counts of all years: yearly files, Parquet before CSV, or ``year=...`` partitions."""
     for fmt in ("parquet", "csv"):
         pattern = f"{path}/{_SKILL_YEAR_FILES}.{fmt}"
-        if _glob(spark, pattern):
+        if glob_paths(spark, pattern):
             table = read_united(spark, pattern, schemas.SKILL_YEAR, fmt, with_file=True)
             year = F.regexp_extract("filename", rf"/([0-9]{{4}})_skills_counts_co\.{fmt}(?:/[^/]*)?$", 1)
             return table.select(year.cast("int").alias("year"), *schemas.SKILL_YEAR.names)
-    if not _glob(spark, f"{path}/year=*"):
+    if not glob_paths(spark, f"{path}/year=*"):
         raise FileNotFoundError(f"no yearly skill counts in {path}")
     return _by_year(spark, path, schemas.SKILL_YEAR).select("year", *schemas.SKILL_YEAR.names)
 
