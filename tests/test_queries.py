@@ -7,6 +7,8 @@ from compare import difference, duck
 from conftest import plan
 
 import __spark_entry__ as entry
+from driver_queries.oracles import all_oracles
+from driver_queries.queries import all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -19,13 +21,15 @@ def con():
 
 
 def test_every_query_has_reference_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SF_DIR)
-    assert difference(df, con, entry.oracle_sql()[name]) == ""
+    df = all_queries()[name](spark, SF_DIR)
+    assert difference(df, con, all_oracles()[name]) == ""
     text = plan(df)
     for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython"):
         assert unwanted not in text
