@@ -63,3 +63,12 @@ def group_starts(sorted_keys: np.ndarray) -> np.ndarray:
 
 def binary_column(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
+    """Texts as Python strings. NULL is empty; bytes that are not UTF-8 are replaced."""
+    column = column.fill_null("")
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [bytes(v.as_buffer()).decode("utf-8", "replace") for v in column]
