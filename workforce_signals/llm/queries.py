@@ -6,19 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from workforce_signals.llm import bpe, token_store
 from workforce_signals.llm.jaccard_join import jaccard_components
+from workforce_signals.plans.stored import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    token_store.write_tokens(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), path)
+    return token_store.token_digests(spark, path)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_jaccard_join": op8_jaccard_join}
+    found = (op2_byte_bpe, op7_token_files, op8_jaccard_join)
+    return {query.__name__: query for query in found}
 
 
 def all_oracles() -> dict[str, str]:
