@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workforce_signals.llm import bpe, html_extraction, token_store
+from workforce_signals.llm import bpe, html_extraction, quality, token_store
 from workforce_signals.llm.jaccard_join import jaccard_components
 from workforce_signals.plans.stored import new_path
 
@@ -26,6 +26,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(_table(spark, sf_dir, "pages"))
 
@@ -41,7 +46,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_byte_bpe, op5_html_text, op7_token_files, op8_jaccard_join)
+    found = (op2_byte_bpe, op4_quality_rules, op5_html_text, op7_token_files, op8_jaccard_join)
     return {query.__name__: query for query in found}
 
 
