@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workforce_signals.llm import bpe, html_extraction, quality, token_store
+from workforce_signals.llm import bpe, html_extraction, language_id, quality, token_store
 from workforce_signals.llm.jaccard_join import jaccard_components
 from workforce_signals.plans.stored import new_path
 
@@ -35,6 +35,11 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(_table(spark, sf_dir, "pages"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs, vocabulary("piece_bpe_32k.model")))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_store.write_tokens(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), path)
@@ -46,7 +51,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_byte_bpe, op4_quality_rules, op5_html_text, op7_token_files, op8_jaccard_join)
+    found = (op2_byte_bpe, op4_quality_rules, op5_html_text, op6_language_id, op7_token_files, op8_jaccard_join)
     return {query.__name__: query for query in found}
 
 
