@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workforce_signals.llm import bpe, html_extraction, language_id, quality, token_store
+from workforce_signals.llm import bpe, decontamination, html_extraction, language_id, quality, sharding, token_store
 from workforce_signals.llm.jaccard_join import jaccard_components
 from workforce_signals.plans.stored import new_path
 
@@ -22,10 +22,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -51,9 +59,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_byte_bpe, op4_quality_rules, op5_html_text, op6_language_id, op7_token_files, op8_jaccard_join)
+    found = (op1_sharding, op2_byte_bpe, op3_decontamination, op4_quality_rules, op5_html_text, op6_language_id, op7_token_files, op8_jaccard_join)
     return {query.__name__: query for query in found}
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    """Tokenizers, trained models and transitive links are tested against brute force instead."""
+    return {"op1_sharding": sharding.oracle_sql(), "op3_decontamination": decontamination.ORACLE_SQL}
