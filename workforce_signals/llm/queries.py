@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workforce_signals.llm import bpe, decontamination, html_extraction, language_id, quality, sharding, token_store
+from workforce_signals.llm import bpe, decontamination, html_extraction, language_id, nearest, quality, sharding, token_store
 from workforce_signals.llm.jaccard_join import jaccard_components
 from workforce_signals.plans.stored import new_path
 
@@ -58,8 +58,15 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_byte_bpe, op3_decontamination, op4_quality_rules, op5_html_text, op6_language_id, op7_token_files, op8_jaccard_join)
+    found = (
+        op1_sharding, op2_byte_bpe, op3_decontamination, op4_quality_rules, op5_html_text, op6_language_id, op7_token_files,
+        op8_jaccard_join, op9_nearest,
+    )
     return {query.__name__: query for query in found}
 
 
