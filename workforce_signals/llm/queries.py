@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from workforce_signals.llm import bpe, decontamination, html_extraction, language_id, nearest, quality, sharding, token_store
+from workforce_signals.llm import bpe, decontamination, html_extraction, language_id, nearest, personal_data, quality, sharding, token_store
 from workforce_signals.llm.jaccard_join import jaccard_components
 from workforce_signals.plans.stored import new_path
 
@@ -62,10 +63,17 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = personal_data.find(docs, personal_data.train(docs))
+    counts = [f"n_{kind}" for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_sharding, op2_byte_bpe, op3_decontamination, op4_quality_rules, op5_html_text, op6_language_id, op7_token_files,
-        op8_jaccard_join, op9_nearest,
+        op8_jaccard_join, op9_nearest, op10_personal_data,
     )
     return {query.__name__: query for query in found}
 
