@@ -31,12 +31,6 @@ def spans_of(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int
         a = b
 
 
-def text_spans(texts: list[str], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """The same for Python strings, by their lengths."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    yield from spans_of(np.concatenate(([0], np.cumsum(lengths))), size)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (splitmix64), elementwise."""
     x = x.astype(np.uint64, copy=True)
@@ -72,3 +66,12 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
         return column.to_pylist()
     except UnicodeDecodeError:
         return [bytes(v.as_buffer()).decode("utf-8", "replace") for v in column]
+
+
+def text_chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[str]]]:
+    """Consecutive row ranges with their texts, about ``size`` bytes at a time."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets = utf8(column)
+    for a, b in spans_of(offsets, size):
+        yield a, b, strings(column.slice(a, b - a))

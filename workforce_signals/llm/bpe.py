@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workforce_signals.llm.arrays import strings, text_spans
+from workforce_signals.llm.arrays import text_chunks
 from workforce_signals.llm.workers import importable
 
-# Pre-tokens kept with their ids in a worker; beyond it the cache starts anew.
-CACHED = 500_000
+# Bytes of text scanned at once, and pre-tokens kept with their ids in a worker; beyond it the cache starts anew.
+CHUNK, CACHED = 1 << 18, 300_000
+# Texts decoded at once.
+DECODED = 512
 # Pre-tokens with more bytes are merged one at a time, with a heap.
 WIDE = 64
 _BLOCK = 128
@@ -157,7 +159,10 @@ class Ranks:
         self.at = np.concatenate(([0], np.cumsum(self.length)))
         self.flat = np.frombuffer(b"".join(self.token), np.uint8)
         self.size = size
-        get = self.rank.get
+
+    def prepare(self) -> Ranks:
+        """What encoding needs besides: the merges of two tokens, by dictionary and by sorted keys."""
+        get, size = self.rank.get, self.size
         merges = {
             get(token[:k]) * size + get(token[k:]): r
             for token, r in self.rank.items()
@@ -171,6 +176,7 @@ class Ranks:
         both = self.byte.astype(np.int64)
         self.byte_pairs = self.pair(np.repeat(both, 256), np.tile(both, 256)).reshape(256, 256)
         self.forget()
+        return self
 
     def forget(self) -> None:
         self.cache: dict[str, int] = {}
@@ -297,15 +303,15 @@ class Ranks:
         return self.flat[np.repeat(self.at[ids] - (ends - size), size) + np.arange(ends[-1])]
 
 
-_loaded: dict[int, Ranks] = {}
+_loaded: dict[tuple[int, bool], Ranks] = {}
 
 
-def _ranks(raw: bytes) -> Ranks:
+def _ranks(raw: bytes, encoding: bool) -> Ranks:
     """One vocabulary per worker, which keeps its cache from task to task."""
-    key = hash(raw)
+    key = hash(raw), encoding
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Ranks(raw)
+        _loaded[key] = Ranks(raw).prepare() if encoding else Ranks(raw)
     return _loaded[key]
 
 
@@ -315,11 +321,11 @@ def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
 
 def _encode(vocabulary, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(vocabulary.value)
+        ranks = _ranks(vocabulary.value, True)
         for batch in batches:
-            texts, at = strings(batch.column(text)), batch.schema.get_field_index(text)
-            for a, b in text_spans(texts):
-                ids, offsets = ranks.encode(texts[a:b])
+            at = batch.schema.get_field_index(text)
+            for a, b, texts in text_chunks(batch.column(text), CHUNK):
+                ids, offsets = ranks.encode(texts)
                 ends = np.cumsum(ranks.length[ids])
                 before = np.concatenate(([0], ends))[offsets[:-1]]
                 ends = ends - np.repeat(before, np.diff(offsets))
@@ -330,15 +336,18 @@ def _encode(vocabulary, text: str):
     return run
 
 
-def _decode(vocabulary, out: str):
+def _decode(vocabulary, out: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(vocabulary.value)
+        ranks = _ranks(vocabulary.value, False)
         for batch in batches:
-            ids = batch.column("ids")
-            texts = [ranks.bytes_of(v.values.to_numpy(zero_copy_only=False)).tobytes() if v.is_valid else None for v in ids]
-            drop = {"ids", "ends"}
-            names = [n for n in batch.schema.names if n not in drop]
-            yield pa.record_batch([*(batch.column(n) for n in names), pa.array(texts, pa.binary())], names=[*names, out])
+            names = [n for n in batch.schema.names if keep_ids or n != "ids"]
+            for a in range(0, batch.num_rows, DECODED):
+                some = batch.slice(a, DECODED)
+                texts = [
+                    ranks.bytes_of(v.values.to_numpy(zero_copy_only=False)).tobytes() if v.is_valid else None
+                    for v in some.column("ids")
+                ]
+                yield pa.record_batch([*(some.column(n) for n in names), pa.array(texts, pa.binary())], names=[*names, out])
 
     return run
 
@@ -363,17 +372,22 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     return narrow.mapInArrow(_encode(_vocabulary(spark, path), "_text"), f"`{key}` {kind}, ids array<int>, ends array<int>")
 
 
-def decode(tokens: DataFrame, path: str, out: str = "decoded") -> DataFrame:
-    """Replaces ``ids`` and ``ends`` by the bytes of the tokens; NULL ids stay NULL. Other columns are kept."""
+def decode(tokens: DataFrame, path: str, out: str = "decoded", keep_ids: bool = False) -> DataFrame:
+    """Adds the bytes of the tokens in place of ``ends`` and, unless ``keep_ids``, of ``ids``.
+
+    NULL ids stay NULL. Other columns are kept, but for one named like ``out``, which is replaced.
+    """
     spark = tokens.sparkSession
     importable(spark)
     kept = [f for f in tokens.schema if f.name not in ("ids", "ends", out)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out}` binary"])
-    return tokens.select(*(f"`{f.name}`" for f in kept), "ids").mapInArrow(_decode(_vocabulary(spark, path), out), schema)
+    ids = ["ids array<int>"] if keep_ids else []
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *ids, f"`{out}` binary"])
+    narrow = tokens.select(*(f"`{f.name}`" for f in kept), "ids")
+    return narrow.mapInArrow(_decode(_vocabulary(spark, path), out, keep_ids), schema)
 
 
-def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded again."""
+def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded again; and the ids, if asked for."""
     tokens = encode(docs, path, key, text)
     told = tokens.select(
         key,
@@ -381,4 +395,6 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         "ids",
     )
-    return decode(told, path).select(key, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = decode(told, path, keep_ids=keep_ids)
+    ids = ["ids"] if keep_ids else []
+    return found.select(key, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), *ids)

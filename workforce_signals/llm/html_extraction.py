@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workforce_signals.llm.arrays import strings
+from workforce_signals.llm.arrays import text_chunks
 from workforce_signals.llm.workers import map_batches
 
 # Points: one per so many characters up to a limit, one per comma, one for a paragraph that is not tiny.
@@ -220,9 +220,10 @@ def main_text(html: str) -> str:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h) for h in strings(batch.column("_html"))]
         names = [n for n in batch.schema.names if n != "_html"]
-        yield pa.record_batch([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
+        for a, b, pages in text_chunks(batch.column("_html")):
+            texts = pa.array([main_text(h) for h in pages], pa.string())
+            yield pa.record_batch([*(batch.column(n).slice(a, b - a) for n in names), texts], names=[*names, "text"])
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from workforce_signals.llm.arrays import constants, mix, strings, text_spans
+from workforce_signals.llm.arrays import constants, mix, strings, text_chunks
 from workforce_signals.llm.workers import importable, map_batches
 
 # Labelled texts that a language is learned from: a bounded sample, those with the smallest hashes of their ids.
@@ -27,7 +27,7 @@ ROUNDS, SMOOTHING = 4, 0.05
 # Letters per word; longer runs of letters are read as several words.
 LONGEST = 40
 # Words kept with their scores in a worker; beyond it the cache starts anew.
-CACHED = 400_000
+CACHED = 300_000
 UNKNOWN = "und"
 # Keeps products of many small probabilities within range: every letter counts this much more.
 _LIFT = 12.0
@@ -115,7 +115,7 @@ class Lattice:
                     yield a, end, rows, found[rows]
 
 
-def by_length(words: list[str], most: int = 20_000) -> Iterator[list[int]]:
+def by_length(words: list[str], most: int = 5_000) -> Iterator[list[int]]:
     """Places of words of equal length, a bounded number at a time."""
     groups = defaultdict(list)
     for i, w in enumerate(words):
@@ -243,9 +243,8 @@ def _predict(shared, mark: str):
             _scorers[mark] = Scorer(shared.value)
         scorer = _scorers[mark]
         for batch in batches:
-            texts = strings(batch.column("_text"))
-            for a, b in text_spans(texts):
-                names, share = scorer.texts(texts[a:b])
+            for a, b, texts in text_chunks(batch.column("_text")):
+                names, share = scorer.texts(texts)
                 keys = batch.column("_id").slice(a, b - a)
                 yield pa.record_batch([keys, pa.array(names, pa.string()), pa.array(share)], names=["_id", "lang_pred", "score"])
 

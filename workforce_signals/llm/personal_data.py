@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workforce_signals.llm.arrays import strings
+from workforce_signals.llm.arrays import strings, text_chunks
 from workforce_signals.llm.workers import map_batches
 
 # The kinds in their order, and the base patterns.
@@ -336,10 +336,11 @@ def _find(field: Field | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, every = [], []
-            for text in strings(batch.column("_text")):
-                found = base_spans(text) if _HAS.search(text) else []
-                base.append(found)
-                every.append(all_spans(text, found, field) if _HAS.search(text) else found)
+            for _, _, some in text_chunks(batch.column("_text")):
+                for text in some:
+                    found = base_spans(text) if _HAS.search(text) else []
+                    base.append(found)
+                    every.append(all_spans(text, found, field) if _HAS.search(text) else found)
             kept = [n for n in batch.schema.names if n != "_text"]
             counts = [pa.array([sum(s[1] == k for s in found) for found in base], pa.int64()) for k in range(len(KINDS))]
             texts = [pa.array([joined(f) for f in found], pa.string()) for found in (base, every)]

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from workforce_signals.llm.arrays import strings, text_spans
+from workforce_signals.llm.arrays import text_chunks
 from workforce_signals.llm.workers import map_batches
 
 # Documents whose ids the dictionary is trained on, and how much of each: a bounded sample, by hash of the id.
@@ -32,7 +32,7 @@ LEVEL = 3
 # A segment ends after so many documents or bytes; a larger document is a segment of its own.
 SEGMENT_DOCS, SEGMENT_BYTES = 1_024, 4 << 20
 # Words kept with their ids in a worker; beyond it the cache starts anew.
-CACHED = 500_000
+CACHED = 300_000
 
 _loaded: dict[int, Words] = {}
 
@@ -93,9 +93,8 @@ def _serialized(vocabulary, end_id: int, width: int) -> Iterator:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
         words = _words(vocabulary.value)
         for batch in batches:
-            texts = strings(batch.column("_text"))
-            for a, b in text_spans(texts):
-                ids, offsets = words.encode(texts[a:b], end_id)
+            for a, b, texts in text_chunks(batch.column("_text")):
+                ids, offsets = words.encode(texts, end_id)
                 raw = ids.astype(f"<u{width}").tobytes()
                 yield batch.column("_key").slice(a, b - a), [
                     raw[width * i : width * j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
