@@ -1,0 +1,82 @@
+import html
+import re
+import time
+
+import pytest
+from fixtures_llm import SF, needs_tables
+
+from workforce_signals.llm.html_extraction import extract, main_text
+from workforce_signals.llm.queries import op5_html_text
+
+STORY = "<p>It was a long, quiet, grey morning, and nobody in the town had any wish to leave the house.</p>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("", ""),
+        (None, ""),
+        ("plain   text\n here", "plain text here"),
+        ("<p>a&nbsp;b &lt;c&gt; &eacute;&#233;<p>d", "a b <c> éé d"),
+        ("<article><h1>T</h1><p>one <b>t<i>w</i>o<br>three<p>four</article>", "T one two three four"),
+        ("<p>x</p><script>if (a<b) '</p>'</script><style>p{}</style><!-- <p>no</p> -->", "x"),
+        ("<!-- never ends <p>x", ""),
+        ("a <b", "a"),
+        ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
+        ('<p title="a > b">x</p>', "x"),
+        ("<p title=it's>x</p><p>it's y</p>", "x it's y"),
+    ],
+)
+def test_small_pages(page, text):
+    assert main_text(page) == text
+
+
+def test_page_furniture_goes():
+    page = f"""<html><head><title>t</title></head><body><header>Site</header><nav><a href=/>Home</a></nav>
+    <div class="cookie-notice">We use cookies, as all do, and you agree to it by reading on.</div>
+    <div id=content><h2>Head</h2>{STORY}<div class=advert>Buy, buy, buy, and buy again, today and tomorrow!</div>{STORY}
+    <form><p>Your name, please, and your mail, so that we can write to you.</p></form></div>
+    <aside>Also, read this, and this, and that, and some more.</aside>
+    <section id="comments"><p>Nice, well written, and long, thank you for it, I like it very much.</p></section>
+    <div hidden>secret</div><div style="display: none">more</div><footer>(c)</footer></body></html>"""
+    story = re.sub("<[^>]*>", "", STORY)
+    assert main_text(page) == f"Head {story} {story}"
+
+
+def test_siblings_of_the_best_container_stay():
+    page = f"<body><div><div>{STORY * 4}</div><div>{STORY * 2}</div><ul><li><a href=a>one</a><li><a href=b>two</a><li><a href=c>three</a></ul></div></body>"
+    assert main_text(page) == " ".join([re.sub("<[^>]*>", "", STORY)] * 6)
+
+
+def test_links_discount_a_container():
+    links = "<p>" + "".join(f"<a href=/{i}>some words, a comma, and more words of a link</a> " for i in range(30)) + "</p>"
+    assert main_text(f"<div>{links}</div><div>{STORY * 2}</div>") == " ".join([re.sub("<[^>]*>", "", STORY)] * 2)
+
+
+@pytest.mark.parametrize(
+    "page", ["<div>" * 50_000 + "x", "<p>a, b" * 50_000, '<a href="' * 50_000, "<!--" * 50_000, "<script>" * 50_000, "< " * 100_000, "<table><tr><td>" * 10_000]
+)
+def test_hard_pages_take_linear_time(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 10
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, None, "old"), (1, "u", "<p>x", "old"), (None, "u", "", "old")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    got = sorted((tuple(r) for r in extract(pages).collect()), key=str)
+    assert got == sorted([(1, None, "", 0), (1, "u", "x", 1), (None, "u", "", 0)], key=str)
+    assert extract(pages.limit(0)).count() == 0
+
+
+@needs_tables
+def test_whole_table(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = op5_html_text(spark, SF).collect()
+    assert len(got) == len(pages)
+    for row in got:
+        article = re.search(r"<article>(.*?)</article>", pages[row["page_id"]], re.S)[1]
+        article = re.sub(r"</?(?:p|h1|br|ul|li|div)\b[^>]*>", " ", article)
+        assert row["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", "", article)).split())
+        assert row["n_chars"] == len(row["text"])

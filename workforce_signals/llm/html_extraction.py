@@ -21,7 +21,7 @@ from workforce_signals.llm.workers import map_batches
 # Points: one per so many characters up to a limit, one per comma, one for a paragraph that is not tiny.
 CHARS_A_POINT, MOST_FOR_LENGTH, TINY = 100, 3.0, 25
 # A sibling of the best container stays from this share of its score on; a paragraph of so many characters, too.
-SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
+SIBLING_SHARE, SIBLING_LEAST, SIBLING_CHARS, SIBLING_LINKS = 0.2, 5.0, 80, 0.25
 # Inside the kept text, a list or box is a menu if so much of its text is links, and so many of them.
 MENU_LINKS, MENU_COUNT = 0.6, 3
 
@@ -194,7 +194,7 @@ class Page:
         if best and self.parents[best] > 0:
             for i in range(1, n):
                 if self.parents[i] == self.parents[best] and i != best and not self.dropped[i] and self.length[i]:
-                    like = score[i] >= max(10, SIBLING_SHARE * score[best])
+                    like = score[i] >= max(SIBLING_LEAST, SIBLING_SHARE * score[best])
                     reads = self.names[i] == "p" and self.length[i] >= SIBLING_CHARS and self._density(i) < SIBLING_LINKS
                     kept[i] = like or reads
         for i in range(1, n):

@@ -163,7 +163,7 @@ def fit(counts: dict[str, Counter], pieces: list[str]) -> LanguageModel:
     """Piece probabilities of every language from its words' counts, by expectation maximisation."""
     languages = sorted(counts)
     words = sorted({w for c in counts.values() for w in c})
-    weight = np.array([[counts[name][w] for name in languages] for w in words], np.float64).reshape(-1, len(languages))
+    weight = np.array([[counts[name][w] for name in languages] for w in words], np.float64).reshape(len(words), len(languages))
     n = len(pieces) + 1
     model = LanguageModel(languages, pieces, np.full((n, len(languages)), 1.0 / n))
     for _ in range(ROUNDS):
