@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from workforce_signals.llm.arrays import text_chunks
+from workforce_signals.llm.id_cache import IdCache
 from workforce_signals.llm.workers import map_batches
 
 # Documents whose ids the dictionary is trained on, and how much of each: a bounded sample, by hash of the id.
@@ -31,8 +33,10 @@ DICTIONARY_BYTES = 65_536
 LEVEL = 3
 # A segment ends after so many documents or bytes; a larger document is a segment of its own.
 SEGMENT_DOCS, SEGMENT_BYTES = 1_024, 4 << 20
-# Words kept with their ids in a worker; beyond it the cache starts anew.
-CACHED = 300_000
+# Words kept with their ids in a worker.
+CACHED = 600_000
+# ASCII signs that are never one token with a letter before them. An apostrophe may be.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _loaded: dict[int, Words] = {}
 
@@ -46,37 +50,37 @@ class Words:
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.encode_special_tokens = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.cache: dict[str, int] = {"": 0}
-        self.starts = np.zeros(2, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.stems = IdCache(self._encode, CACHED)
+        self.cache = IdCache(self._learn, CACHED)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, counts.sum()), counts
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words. Signs after a last letter are tokens of their own, so words share what is before them."""
+        parts, first = [], []
+        for word in words:
+            first.append(len(parts))
+            stem = word.rstrip(_SIGNS)
+            if len(stem) < len(word) and stem and stem[-1].isalpha():
+                parts += stem, word[len(stem) :]
+            else:
+                parts.append(word)
+        ids, counts = self.stems.encode(parts)
+        return ids, np.add.reduceat(counts, first)
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``end_id`` after each, and the n + 1 offsets of the texts in them."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = [w for s in split for w in s]
-        if len(self.cache) > CACHED:
-            self.forget()
-        if new := [w for w in set(words) if w not in self.cache]:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.cache.update(zip(new, range(len(self.cache), len(self.cache) + len(new)), strict=True))
-            count = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(count)))
-            self.ids = np.concatenate((self.ids, np.array([i for f in found for i in f], np.uint32)))
-        at = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
-        count = self.starts[at + 1] - self.starts[at]
-        last = np.cumsum(np.fromiter(map(len, split), np.int64, len(split))) - 1
-        count_end = count.copy()
-        count_end[last] += 1
-        ends = np.cumsum(count_end)
-        out = np.full(ends[-1] if len(ends) else 0, end_id, np.uint32)
-        inner = np.cumsum(count)
-        step = np.arange(inner[-1] if len(inner) else 0)
-        before = inner - count
-        out[np.repeat(ends - count_end - before, count) + step] = self.ids[np.repeat(self.starts[at] - before, count) + step]
-        return out, np.concatenate(([0], ends[last]))
+        words = " ".join(texts).replace("\n", " ").split(" ")
+        per_text = np.fromiter((t.count(" ") + t.count("\n") + 1 for t in texts), np.int64, len(texts))
+        ids, counts = self.cache.encode(words)
+        sizes = np.add.reduceat(counts, np.cumsum(per_text) - per_text) if len(texts) else np.zeros(0, np.int64)
+        offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
+        out = np.full(offsets[-1], end_id, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), sizes)] = ids
+        return out, offsets
 
 
 def _words(raw: bytes) -> Words:
