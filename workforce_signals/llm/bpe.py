@@ -13,6 +13,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workforce_signals.llm.arrays import text_chunks
+from workforce_signals.llm.id_cache import IdCache
 from workforce_signals.llm.workers import importable
 
-# Bytes of text scanned at once, and pre-tokens kept with their ids in a worker; beyond it the cache starts anew.
-CHUNK, CACHED = 1 << 18, 300_000
+# Bytes of text scanned at once, and pre-tokens kept with their ids in a worker.
+CHUNK, CACHED = 1 << 18, 600_000
+# Pre-tokens merged side by side.
+MERGED = 20_000
 # Texts decoded at once.
 DECODED = 512
 # Pre-tokens with more bytes are merged one at a time, with a heap.
@@ -175,14 +179,9 @@ class Ranks:
         self.byte = np.array([get(bytes([b])) for b in range(256)], np.int32)
         both = self.byte.astype(np.int64)
         self.byte_pairs = self.pair(np.repeat(both, 256), np.tile(both, 256)).reshape(256, 256)
-        self.forget()
+        self.cache = IdCache(self._learn, CACHED)
         return self
 
-    def forget(self) -> None:
-        self.cache: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.int32)
-
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the token that two adjacent ones make, or _NONE."""
         key = a.astype(np.int64) * self.size + b
@@ -244,34 +243,35 @@ class Ranks:
         kept = done >= 0
         return done[kept].astype(np.int32), kept.sum(axis=1)
 
-    def learn(self, pieces: list[str]) -> None:
-        """Adds pieces to the cache."""
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of new pieces: those in the vocabulary at once, the others merged by width."""
         raw = [p.encode() for p in pieces]
-        known = [self.rank.get(b) for b in raw]
-        whole = [i for i, r in enumerate(known) if r is not None]
-        names = [pieces[i] for i in whole]
-        ids = [np.array([known[i] for i in whole], np.int32)]
-        counts = [np.ones(len(whole), np.int64)]
-        rest = [i for i, r in enumerate(known) if r is None]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        known = np.fromiter(map(self.rank.get, raw, repeat(-1)), np.int32, len(raw))
+        places, found, counts = [np.flatnonzero(known >= 0)], [known[known >= 0]], [np.ones((known >= 0).sum(), np.int64)]
         low = 0
         for width in (8, 16, 32, WIDE):
-            some = [i for i in rest if low < len(raw[i]) <= width]
+            some = np.flatnonzero((known < 0) & (size > low) & (size <= width))
             low = width
-            if some:
-                flat, n = self.merge_many([raw[i] for i in some], width)
-                ids.append(flat)
+            for a in range(0, len(some), MERGED):
+                part = some[a : a + MERGED]
+                ids, n = self.merge_many([raw[i] for i in part.tolist()], width)
+                places.append(part)
+                found.append(ids)
                 counts.append(n)
-                names += [pieces[i] for i in some]
-        for i in rest:
-            if len(raw[i]) > WIDE:
-                found = self.merge_long(raw[i])
-                ids.append(np.array(found, np.int32))
-                counts.append(np.array([len(found)]))
-                names.append(pieces[i])
-        base = len(self.cache)
-        self.cache.update(zip(names, range(base, base + len(names)), strict=True))
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts))))
-        self.ids = np.concatenate((self.ids, *ids))
+        for i in np.flatnonzero((known < 0) & (size > WIDE)).tolist():
+            ids = np.array(self.merge_long(raw[i]), np.int32)
+            places.append(np.array([i]))
+            found.append(ids)
+            counts.append(np.array([len(ids)]))
+        place, count = np.concatenate(places), np.concatenate(counts)
+        out = np.zeros(len(raw), np.int64)
+        out[place] = count
+        ends = np.cumsum(out)
+        to = np.repeat((ends - out)[place] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        flat = np.empty(ends[-1], np.int32)
+        flat[to] = np.concatenate(found)
+        return flat, out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the n + 1 offsets of the texts in them."""
@@ -284,15 +284,8 @@ class Ranks:
         starts = piece_starts(points, offsets[:-1][length > 0])
         cuts = starts.tolist()
         pieces = [joined[a:b] for a, b in zip(cuts, [*cuts[1:], len(joined)], strict=True)]
-        if len(self.cache) > CACHED:
-            self.forget()
-        if new := [p for p in set(pieces) if p not in self.cache]:
-            self.learn(new)
-        at = np.fromiter(map(self.cache.__getitem__, pieces), np.int64, len(pieces))
-        count = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(count)
-        place = np.repeat(self.starts[at] - (ends - count), count) + np.arange(ends[-1])
-        return self.ids[place], np.concatenate(([0], ends))[np.searchsorted(starts, offsets)]
+        ids, count = self.cache.encode(pieces)
+        return ids, np.concatenate(([0], np.cumsum(count)))[np.searchsorted(starts, offsets)]
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of a run of tokens."""
