@@ -21,12 +21,12 @@ FIRST_YEAR, END_YEAR = 1995, 2005
 
 FX_POSTINGS = """
 SELECT o.o_orderkey AS id, year(o.o_orderdate) AS year,
-  cast(cast(o.o_custkey % 200 AS double) AS string) AS company,
-  CASE WHEN o.o_custkey % 50 = 7 THEN NULL ELSE 'Firm ' || cast(o.o_custkey % 200 AS string) END AS company_name,
+  cast(cast(cast(floor(o.o_custkey / 4) AS bigint) AS double) AS string) AS company,
+  CASE WHEN o.o_custkey % 50 = 7 THEN NULL ELSE 'Firm ' || cast(cast(floor(o.o_custkey / 4) AS bigint) AS string) END AS company_name,
   CASE WHEN o.o_orderkey % 97 = 0 THEN NULL WHEN o.o_orderkey % 97 = 1 THEN ''
        ELSE t.toks || CASE WHEN o.o_orderkey % 89 = 0 THEN '||' ELSE '' END
                    || CASE WHEN o.o_orderkey % 101 = 0 THEN '|  ' ELSE '' END END AS skills_name
-FROM orders o JOIN (
+FROM orders o LEFT JOIN (
   SELECT l.l_orderkey, string_agg(
     CASE WHEN q.o_orderpriority = '1-URGENT' AND l.l_linenumber = 1 THEN 'Machine Learning'
          WHEN q.o_orderpriority = '1-URGENT' AND l.l_linenumber = 2 THEN ' NLP '
@@ -39,9 +39,10 @@ FROM orders o JOIN (
 """
 
 FX_PROFILE = """
-SELECT o.o_custkey AS id, cast(o.o_custkey % 200 AS string) AS company,
-  CASE WHEN o.o_orderkey % 83 = 0 THEN NULL WHEN o.o_orderkey % 7 = 0 THEN ' firm ' || cast(o.o_custkey % 200 AS string)
-       ELSE 'Firm ' || cast(o.o_custkey % 200 AS string) END AS company_name,
+SELECT o.o_custkey AS id, cast(cast(floor(o.o_custkey / 4) AS bigint) AS string) AS company,
+  CASE WHEN o.o_orderkey % 83 = 0 THEN NULL
+       WHEN o.o_orderkey % 7 = 0 THEN ' firm ' || cast(cast(floor(o.o_custkey / 4) AS bigint) AS string)
+       ELSE 'Firm ' || cast(cast(floor(o.o_custkey / 4) AS bigint) AS string) END AS company_name,
   CASE o.o_orderkey % 20 WHEN 0 THEN 'Machine Learning Engineer' WHEN 1 THEN NULL ELSE 'Clerk ' || o.o_orderpriority END AS title_raw,
   CASE WHEN o.o_orderkey % 53 = 0 THEN '  ' WHEN o.o_orderkey % 59 = 0 THEN '2000-7' WHEN o.o_orderkey % 61 = 0 THEN '1999-13'
        WHEN o.o_orderkey % 67 = 0 THEN NULL
@@ -56,17 +57,29 @@ FX_DESCRIPTION = """
 SELECT doc_id AS id, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE text END AS description_raw FROM documents
 """
 
+# Every customer; a third of the numbers and names belong to no firm.
 FX_LINK = """
-SELECT cast(c_custkey AS double) AS ID, 'Firm ' || cast(c_custkey AS string) AS NAME, lpad(cast(1000 + c_custkey AS string), 6, '0') AS GVKEY
-FROM customer WHERE c_custkey < 200 AND c_custkey % 3 <> 0
+SELECT cast(CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS double) AS ID,
+  'Firm ' || cast(CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS string) AS NAME,
+  lpad(cast(1000 + c_custkey AS string), 6, '0') AS GVKEY
+FROM customer
 UNION ALL SELECT cast(NULL AS double), cast(NULL AS string), '999999'
 """
 
+# The older sample's layout, all text, with the descriptions of jobs that are still held.
+FX_SAMPLE = """
+SELECT cast(p.id AS string) AS ID, p.title_raw AS TITLE_NAME, p.company_name AS COMPANY_NAME_RAW, p.is_current AS IS_CURRENT,
+  p.most_recent_company_start_month AS JOB_START_YM, p.most_recent_company_end_month AS JOB_END_YM,
+  CASE WHEN p.is_current = '1' THEN d.description_raw END AS DESCRIPTION_RAW
+FROM fx_profile p LEFT JOIN fx_description d ON d.id = p.id
+"""
+
 VIEWS = {
     "fx_postings": FX_POSTINGS,
     "fx_profile": FX_PROFILE,
     "fx_description": FX_DESCRIPTION,
     "fx_link": FX_LINK,
+    "fx_sample": FX_SAMPLE,
 }
 
 _built: dict[tuple[str, str, str], str] = {}
@@ -86,6 +99,9 @@ def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, in as many pieces as there are cores: inputs are folders of files."""
     for table in BASE_TABLES:
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    if name == "fx_sample":
+        for other in ("fx_profile", "fx_description"):
+            spark.sql(VIEWS[other]).createOrReplaceTempView(other)
     return spark.sql(VIEWS[name]).repartition(spark.sparkContext.defaultParallelism)
 
 
@@ -107,3 +123,7 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(spark, sf_dir, "fx_link"))
+
+
+def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(table_path(spark, sf_dir, "fx_sample"))

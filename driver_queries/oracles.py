@@ -37,6 +37,14 @@ _ROUNDED = "SELECT * REPLACE (round(job_ai_score, 9) AS job_ai_score) FROM ({job
 
 _MONTH = "cast(try_strptime(nullif(trim({0}), '') || '-01', '%Y-%m-%d') AS DATE)"
 
+_SORTED = "array_to_string(list_sort(string_split({0}, '|')), '|') AS skills_name"
+
+
+def _position(order: str) -> str:
+    keys = ", ".join(f"{key.strip()} NULLS LAST" for key in order.split(","))
+    return f"rank() OVER (ORDER BY {keys}) AS position"
+
+
 CTES = {
     **VIEWS,
     "exploded": """
@@ -69,11 +77,15 @@ SELECT cast(id AS VARCHAR) AS id, title_raw AS title_name, company_name AS compa
   {_MONTH.format("most_recent_company_end_month")} AS job_end_ym
 FROM merged""",
     "spells_current": f"""
-SELECT cast(id AS VARCHAR) AS id, title_raw AS title_name, company_name AS company_name_raw,
-  {_MONTH.format("most_recent_company_start_month")} AS job_start_ym,
-  {_MONTH.format("most_recent_company_end_month")} AS job_end_ym,
-  coalesce(try_cast(nullif(trim(is_current), '') AS INTEGER), 0) AS is_current
-FROM fx_profile""",
+SELECT ID AS id, TITLE_NAME AS title_name, COMPANY_NAME_RAW AS company_name_raw, DESCRIPTION_RAW AS description_raw,
+  {_MONTH.format("JOB_START_YM")} AS job_start_ym, {_MONTH.format("JOB_END_YM")} AS job_end_ym,
+  coalesce(try_cast(nullif(trim(IS_CURRENT), '') AS INTEGER), 0) AS is_current
+FROM fx_sample""",
+    "years_current": f"""
+SELECT s.id, s.title_name, s.company_name_raw, s.description_raw, cast(y.y AS INTEGER) AS year
+FROM (SELECT *, CASE WHEN job_end_ym IS NOT NULL THEN year(job_end_ym) WHEN is_current = 1 THEN {AS_OF} END AS ey
+      FROM spells_current) s, range(year(s.job_start_ym), greatest(s.ey, year(s.job_start_ym)) + 1) AS y(y)
+WHERE s.job_start_ym IS NOT NULL AND s.ey IS NOT NULL""",
     "keywords": """
 SELECT DISTINCT lower(trim(skill)) AS skill
 FROM (SELECT * FROM scores ORDER BY ai_score DESC, total_cnt DESC, skill LIMIT 100)
@@ -95,6 +107,27 @@ WHERE h.job_start_ym IS NOT NULL""",
 SELECT lower(trim(company_name_raw)) AS company_key, company_name_raw AS company_name, year, id,
   max(ai_related) AS ai_related_any
 FROM flagged GROUP BY 1, 2, 3, 4""",
+    "found_current": """
+SELECT DISTINCT title_name, description_raw FROM years_current t
+WHERE EXISTS (SELECT 1 FROM keywords k
+  WHERE position(k.skill IN lower(coalesce(t.title_name, '')) || ' ' || lower(coalesce(t.description_raw, ''))) > 0)""",
+    "persons_current": """
+SELECT y.company_name_raw AS company_name, y.year, y.id, max(CASE WHEN f.found THEN 1 ELSE 0 END) AS ai_related_any
+FROM years_current y LEFT JOIN (SELECT *, true AS found FROM found_current) f
+  ON f.title_name IS NOT DISTINCT FROM y.title_name AND f.description_raw IS NOT DISTINCT FROM y.description_raw
+GROUP BY 1, 2, 3""",
+    "measure_current": """
+SELECT company_name, year, count(*) AS employees, cast(sum(ai_related_any) AS BIGINT) AS ai_employees,
+  cast(sum(ai_related_any) AS DOUBLE) / count(*) AS ai_measure
+FROM persons_current GROUP BY company_name, year""",
+    "long_texts": """
+SELECT DISTINCT id, title_raw, lower(coalesce(title_raw, '')) || ' ' || lower(description_raw) AS searched FROM merged""",
+    "long_hits": """
+SELECT t.id, t.title_raw, (SELECT k.skill FROM (
+    SELECT DISTINCT skill FROM exploded WHERE skill <> ''
+    UNION ALL SELECT 'job ' || o_orderkey FROM orders UNION ALL SELECT 'task ' || o_orderkey FROM orders) k
+  WHERE position(k.skill IN t.searched) > 0 ORDER BY position(k.skill IN t.searched), k.skill LIMIT 1) AS first_hit_skill
+FROM long_texts t""",
     "measure": """
 SELECT company_name, year, count(*) AS employees, cast(sum(ai_related_any) AS BIGINT) AS ai_employees,
   cast(sum(ai_related_any) AS DOUBLE) / count(*) AS ai_measure
@@ -128,7 +161,7 @@ _SELECTS = {
     "q_job_scores_dups": f"SELECT * REPLACE ({_YEAR}) FROM ("
     + _ROUNDED.format(jobs=_JOBS.format(mean="avg(s.ai_score)", rows="exploded", having=""))
     + ")",
-    "q_job_scores_shared_ids": f"SELECT * EXCLUDE (ai_job) REPLACE ({_YEAR}) FROM ("
+    "q_job_scores_shared_ids": f"SELECT * REPLACE ({_YEAR}) FROM ("
     + _ROUNDED.format(jobs=_JOBS.format(mean="avg(s.ai_score)", rows="job_skills_shared", having=""))
     + ")",
     "q_company_share": f"SELECT * REPLACE ({_YEAR}) FROM share",
@@ -150,11 +183,29 @@ SELECT s.id, s.title_name, s.company_name_raw, s.description_raw, cast(y.y AS IN
 FROM spells s, range(year(s.job_start_ym),
   greatest(coalesce(year(s.job_end_ym), {AS_OF}), year(s.job_start_ym)) + 1) AS y(y)
 WHERE s.job_start_ym IS NOT NULL""",
-    "q_expand_years_current": f"""
-SELECT s.id, s.title_name, s.company_name_raw, cast(y.y AS INTEGER) AS year
-FROM (SELECT *, CASE WHEN job_end_ym IS NOT NULL THEN year(job_end_ym) WHEN is_current = 1 THEN {AS_OF} END AS ey
-      FROM spells_current) s, range(year(s.job_start_ym), greatest(s.ey, year(s.job_start_ym)) + 1) AS y(y)
-WHERE s.job_start_ym IS NOT NULL AND s.ey IS NOT NULL""",
+    "q_expand_years_current": "SELECT * FROM years_current",
+    "q_resume_measure_current": "SELECT * FROM measure_current",
+    "q_first_hit_long_list": """
+SELECT m.id, m.title_raw, m.most_recent_company_start_month, h.first_hit_skill
+FROM merged m JOIN long_hits h ON h.id = m.id AND h.title_raw IS NOT DISTINCT FROM m.title_raw""",
+    "q_link_overlap": f"""
+SELECT * REPLACE ({_YEAR}) FROM (
+SELECT s.* RENAME (company_name AS company_name_x), try_cast(s.company AS DOUBLE) AS company_num, l.*,
+  upper(l.NAME) AS company_name_y
+FROM share s JOIN fx_link l ON try_cast(s.company AS DOUBLE) = l.ID)""",
+    "q_ordered_skill_years": f"SELECT * REPLACE ({_YEAR}), "
+    + _position("co_jobs_with_ai DESC, cnt DESC, skill")
+    + " FROM skill_years",
+    "q_ordered_jobs": f"SELECT * REPLACE ({_YEAR}), "
+    + _position("job_ai_score DESC, n_matched_skills DESC, job_id")
+    + " FROM ("
+    + _ROUNDED.format(jobs="SELECT * FROM jobs")
+    + ")",
+    "q_ordered_companies": f"SELECT * REPLACE ({_YEAR}), "
+    + _position("ai_job_share DESC, n_postings DESC, company_name")
+    + " FROM share",
+    "q_ordered_spell_years": f"SELECT *, {_position('id, title_name, year')} FROM flagged",
+    "q_ordered_firm_years": f"SELECT *, {_position('company_name, year')} FROM measure",
     "q_keyword_list": "SELECT skill FROM keywords",
     "q_first_hit": "SELECT * FROM hits",
     "q_flag_years": "SELECT * FROM flagged",
@@ -164,24 +215,30 @@ WHERE s.job_start_ym IS NOT NULL AND s.ey IS NOT NULL""",
 SELECT m.*, l.* FROM measure m JOIN fx_link l ON l.NAME = m.company_name
 WHERE m.year >= {FIRST_YEAR} AND m.year < {END_YEAR}""",
     "q_src_union_by_name": f"""
-SELECT id, company, CASE WHEN id % 2 = 0 THEN company_name END AS company_name, {_YEAR} FROM fx_postings""",
+SELECT id, company, CASE WHEN id % 2 = 0 THEN company_name END AS company_name, {_SORTED.format("skills_name")}, {_YEAR}
+FROM fx_postings""",
     "q_src_skill_years": f"SELECT * REPLACE ({_YEAR}) FROM skill_years",
     "q_src_csv_roundtrip": "SELECT * REPLACE (nullif(skill, '') AS skill) FROM scores",
+    "q_src_csv_mixed_headers": f"""
+SELECT nullif(skill, '') AS skill, cast(cnt AS INTEGER) AS cnt, CASE WHEN year % 2 = 1 THEN cast(year AS INTEGER) END AS year
+FROM skill_years""",
+    "q_src_parquet_before_csv": "SELECT * FROM scores",
+    "q_read_link": "SELECT *, 'sub ' || GVKEY AS Unnamed_Sub FROM fx_link",
     "q_src_csv_all_string": """
-SELECT cast(id AS VARCHAR) AS ID, nullif(title_raw, '') AS TITLE_NAME, nullif(company_name, '') AS COMPANY_NAME_RAW,
-  nullif(is_current, '') AS IS_CURRENT, nullif(most_recent_company_start_month, '') AS JOB_START_YM,
-  nullif(most_recent_company_end_month, '') AS JOB_END_YM
-FROM fx_profile""",
+SELECT ID, nullif(TITLE_NAME, '') AS TITLE_NAME, nullif(COMPANY_NAME_RAW, '') AS COMPANY_NAME_RAW,
+  nullif(IS_CURRENT, '') AS IS_CURRENT, nullif(JOB_START_YM, '') AS JOB_START_YM, nullif(JOB_END_YM, '') AS JOB_END_YM,
+  nullif(DESCRIPTION_RAW, '') AS DESCRIPTION_RAW
+FROM fx_sample""",
     "q_csv_to_parquet": """
-SELECT cast(id AS VARCHAR) AS ID, nullif(title_raw, '') AS TITLE_NAME, nullif(company_name, '') AS COMPANY_NAME_RAW,
-  nullif(is_current, '') AS IS_CURRENT, nullif(most_recent_company_start_month, '') AS JOB_START_YM,
-  nullif(nullif(most_recent_company_end_month, ''), 'n/a') AS JOB_END_YM
-FROM fx_profile""",
+SELECT ID, nullif(TITLE_NAME, '') AS TITLE_NAME, nullif(COMPANY_NAME_RAW, '') AS COMPANY_NAME_RAW,
+  nullif(IS_CURRENT, '') AS IS_CURRENT, nullif(JOB_START_YM, '') AS JOB_START_YM,
+  nullif(nullif(JOB_END_YM, ''), 'n/a') AS JOB_END_YM, nullif(DESCRIPTION_RAW, '') AS DESCRIPTION_RAW
+FROM fx_sample""",
     "q_ingest_prune": f"""
 SELECT id, 'last_updated_date ' || id AS last_updated_date, 'duplicates ' || id AS duplicates,
   'posted ' || id AS posted, 'expired ' || id AS expired, company, company_name, 'title_name ' || id AS title_name,
   'title_clean ' || id AS title_clean, 'specialized_skills_name ' || id AS specialized_skills_name,
-  {_YEAR}, 'month=' || lpad(cast(id % 12 + 1 AS VARCHAR), 2, '0') AS month
+  {_SORTED.format("nullif(skills_name, '')")}, {_YEAR}, 'month=' || lpad(cast(id % 12 + 1 AS VARCHAR), 2, '0') AS month
 FROM fx_postings""",
     "q_file_rowcount_rollup": """
 SELECT coalesce(filename, 'Total') AS filename, count(*) AS nrows

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import workforce_signals as ws
 from driver_queries import fixtures as fx
+from workforce_signals.operators import lookup
 from workforce_signals.operators.spells import SAMPLE_NAMES
 from workforce_signals.plans.stored import new_path
 from workforce_signals.sources import schemas
@@ -55,9 +57,8 @@ def _spells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _current_spells(spark: SparkSession, sf: str) -> DataFrame:
-    """Spells with the is-current flag, straight from the profiles."""
-    profiles = fx.profiles(spark, sf).withColumn("description_raw", F.lit(None).cast("string"))
-    return ws.parse_spells(profiles, with_current=True)
+    """Spells of the older sample, with texts and the is-current flag."""
+    return ws.parse_spells(fx.sample(spark, sf), with_current=True, names=SAMPLE_NAMES)
 
 
 def _keywords(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +120,7 @@ def q_job_scores_dups(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_job_scores_shared_ids(spark: SparkSession, sf: str) -> DataFrame:
     postings = _shared_id_postings(spark, sf)
-    return _rounded(ws.job_scores(postings, _scores(_postings(spark, sf)))).drop("ai_job")
+    return _rounded(ws.job_scores(postings, _scores(_postings(spark, sf))))
 
 
 def q_company_share(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,7 +154,7 @@ def q_parse_spells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_parse_spells_current(spark: SparkSession, sf: str) -> DataFrame:
-    return _current_spells(spark, sf).drop("description_raw")
+    return _current_spells(spark, sf)
 
 
 def q_expand_years(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,7 +162,7 @@ def q_expand_years(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_expand_years_current(spark: SparkSession, sf: str) -> DataFrame:
-    return ws.expand_years(_current_spells(spark, sf), fx.AS_OF, "flag").drop("description_raw")
+    return ws.expand_years(_current_spells(spark, sf), fx.AS_OF, "flag")
 
 
 def q_keyword_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,26 +206,102 @@ def q_resume_measure(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def q_src_union_by_name(spark: SparkSession, sf: str) -> DataFrame:
+def q_resume_measure_current(spark: SparkSession, sf: str) -> DataFrame:
+    """The older sample end to end: CSV with texts, is-current policy, keywords, firm-year shares."""
+    sample = ws.read_profiles_csv(spark, _sample_csv(spark, sf))
+    return ws.resume_measure(sample, None, _keywords(spark, sf), as_of=fx.AS_OF, open_end="flag", names=SAMPLE_NAMES)
+
+
+def q_first_hit_long_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Keywords from all skills and two for every order, far more than one pattern takes."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
+    tasks = orders.select(F.explode(F.array(F.lit("Job "), F.lit(" task "))).alias("kind"), "o_orderkey")
+    keywords = ws.explode_skills(_postings(spark, sf)).select("skill").distinct()
+    keywords = keywords.unionAll(tasks.select(F.concat("kind", "o_orderkey")))
+    merged = ws.merge_with_hits(fx.profiles(spark, sf), fx.descriptions(spark, sf), keywords)
+    return merged.select("id", "title_raw", "most_recent_company_start_month", "first_hit_skill")
+
+
+def q_link_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """A link table that has a firm name of its own, linked, written and read back."""
+    link = fx.link(spark, sf).withColumn("company_name", F.upper("NAME"))
+    path = new_path(spark, "linked")
+    ws.write_table(ws.link_by_id(ws.company_share(_job_scores(spark, sf)), link), path)
+    return spark.read.parquet(path)
+
+
+def _ordered(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The table written in its order and read back with the place of the first row of each sort key."""
+    path = new_path(df.sparkSession, "ordered")
+    ws.write_table(ws.order_output(df, *order), path)
+    keys = Window.partitionBy(*(c.removeprefix("-") for c in order))
+    return ws.with_position(df.sparkSession.read.parquet(path)).withColumn("position", F.min("position").over(keys))
+
+
+def q_ordered_skill_years(spark: SparkSession, sf: str) -> DataFrame:
+    return _ordered(ws.skill_year_counts(_postings(spark, sf)), lookup.SKILL_YEAR_ORDER)
+
+
+def q_ordered_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    return _ordered(_rounded(_job_scores(spark, sf)), lookup.JOB_ORDER)
+
+
+def q_ordered_companies(spark: SparkSession, sf: str) -> DataFrame:
+    return _ordered(ws.company_share(_job_scores(spark, sf)), lookup.COMPANY_ORDER)
+
+
+def q_ordered_spell_years(spark: SparkSession, sf: str) -> DataFrame:
+    return _ordered(_flagged(spark, sf), lookup.SPELL_YEAR_ORDER)
+
+
+def q_ordered_firm_years(spark: SparkSession, sf: str) -> DataFrame:
+    return _ordered(ws.company_year_share(_flagged(spark, sf)), lookup.COMPANY_YEAR_ORDER)
+
+
+def _side_by_side(jobs: list[Callable[[], None]]) -> None:
+    """Several small writes at once; input folders of many years are built so."""
+    with ThreadPoolExecutor(8) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+
+
+def _years(df: DataFrame) -> list[int]:
+    return sorted(r["year"] for r in df.select("year").distinct().collect())
+
+
+def _sorted_skills(df: DataFrame) -> DataFrame:
+    """Skill lists with their pieces in order: the order in a list carries no meaning and differs between engines."""
+    return df.withColumn("skills_name", F.array_join(F.array_sort(F.split("skills_name", r"\|")), "|"))
+
+
+def _year_folders(postings: DataFrame, root: str) -> None:
     """Year folders whose files disagree: ids as integers and as doubles, firm name missing in some."""
-    postings, root = _postings(spark, sf), new_path(spark, "jobs_by_year")
-    years = [r["year"] for r in postings.select("year").distinct().collect()]
-    for year in years:
+
+    def write(year: int) -> None:
         rows, path = postings.where(F.col("year") == year).drop("year"), f"{root}/{year}/parquet"
         rows.where("id % 2 = 0").write.parquet(path)
-        rows.where("id % 2 = 1").select("skills_name", "company", F.col("id").cast("double")).write.mode(
-            "append"
-        ).parquet(path)
-    return ws.read_postings(spark, root).drop("skills_name")
+        odd = rows.where("id % 2 = 1").select("skills_name", "company", F.col("id").cast("double"))
+        odd.write.mode("append").parquet(path)
+
+    _side_by_side([lambda y=y: write(y) for y in _years(postings)])
+
+
+def q_src_union_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    postings = _postings(spark, sf)
+    root = fx.built(spark, sf, "jobs_by_year", lambda path: _year_folders(postings, path))
+    return _sorted_skills(ws.read_postings(spark, root))
 
 
 def q_src_skill_years(spark: SparkSession, sf: str) -> DataFrame:
     """Yearly result files, read back as one table."""
     root = new_path(spark, "out")
     counts = ws.store(ws.skill_year_counts(_postings(spark, sf)), "skill_years").df
-    for row in counts.select("year").distinct().collect():
-        rows = counts.where(F.col("year") == row["year"]).drop("year")
-        ws.write_table(rows, f"{root}/{row['year']}_skills_counts_co.parquet")
+
+    def write(year: int) -> None:
+        rows = counts.where(F.col("year") == year).drop("year")
+        ws.write_table(rows, f"{root}/{year}_skills_counts_co.parquet")
+
+    _side_by_side([lambda y=y: write(y) for y in _years(counts)])
     return ws.read_skill_years(spark, root)
 
 
@@ -234,14 +311,34 @@ def q_src_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return ws.read_table(spark, path, schema=schemas.SKILL_SCORE)
 
 
+def q_src_csv_mixed_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV files without a known schema that disagree on the order and the number of their columns."""
+    root, counts = new_path(spark, "mixed"), ws.skill_year_counts(_postings(spark, sf))
+    counts = ws.store(counts, "skill_years").df
+    ws.write_table(counts.where("year % 2 = 0").select("skill", "cnt"), f"{root}/a", "csv")
+    ws.write_table(counts.where("year % 2 = 1").select("cnt", "skill", "year"), f"{root}/b", "csv")
+    return ws.read_table(spark, f"{root}/*", "csv")
+
+
+def q_read_link(spark: SparkSession, sf: str) -> DataFrame:
+    """A link CSV with row numbers in front and a column whose name looks like one made up for such numbers."""
+    link = fx.link(spark, sf).withColumn("Unnamed_Sub", F.concat(F.lit("sub "), "GVKEY"))
+    path = new_path(spark, "link") + ".csv"
+    ws.write_table(link.select(F.xxhash64("GVKEY").alias("idx"), "*"), path, "csv")
+    return ws.read_link(spark, path, index_col=0)
+
+
+def q_src_parquet_before_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Both formats lie there; the CSV holds other rows."""
+    path, scores = new_path(spark, "scores") + "/all_years", ws.store(_scores(_postings(spark, sf)), "scores").df
+    ws.write_table(scores, path + ".parquet")
+    ws.write_table(scores.limit(3), path + ".csv", "csv")
+    return ws.read_table(spark, path, schema=schemas.SKILL_SCORE)
+
+
 def _sample_csv(spark: SparkSession, sf: str) -> str:
-    """The profiles as a CSV folder in the older sample's layout."""
-    role = {"id": "id", "title": "title_raw", "company": "company_name", "current": "is_current"}
-    role |= {"start": "most_recent_company_start_month", "end": "most_recent_company_end_month"}
-    path = new_path(spark, "sample")
-    profiles = fx.profiles(spark, sf)
-    ws.write_table(profiles.select(*(F.col(c).alias(SAMPLE_NAMES[r]) for r, c in role.items())), path, "csv")
-    return path
+    """The older sample as a CSV folder."""
+    return fx.built(spark, sf, "sample", lambda path: ws.write_table(fx.sample(spark, sf), path, "csv"))
 
 
 def q_src_csv_all_string(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,15 +362,18 @@ def _write_extracts(postings: DataFrame, path: str) -> None:
         F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0").alias("month"),
         "year",
     )
-    for row in postings.select("year").distinct().collect():
-        rows = raw.where(F.col("year") == row["year"]).drop("year").repartition("month")
+
+    def write(year: int) -> None:
+        rows = raw.where(F.col("year") == year).drop("year").repartition("month")
         (
             rows.write.partitionBy("month")
             .options(header=True, quote='"', escape='"', compression="gzip")
             .options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-            .csv(f"{path}/{row['year']}")
+            .csv(f"{path}/{year}")
         )
 
+    _side_by_side([lambda y=y: write(y) for y in _years(postings)])
+
 
 def _extracts(spark: SparkSession, sf: str) -> str:
     postings = fx.postings_path(spark, sf)
@@ -287,7 +387,7 @@ def _ingested(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_ingest_prune(spark: SparkSession, sf: str) -> DataFrame:
-    return _ingested(spark, sf).drop("skills_name")
+    return _sorted_skills(_ingested(spark, sf))
 
 
 def q_file_rowcount_rollup(spark: SparkSession, sf: str) -> DataFrame:

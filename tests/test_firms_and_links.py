@@ -77,3 +77,16 @@ def test_output_orders(spark, order, tmp_path):
         )
 
     assert found == sorted(values, key=place)
+
+
+def test_columns_of_both_tables_are_told_apart(spark, tmp_path):
+    link = spark.createDataFrame([(12.0, "F", "001", "Own Name", "a")], LINK + ", company_name string, YEAR string")
+    left = spark.createDataFrame([(2010, "12", "F", 0.5)], "year int, company string, company_name string, ai_job_share double")
+    found = ws.link_by_id(left, link)
+    found.write.parquet(str(tmp_path / "t"))
+    assert {"company_name_x", "company_name_y"} <= set(found.columns) and "company_name" not in found.columns
+    row = found.first()
+    assert row["company_name_y"] == "Own Name" and row["GVKEY"] == "001"
+    measure = spark.createDataFrame([("F", 2010, 1.0)], "company_name string, year int, ai_measure double")
+    linked = ws.link_by_name(measure, link)
+    assert (linked.first()["company_name_x"], linked.first()["year_x"]) == ("F", 2010)

@@ -150,3 +150,16 @@ def test_posting_measure_properties(spark):
     assert all(0 <= r["ai_job_share"] <= 1 for r in share)
     again = ws.posting_measure(posting.repartition(5), min_jobs=1, unique_ids=True).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, share))
+
+
+def test_sums_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(200)]
+    table = scores(spark, **{w: rng.random() / 5 for w in words})
+    values = [(i % 40, "1", "F", "|".join(rng.choices(words, k=30))) for i in range(800)]
+    found = {
+        tuple(rows(ws.job_scores(postings(spark, *values).repartition(n), table, dedup=dedup)))
+        for n in (1, 7, 50)
+        for dedup in (True,)
+    }
+    assert len(found) == 1

@@ -1,14 +1,14 @@
 import random
 
 import pytest
-from conftest import rows
+from conftest import plan, rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import workforce_signals as ws
 from workforce_signals.functions import patterns
-from workforce_signals.operators import keywords as keyword_module
+from workforce_signals.operators.spells import PROFILE_NAMES
 
 SPELL = "id string, title_name string, description_raw string"
 
@@ -55,7 +55,7 @@ def test_no_keywords(spark):
     assert hits(spark, [("ai", "ai")], []) == [None]
 
 
-@pytest.mark.parametrize("path", ["pattern", "several patterns", "join"])
+@pytest.mark.parametrize("path", ["pattern", "several patterns"])
 def test_all_paths_against_brute_force(spark, monkeypatch, path):
     rng = random.Random(11)
     alphabet = "abé .c+"
@@ -66,8 +66,6 @@ def test_all_paths_against_brute_force(spark, monkeypatch, path):
     ]
     if path == "several patterns":
         monkeypatch.setattr(patterns, "PATTERN_KEYWORDS", 7)
-    if path == "join":
-        monkeypatch.setattr(keyword_module, "LITERAL_KEYWORDS", 3)
     expected = [earliest(f"{a} {b}", words) for a, b in values]
     assert hits(spark, values, words) == expected
     assert None not in hits(spark, [(w, "") for w in words], words)
@@ -87,15 +85,22 @@ def test_pattern_is_earliest_then_shortest(spark, words, texts):
 
 @settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
-    st.sets(st.text(st.sampled_from("ab "), min_size=1, max_size=5).map(str.strip), max_size=8),
+    st.lists(st.one_of(st.none(), st.text(st.sampled_from("aAbB \u3000"), max_size=5)), max_size=8),
     st.lists(st.tuples(st.text(st.sampled_from("ab xé𝒜"), max_size=5), st.text(st.sampled_from("abx "), max_size=6)), min_size=1, max_size=10),
 )
-def test_search_before_the_join(spark, words, values):
-    words = words - {""}
+def test_one_meaning_of_keywords(spark, words, values):
+    """Lists and tables, searched before or after the join or for the measure: blanks around keywords and capitals do not count."""
+    normal = {w.strip(" \u3000").lower() for w in words if w} - {""}
+    expected = [earliest(f"{a} {b}".lower(), normal) for a, b in values]
     profiles = spark.createDataFrame([(i, "1", "F", a, "2000-01", None) for i, (a, _) in enumerate(values)], PROFILE)
     texts = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(values)], "id bigint, description_raw string")
-    found = ws.merge_with_hits(profiles, texts, words).orderBy("id").collect()
-    assert [r["first_hit_skill"] for r in found] == [earliest(f"{a} {b}", words) for a, b in values]
+    for keywords in (words, table(spark, words)):
+        found = ws.merge_with_hits(profiles, texts, keywords).orderBy("id").collect()
+        assert [r["first_hit_skill"] for r in found] == expected
+        found = ws.first_keyword_hit(ws.merge_profiles(profiles, texts), keywords, "title_raw").orderBy("id").collect()
+        assert [r["first_hit_skill"] for r in found] == expected
+        measure = ws.resume_measure(profiles, texts, keywords, as_of=2000).collect()
+        assert [(r["employees"], r["ai_employees"]) for r in measure] == [(len(values), sum(e is not None for e in expected))]
 
 
 PROFILE = (
@@ -104,8 +109,7 @@ PROFILE = (
 )
 
 
-@pytest.mark.parametrize("path", ["pattern", "join"])
-def test_resume_measure_equals_its_steps(spark, monkeypatch, path):
+def test_resume_measure_equals_its_steps(spark):
     rng = random.Random(2)
     words = ["deep learning", "learning to rank", "ai", "b c d", "c", "deep learning to rank"]
     parts = ["deep", "learning", "to rank", "b", "c d", "x", "Deep  ", "B C", "d", ""]
@@ -133,8 +137,6 @@ def test_resume_measure_equals_its_steps(spark, monkeypatch, path):
     steps = ws.company_year_share(ws.flag_years(spells, words, 2003))
     columns = ("id", "company_name", "title_raw", "most_recent_company_start_month", "description_raw")
     searched = ws.first_keyword_hit(ws.merge_profiles(profiles, descriptions), words, "title_raw")
-    if path == "join":
-        monkeypatch.setattr(keyword_module, "LITERAL_KEYWORDS", 3)
     merged = ws.merge_with_hits(profiles, descriptions, table(spark, words))
     assert rows(merged, *columns, "first_hit_skill") == rows(searched, *columns, "first_hit_skill")
     measure = ws.resume_measure(profiles, descriptions, table(spark, words), as_of=2003)
@@ -145,3 +147,27 @@ def test_resume_measure_equals_its_steps(spark, monkeypatch, path):
         profiles, descriptions, table(spark, words), link, as_of=2003, first_year=2001, end_year=2003
     )
     assert rows(linked) == rows(ws.link_by_name(steps, link, 2001, 2003))
+
+
+def test_a_long_list_with_short_keywords_makes_no_pairs(spark):
+    words = [f"{a}{b}{c}{d}" for a in "qzxv" for b in "qzxv" for c in "0123456789" for d in range(160)] + ["r", "c"]
+    assert len(words) > 20_000
+    df = spark.createDataFrame([("1", "clerk", "a lot of text"), ("2", "boss", "x qq0159 y"), ("3", "mmm", "")], SPELL)
+    found = ws.first_keyword_hit(df, table(spark, words))
+    assert [r["first_hit_skill"] for r in found.orderBy("id").collect()] == ["c", "qq01", None]
+    for pairs in ("Join", "Generate", "Exchange"):
+        assert pairs not in plan(found)
+
+
+def test_older_sample_end_to_end(spark):
+    names = dict(zip(PROFILE_NAMES, ("ID", "T", "C", "D", "S", "E", "N"), strict=True))
+    schema = ", ".join(f"{c} string" for c in names.values())
+    sample = [
+        ("1", "ML boss", "F", None, "2000-01", "2001-05", "0"), ("2", "clerk", "F", "does ML", "2001-01", "", "1"),
+        ("3", None, "F", "ML", "2001-01", None, "0"), ("4", None, "F", None, "2000-12", "1999-01", ""),
+    ]
+    found = ws.resume_measure(spark.createDataFrame(sample, schema), None, [" Ml"], as_of=2002, open_end="flag", names=names)
+    assert rows(found) == [("F", 2000, 2, 1, 0.5), ("F", 2001, 2, 2, 1.0), ("F", 2002, 1, 1, 1.0)]
+    texts = spark.createDataFrame([("2", "does ML")], "id string, description_raw string")
+    split = ws.resume_measure(spark.createDataFrame(sample, schema), texts, ["ml"], as_of=2002, open_end="flag", names=names)
+    assert rows(split) == [("F", 2001, 1, 1, 1.0), ("F", 2002, 1, 1, 1.0)]

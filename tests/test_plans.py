@@ -55,6 +55,18 @@ def test_tables_above_the_limit_are_not_broadcast(spark, postings, no_broadcast)
     assert "SortMergeJoin" in text and "Broadcast" not in text
 
 
+def test_only_repeated_ids_carry_skills(spark, monkeypatch):
+    """Also where their set is too large to broadcast."""
+    values = [(i if i else 1, 2010, "1", "F", "ai|x", "t") for i in range(50)]
+    df = spark.createDataFrame(values, POSTING)
+    scores = spark.createDataFrame([("x", 0.5), ("ai", 1.0)], "skill string, ai_score double")
+    expected = sorted(map(tuple, ws.job_scores(df, scores).collect()))
+    monkeypatch.setattr(stored, "BROADCAST_BYTES", 0)
+    found = ws.job_scores(df, scores)
+    assert sorted(map(tuple, found.collect())) == expected
+    assert "coalesce(found" in plan(found)
+
+
 def test_a_year_filter_prunes_partitions(spark, postings):
     text = plan(ws.skill_scores(ws.skill_year_counts(postings, unique_ids=True), years=(2011, 2011)))
     assert "PartitionFilters: [isnotnull(year" in text

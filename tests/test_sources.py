@@ -97,10 +97,68 @@ def test_profiles_csv_is_all_text(spark, tmp_path):
 
 
 def test_link_table(spark, tmp_path):
-    (tmp_path / "link.csv").write_text(",ID,NAME,GVKEY,CIK\n0,12,F,001234,5\n1,,,009999,\n")
-    found = ws.read_link(spark, str(tmp_path / "link"))
-    assert found.columns == ["ID", "NAME", "GVKEY", "CIK"]
-    assert rows(found) == [(None, None, "009999", None), (12.0, "F", "001234", "5")]
+    (tmp_path / "link.csv").write_text(",ID,NAME,GVKEY,CIK,Unnamed Sub\n0,12,F,001234,5,s\n1,,,009999,,\n")
+    found = ws.read_link(spark, str(tmp_path / "link"), index_col=0)
+    assert found.columns == ["ID", "NAME", "GVKEY", "CIK", "Unnamed Sub"]
+    assert rows(found) == [(None, None, "009999", None, None), (12.0, "F", "001234", "5", "s")]
+    assert ws.read_link(spark, str(tmp_path / "link")).columns == ["ID", "NAME", "GVKEY", "_c0", "CIK", "Unnamed Sub"]
+
+
+def test_csv_files_without_a_schema_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("skill,cnt\nx,1\n")
+    (tmp_path / "b.csv").write_text("cnt,skill,extra\n2.5,y,z\n")
+    found = ws.read_table(spark, str(tmp_path), "csv")
+    assert rows(found, "skill", "cnt", "extra") == [("x", 1.0, None), ("y", 2.5, "z")]
+    for multi_line in (True, False):
+        texts = ws.read_profiles_csv(spark, str(tmp_path), multi_line=multi_line)
+        assert rows(texts, "skill", "cnt", "extra") == [("x", "1", None), ("y", "2.5", "z")]
+
+
+def test_types_inferred_over_all_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,d,t\n1,2020-01-01,5\n")
+    (tmp_path / "b.csv").write_text("d,n,t\n2020-01-01 10:00:00,3000000000,x\n")
+    found = ws.read_table(spark, str(tmp_path), "csv")
+    assert [t for _, t in found.dtypes] == ["bigint", "timestamp", "string"]
+    assert rows(found, "n", "t") == [(1, "5"), (3000000000, "x")]
+
+
+def test_fractions_are_not_cut(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("skill,cnt,co_jobs_with_ai\nx,2.7,1\n")
+    with pytest.raises(Exception, match="not a whole number: 2.7"):
+        ws.read_table(spark, str(tmp_path / "a.csv"), schema=schemas.SKILL_YEAR).collect()
+    ids = spark.createDataFrame([(1.5, "a"), (1.0, "a"), (None, "a"), (1e15, "a")], "id double, skills_name string")
+    found = ws.explode_skills(ids, keep=())
+    assert rows(found, "job_id") == [(None,), ("1",), ("1.5",), ("1000000000000000",)]
+
+
+def test_planning_many_files_takes_few_jobs(spark, tmp_path):
+    for i in range(30):
+        kind = "double" if i % 2 else "bigint"
+        spark.range(1).selectExpr(f"CAST(id AS {kind}) AS id", "'x' AS skills_name").coalesce(1).write.parquet(
+            f"{tmp_path}/2010/parquet/{i}.parquet"
+        )
+    spark.sparkContext.setJobGroup("planning", "")
+    found = ws.read_postings(spark, str(tmp_path))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert found.count() == 30 and jobs <= 5
+
+
+def test_stored_tables_can_be_dropped(spark):
+    kept = ws.store(spark.range(5).toDF("i"), "dropped")
+    assert kept.rows == 5
+    kept.drop()
+    with pytest.raises(Exception):  # noqa: B017
+        kept.df.collect()
+
+
+def test_positions_are_those_of_the_files(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(5)
+    ws.write_table(ws.order_output(df, "-k", "id"), str(tmp_path / "t"))
+    found = ws.with_position(spark.read.parquet(str(tmp_path / "t"))).collect()
+    expected = sorted(((-(i % 7), i) for i in range(1000)))
+    assert [r["id"] for r in sorted(found, key=lambda r: r["position"])] == [i for _, i in expected]
+    assert sorted(r["position"] for r in found) == list(range(1, 1001))
 
 
 def test_csv_folder_to_parquet(spark, tmp_path):

@@ -114,3 +114,15 @@ def test_blank_to_null(spark):
 
 def test_rows_helper_orders_nulls(spark):
     assert rows(spark.createDataFrame([(2,), (None,)], "x int")) == [(None,), (2,)]
+
+
+def test_one_text_form_of_doubles(spark):
+    values = (1e15, 1.23456785e7, 1.5, -0.25, 12000000.0, 1e-4, float("inf"), None)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    found = [r["t"] for r in df.select("i", t.double_text(F.col("v")).alias("t")).orderBy("i").collect()]
+    assert found == ["1000000000000000.0", "12345678.5", "1.5", "-0.25", "12000000.0", "0.0001", "Infinity", None]
+
+
+def test_a_separator_with_capitals_splits(spark):
+    df = spark.createDataFrame([("Python AND SQL and R",)], "s string")
+    assert df.select(t.skill_tokens(F.col("s"), " AND ").alias("t")).first()["t"] == ["python", "sql and r"]

@@ -6,7 +6,7 @@ from workforce_signals.operators.firms import company_year_person, company_year_
 from workforce_signals.operators.jobs import company_share, flag_jobs, job_scores, yearly_share
 from workforce_signals.operators.keywords import first_keyword_hit, flag_keyword, keyword_list
 from workforce_signals.operators.linking import link_by_id, link_by_name
-from workforce_signals.operators.lookup import lookup, order_output
+from workforce_signals.operators.lookup import lookup, order_output, with_position
 from workforce_signals.operators.skills import (
     core_jobs,
     explode_skills,
@@ -75,6 +75,7 @@ __all__ = [
     "store",
     "terms_df",
     "top_skills",
+    "with_position",
     "with_source_file",
     "write_counted",
     "write_table",

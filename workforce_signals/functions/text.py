@@ -10,6 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 # The core technology terms a posting is matched against. A term matches a
 # whole normalised skill, never a part of one.
@@ -66,10 +67,15 @@ def norm_token(col: Column) -> Column:
 def skill_tokens(col: Column, sep: str = "|") -> Column:
     """Normalised skills of a delimited list, in list order, repeats kept.
 
-    Empty pieces are dropped before trimming, so a piece of blanks stays as ``''``. Lists
-    without blanks around their pieces are not trimmed piece by piece.
+    The separator is taken as it is written, so a list is split before it is lower-cased if the
+    separator has letters. Empty pieces are dropped before trimming, so a piece of blanks stays
+    as ``''``. Lists without blanks around their pieces are not trimmed piece by piece.
     """
-    pieces = F.array_remove(F.split(lower_text(col), regex_quote(sep)), "")
+    if sep.lower() == sep.upper():
+        pieces = F.split(lower_text(col), regex_quote(sep))
+    else:
+        pieces = F.transform(F.split(col, regex_quote(sep)), lower_text)
+    pieces = F.array_remove(pieces, "")
     padded = col.startswith(" ") | col.endswith(" ") | col.contains(" " + sep) | col.contains(sep + " ")
     multi_byte = F.length(col) != F.octet_length(col)
     return F.when(padded | multi_byte, F.transform(pieces, trim_spaces)).otherwise(pieces)
@@ -111,15 +117,28 @@ def nan_to_null(col: Column) -> Column:
 
 
 def double_text(col: Column) -> Column:
-    """A DOUBLE as text without scientific notation for whole numbers (``'12000000.0'``)."""
-    whole = (col == F.floor(col)) & (F.abs(col) < F.lit(1e15))
-    return F.when(whole, F.concat(col.try_cast("bigint").cast("string"), F.lit(".0"))).otherwise(
-        col.cast("string")
+    """A DOUBLE as text in one form for all sizes: digits with a point, never in scientific notation.
+
+    Whole numbers end in ``.0`` (``'12000000.0'``). Only numbers beyond 37 digits, or with digits
+    beyond the 18th after the point, keep the notation of the JVM.
+    """
+    text = col.cast("string")
+    whole, exact = text.try_cast("decimal(38,1)"), text.try_cast("decimal(38,18)")
+    plain = F.when(col == F.floor(col), whole.cast("string")).when(
+        exact.cast("double") == col, F.regexp_replace(exact.cast("string"), "0+$", "")
     )
+    finite = F.abs(col) < F.lit(float("inf"))
+    return F.when(finite, F.coalesce(plain, text)).otherwise(text)
+
+
+def whole_number(col: Column, target: DataType) -> Column:
+    """A number as an integer type; a fraction raises, as it would be cut. NaN is NULL."""
+    cut = F.raise_error(F.concat(F.lit("not a whole number: "), col.cast("string")))
+    return F.when(col == F.floor(col), col.cast(target)).when(col.isNotNull(), cut.cast(target))
 
 
 def id_text(col: Column, type_name: str) -> Column:
-    """An identifier as text. Ids that arrive as DOUBLE are whole numbers and print as such."""
+    """An identifier as text. Whole ids that arrive as DOUBLE print without a point, others as they are."""
     if type_name in ("double", "float"):
-        return col.try_cast("bigint").cast("string")
+        return F.regexp_replace(double_text(nan_to_null(col.cast("double"))), r"\.0$", "")
     return col.cast("string")

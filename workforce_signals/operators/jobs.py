@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workforce_signals.functions.text import skill_tokens
@@ -11,6 +11,18 @@ from workforce_signals.plans.stored import Stored, store
 
 THRESHOLD = 0.1
 
+# Scores are summed as two whole numbers, of 2^-30 and 2^-60: exactly, so in any order alike.
+_UNIT = float(1 << 30)
+
+
+def _parts(score: Column) -> tuple[Column, Column]:
+    high = F.floor(score * _UNIT)
+    return high, F.floor((score * _UNIT - high) * _UNIT)
+
+
+def _total(high: Column, low: Column) -> Column:
+    return high / F.lit(_UNIT) + low / F.lit(_UNIT * _UNIT)
+
 
 def flag_jobs(df: DataFrame, threshold: float = THRESHOLD, *, score_col: str = "job_ai_score") -> DataFrame:
     """Add ``ai_job``: 1 where the score exceeds ``threshold``, else 0, also for a NULL score."""
@@ -57,30 +69,35 @@ def job_scores(
     rows = jobs.select(*job, *extra, F.explode(skills).alias("skill"))
     rows = rows.join(scores.for_join(), "skill", "left")
     score = F.coalesce(F.col("ai_score"), F.lit(0.0)) if unmatched_as_zero else F.col("ai_score")
-    n, matched, total = F.count(F.lit(1)), F.count("ai_score"), F.sum(score)
+    high, low = _parts(score)
+    rows = rows.withColumns({"high": high, "low": low})
+    n, matched = F.count(F.lit(1)), F.count("ai_score")
     if across_rows is None:
-        per_job = rows.groupBy(*job).agg(n.alias("n"), matched.alias("m"), total.alias("t"))
+        per_job = rows.groupBy(*job).agg(n.alias("n"), matched.alias("m"), F.sum("high").alias("t"), F.sum("low").alias("u"))
     else:
         # NULL key: the row's skills are already distinct and add up. Otherwise one (job, skill).
         rows = rows.withColumn("skill_key", F.when(F.col("is_repeated"), F.col("skill")))
         alone = F.col("skill_key").isNull()
         per_skill = rows.groupBy(*job, "skill_key").agg(
-            n.alias("n0"), matched.alias("m0"), total.alias("t0"), F.max(score).alias("s0")
+            n.alias("n0"),
+            matched.alias("m0"),
+            *(f(c).alias(f"{c}_{f.__name__}") for c in ("high", "low") for f in (F.sum, F.max)),
         )
         per_job = (
             per_skill.select(
                 *job,
                 F.when(alone, F.col("n0")).otherwise(1).alias("n0"),
                 F.when(alone, F.col("m0")).otherwise(F.least("m0", F.lit(1))).alias("m0"),
-                F.when(alone, F.col("t0")).otherwise(F.col("s0")).alias("t0"),
+                F.when(alone, F.col("high_sum")).otherwise(F.col("high_max")).alias("t0"),
+                F.when(alone, F.col("low_sum")).otherwise(F.col("low_max")).alias("u0"),
             )
             .groupBy(*job)
-            .agg(F.sum("n0").alias("n"), F.sum("m0").alias("m"), F.sum("t0").alias("t"))
+            .agg(F.sum("n0").alias("n"), F.sum("m0").alias("m"), F.sum("t0").alias("t"), F.sum("u0").alias("u"))
         )
     divisor = F.col("n") if unmatched_as_zero else F.col("m")
     result = per_job.select(
         *job,
-        F.try_divide(F.col("t"), divisor.cast("double")).alias("job_ai_score"),
+        F.try_divide(_total(F.col("t"), F.col("u")), divisor.cast("double")).alias("job_ai_score"),
         F.col("n").alias("n_skills"),
         F.col("m").alias("n_matched_skills"),
     )
@@ -90,14 +107,15 @@ def job_scores(
 
 
 def _mark_repeated(jobs: DataFrame, key: list[str], repeated: Stored):
-    """Mark rows of repeated ids. A set too large to broadcast is not joined: all rows count as such."""
-    if not repeated.is_small:
-        return jobs, F.lit(True).alias("is_repeated")
-    ids = repeated.df.select(*(F.col(c).alias(f"_{c}") for c in key), F.lit(True).alias("found"))
+    """Mark rows of repeated ids. A set too large to broadcast meets the rows by a shuffle on the id.
+
+    Rows of an id are not grouped above that join, so Spark may split an id that very many rows share.
+    """
+    ids = repeated.for_join().select(*(F.col(c).alias(f"_{c}") for c in key), F.lit(True).alias("found"))
     same = F.lit(True)
     for c in key:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    marked = jobs.join(F.broadcast(ids), same, "left")
+    marked = jobs.join(ids, same, "left")
     return marked, F.coalesce(F.col("found"), F.lit(False)).alias("is_repeated")
 
 

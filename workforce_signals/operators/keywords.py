@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workforce_signals.functions.patterns import first_match, keyword_patterns, longest_pattern
 from workforce_signals.functions.text import lower_text, norm_token, trim_spaces
 
-# Longest list that is folded into literal patterns. Longer ones are matched by a join.
-LITERAL_KEYWORDS = 20_000
-
 
 def keyword_list(top_skills: DataFrame) -> DataFrame:
     """Distinct normalised keywords; NULL and blank ones are left out."""
@@ -21,12 +18,17 @@ def keyword_list(top_skills: DataFrame) -> DataFrame:
     return kept.select(norm_token(skill).alias("skill")).distinct()
 
 
-def literal_keywords(keywords: DataFrame | Iterable[str]) -> list[str] | None:
-    """The keywords as plain values, or None where the table is too long to be literals."""
+def literal_keywords(keywords: DataFrame | Iterable[str | None]) -> list[str]:
+    """The keywords as plain values, normalised alike whether they come as a table or as a list.
+
+    A keyword table is vocabulary-sized, so it is read whole; long ones become several patterns.
+    """
     if not isinstance(keywords, DataFrame):
-        return sorted({k for k in keywords if k})
-    found = keyword_list(keywords).limit(LITERAL_KEYWORDS + 1).collect()
-    return sorted(r["skill"] for r in found) if len(found) <= LITERAL_KEYWORDS else None
+        rows = [(k,) for k in keywords]
+        if not rows:
+            return []
+        keywords = SparkSession.active().createDataFrame(rows, "skill string")
+    return sorted(r["skill"] for r in keyword_list(keywords).collect())
 
 
 def search_text(title: Column, description: Column) -> Column:
@@ -49,39 +51,7 @@ def first_keyword_hit(
     the shortest is reported. The text is read in place: no join, no shuffle.
     """
     text = search_text(F.col(title), F.col(description))
-    words = literal_keywords(keywords)
-    if words is None:
-        return _hit_by_join(df, keyword_list(keywords), text)
-    return df.withColumn("first_hit_skill", first_match(text, keyword_patterns(words)))
-
-
-def _hit_by_join(df: DataFrame, keywords: DataFrame, text: Column) -> DataFrame:
-    """The same for keyword tables of any length: texts and keywords meet on a keyword's first letters.
-
-    Each distinct text is cut at every position; a piece meets only keywords that begin
-    with its first characters, and the equality join spreads over the cluster. Hits are grouped
-    on a struct so that both sides of the last join are shuffled for it, which lets Spark split
-    a text that very many rows share.
-    """
-    lead, longest = keywords.agg(F.min(F.length("skill")), F.max(F.length("skill"))).first()
-    keyed = df.withColumn("_digest", F.sha2(text, 256))
-    texts = keyed.select("_digest", text.alias("_text")).where(F.length("_text") >= lead)
-    places = (
-        texts.groupBy("_digest")
-        .agg(F.first("_text").alias("_text"))
-        .select("_digest", "_text", F.explode(F.sequence(F.lit(1), F.length("_text") - lead + 1)).alias("pos"))
-    )
-    places = places.select("_digest", "pos", F.substring("_text", F.col("pos"), F.lit(longest)).alias("piece"))
-    found = places.withColumn("lead", F.substring("piece", 1, lead)).join(
-        keywords.withColumn("lead", F.substring("skill", 1, lead)), "lead"
-    )
-    hits = (
-        found.where(F.startswith("piece", "skill"))
-        .groupBy(F.struct("_digest").alias("_key"))
-        .agg(F.min(F.struct("pos", "skill"))["skill"].alias("first_hit_skill"))
-        .select(F.col("_key._digest").alias("_digest"), "first_hit_skill")
-    )
-    return keyed.join(hits, "_digest", "left").drop("_digest")
+    return df.withColumn("first_hit_skill", first_match(text, keyword_patterns(literal_keywords(keywords))))
 
 
 def opening(text: Column, pieces: Iterable[str]) -> Column:

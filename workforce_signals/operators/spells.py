@@ -30,10 +30,8 @@ SAMPLE_NAMES = {
 }
 
 
-def usable_profiles(profiles: DataFrame) -> DataFrame:
-    return profiles.where(
-        F.col("most_recent_company_start_month").isNotNull() & F.col("company_name").isNotNull()
-    )
+def usable_profiles(profiles: DataFrame, names: dict[str, str] = PROFILE_NAMES) -> DataFrame:
+    return profiles.where(F.col(names["start"]).isNotNull() & F.col(names["company"]).isNotNull())
 
 
 def merge_profiles(

@@ -24,6 +24,7 @@ from workforce_signals.operators.keywords import (
 from workforce_signals.operators.linking import link_by_id, link_by_name
 from workforce_signals.operators.skills import repeated_ids, skill_scores, skill_year_counts
 from workforce_signals.operators.spells import (
+    PROFILE_NAMES,
     expand_years,
     merge_profiles,
     parse_spells,
@@ -77,8 +78,6 @@ def merge_with_hits(
     the hit is used later no text passes the join.
     """
     words = literal_keywords(keywords)
-    if words is None:
-        return first_keyword_hit(merge_profiles(profiles, descriptions), keywords, "title_raw")
     found = ("text_hit", "text_opening")
     merged = merge_profiles(profiles, search_descriptions(descriptions, words), keep=found)
     return merged.withColumn("first_hit_skill", joint_hit(F.col("title_raw"), words)).drop(*found)
@@ -104,33 +103,44 @@ def flag_years(
 
 def resume_measure(
     profiles: DataFrame,
-    descriptions: DataFrame,
+    descriptions: DataFrame | None,
     keywords: DataFrame | Iterable[str],
     link: DataFrame | None = None,
     *,
     as_of: int | Column | None = None,
     first_year: int = 2010,
     end_year: int = 2025,
+    open_end: str = "current",
+    names: dict[str, str] = PROFILE_NAMES,
     null_keys_match: bool = False,
 ) -> DataFrame:
     """Profiles and descriptions to the share of persons with a keyword per firm and year.
 
     With ``link`` the result is linked by name and limited to ``first_year <= year < end_year``.
+    ``names`` maps the roles of the profiles' columns, and ``open_end`` says how long a spell without an
+    end lasts, see ``expand_years``. ``descriptions=None``: the profiles have their texts themselves.
     """
     words = literal_keywords(keywords)
     window = None if link is None else (first_year, end_year)
-    if words is None:
-        spells = parse_spells(merge_profiles(profiles, descriptions))
-        flagged = flag_keyword(expand_years(first_keyword_hit(spells, keywords), as_of, window=window))
+    with_current = open_end == "flag"
+    if descriptions is None:
+        spells = parse_spells(profiles, with_current, names=names)
+        flagged = flag_keyword(first_keyword_hit(spells, words)).drop("description_raw", "first_hit_skill")
     else:
-        flagged = expand_years(_flagged_spells(profiles, descriptions, words), as_of, window=window)
-    measure = company_year_share(flagged)
+        flagged = _flagged_spells(profiles, descriptions, words, with_current, names)
+    measure = company_year_share(expand_years(flagged, as_of, open_end, window=window))
     if link is None:
         return measure
     return link_by_name(measure, link, first_year, end_year, null_keys_match)
 
 
-def _flagged_spells(profiles: DataFrame, descriptions: DataFrame, words: Sequence[str]) -> DataFrame:
+def _flagged_spells(
+    profiles: DataFrame,
+    descriptions: DataFrame,
+    words: Sequence[str],
+    with_current: bool = False,
+    names: dict[str, str] = PROFILE_NAMES,
+) -> DataFrame:
     """Spells with ``ai_related``, found without moving any text through the join.
 
     Keywords in the title or in the description are found where each is read, over the whole
@@ -160,17 +170,14 @@ def _flagged_spells(profiles: DataFrame, descriptions: DataFrame, words: Sequenc
         .agg(F.max("in_text").alias("in_text"))
     )
     title = lower_text(F.coalesce(F.col("title_name"), F.lit("")))
-    spells = parse_spells(usable_profiles(profiles.withColumn("description_raw", F.lit(None).cast("string"))))
+    bare = usable_profiles(profiles.withColumn(names["description"], F.lit(None).cast("string")), names)
+    spells = parse_spells(bare, with_current, names=names)
+    kept = ["id", "company_name_raw", "job_start_ym", "job_end_ym", *(["is_current"] if with_current else [])]
     spells = spells.where(F.col("job_start_ym").isNotNull()).select(
-        "id",
-        "company_name_raw",
-        "job_start_ym",
-        "job_end_ym",
+        *kept,
         found(title).alias("in_title"),
         ending(title, (head for head, _ in cut)).alias("ending"),
     )
     across = found(F.concat("ending", F.lit(" "), "opening"))
     related = F.col("in_text") | F.col("in_title") | F.coalesce(across, F.lit(False))
-    return spells.join(texts, "id").select(
-        "id", "company_name_raw", "job_start_ym", "job_end_ym", F.when(related, 1).otherwise(0).alias("ai_related")
-    )
+    return spells.join(texts, "id").select(*kept, F.when(related, 1).otherwise(0).alias("ai_related"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,13 @@ class Stored:
     def is_small(self) -> bool:
         return self.nbytes <= BROADCAST_BYTES
 
+    def drop(self) -> None:
+        """Remove the files. Results that read them must have been written before."""
+        spark = self.df.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in self.df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(unquote(file))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def for_join(self) -> DataFrame:
         """The table, marked for broadcast when its measured size allows it."""
         return F.broadcast(self.df) if self.is_small else self.df

@@ -114,9 +114,13 @@ def csv_to_parquet(
     schema: StructType | None = None,
     *,
     missing: Iterable[str] = MISSING_TEXTS,
+    multi_line: bool = True,
 ) -> None:
-    """Convert every CSV of a folder to Parquet, columns by name: as text, or as ``schema`` says."""
-    parts = [_clean(p, missing).drop("filename") for p in csv_parts(spark, f"{src}/*.csv")]
+    """Convert every CSV of a folder to Parquet, columns by name: as text, or as ``schema`` says.
+
+    ``multi_line=False`` lets Spark split large files whose values hold no line breaks.
+    """
+    parts = [_clean(p, missing).drop("filename") for p in csv_parts(spark, f"{src}/*.csv", multi_line=multi_line)]
     if schema is None:
         names = list(dict.fromkeys(c for p in parts for c in p.columns))
         schema = StructType()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import re
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -13,9 +12,19 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegerType, LongType, StringType, StructField, StructType
-
-from workforce_signals.functions.text import double_text, nan_to_null
+from pyspark.sql.types import (
+    DataType,
+    DateType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
+
+from workforce_signals.functions.text import double_text, nan_to_null, whole_number
 from workforce_signals.sources import schemas
 
 # Quotes are doubled inside quoted values, and quoted values may hold line breaks.
@@ -70,11 +79,13 @@ def _cast(source: StructField, target: DataType) -> Column:
         return column
     if kind in ("double", "float"):
         if whole:
-            return nan_to_null(column).cast(target)
+            return whole_number(nan_to_null(column), target)
         if isinstance(target, StringType):
             return double_text(column)
     if kind == "string" and whole:
-        return column.cast("decimal(38,6)").cast(target)
+        return whole_number(column.cast("decimal(38,6)"), target)
+    if kind == "decimal" and whole:
+        return whole_number(column, target)
     return column.cast(target)
 
 
@@ -88,15 +99,29 @@ def _grouped(files: list[str], shape_of: Callable[[str], str]) -> dict[str, list
     return groups
 
 
+def _footer(spark: SparkSession, file: str) -> str:
+    """The schema in a Parquet file's footer; no Spark job."""
+    settings, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path(file)
+    parquet = spark._jvm.org.apache.parquet.hadoop
+    reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(path, settings))
+    try:
+        return reader.getFileMetaData().getSchema().toString()
+    finally:
+        reader.close()
+
+
 def parquet_parts(spark: SparkSession, pattern: str) -> list[DataFrame]:
-    """Parquet files as one scan, or as one scan per schema where column types disagree."""
+    """Parquet files as one scan, or as one scan per schema where column types disagree.
+
+    Where they disagree, footers are read side by side without Spark jobs, so planning takes a
+    fixed number of jobs and one more for each distinct schema, however many files there are.
+    """
     try:
         return [spark.read.option("mergeSchema", True).parquet(pattern)]
     except (PySparkException, Py4JJavaError) as error:
         if "CANNOT_MERGE_SCHEMAS" not in str(error):
             raise
-    files = require_input(spark, pattern)
-    groups = _grouped(files, lambda f: spark.read.parquet(f).schema.json())
+    groups = _grouped(require_input(spark, pattern), lambda f: _footer(spark, f))
     return [spark.read.parquet(*group) for group in groups.values()]
 
 
@@ -113,18 +138,55 @@ def _first_line(spark: SparkSession, file: str) -> str:
         stream.close()
 
 
-def csv_parts(spark: SparkSession, pattern: str, *, multi_line: bool = True) -> list[DataFrame]:
-    """CSV files as all-string tables, one scan per distinct header, so columns go by name."""
+def _csv_groups(spark: SparkSession, pattern: str) -> list[tuple[list[str], list[str]]]:
+    """Column names and files for every distinct header."""
     groups = _grouped(require_input(spark, pattern), lambda f: _first_line(spark, f))
-    parts = []
+    found = []
     for header, files in groups.items():
         names = next(csv.reader([header.removeprefix("\ufeff")]), [])
-        schema = StructType([StructField(name or f"_c{i}", StringType()) for i, name in enumerate(names)])
         if names:
-            parts.append(spark.read.options(**CSV_OPTIONS | {"multiLine": multi_line}).schema(schema).csv(files))
-    if not parts:
+            found.append(([name or f"_c{i}" for i, name in enumerate(names)], files))
+    if not found:
         raise FileNotFoundError(f"only empty files at {pattern}")
-    return parts
+    return found
+
+
+def csv_parts(spark: SparkSession, pattern: str, *, multi_line: bool = True) -> list[DataFrame]:
+    """CSV files as all-string tables, one scan per distinct header, so columns go by name."""
+    options = CSV_OPTIONS | {"multiLine": multi_line}
+    return [
+        spark.read.options(**options).schema(StructType([StructField(n, StringType()) for n in names])).csv(files)
+        for names, files in _csv_groups(spark, pattern)
+    ]
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    """Tables one below the other by column name; columns a table lacks are NULL."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _wider(a: DataType, b: DataType) -> DataType:
+    """A type that holds the values of both: the larger of two numbers or times, else text."""
+    order = (IntegerType(), LongType(), DoubleType()), (DateType(), TimestampType())
+    for kinds in order:
+        if a in kinds and b in kinds:
+            return kinds[max(kinds.index(a), kinds.index(b))]
+    return a if a == b else StringType()
+
+
+def _inferred_csv(spark: SparkSession, pattern: str, multi_line: bool) -> DataFrame:
+    """CSV files united by name, with types inferred over all files."""
+    options, groups, kinds = CSV_OPTIONS | {"multiLine": multi_line}, _csv_groups(spark, pattern), {}
+    for names, files in groups:
+        found = spark.read.options(**options, inferSchema=True).csv(files).schema
+        for name, field in zip(names, found, strict=True):
+            kinds[name] = _wider(kinds[name], field.dataType) if name in kinds else field.dataType
+    return _united(
+        [
+            spark.read.options(**options).schema(StructType([StructField(n, kinds[n]) for n in names])).csv(files)
+            for names, files in groups
+        ]
+    )
 
 
 def read_united(
@@ -165,7 +227,8 @@ def read_table(
 ) -> DataFrame:
     """A Parquet or CSV table. ``auto`` prefers ``path.parquet`` over ``path.csv``.
 
-    CSV types are taken from ``schema``, or inferred by a second pass when there is none.
+    CSV types are taken from ``schema``, or inferred by a second pass when there is none. Columns go
+    by name either way; those a file lacks are NULL.
     ``multi_line=False`` lets Spark split large CSV files that hold no quoted line breaks.
     """
     if fmt == "auto":
@@ -174,7 +237,7 @@ def read_table(
         require_input(spark, path)
         return read_united(spark, path, schema, fmt, multi_line=multi_line)
     if fmt == "csv":
-        return spark.read.options(**{**CSV_OPTIONS, "multiLine": multi_line}, inferSchema=True).csv(path)
+        return _inferred_csv(spark, path, multi_line)
     return spark.read.parquet(path)
 
 
@@ -209,12 +272,12 @@ def read_postings(
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_skill_years(spark: SparkSession, path: str) -> DataFrame:
+def read_skill_years(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """Skill counts of all years: yearly files, Parquet before CSV, or ``year=...`` partitions."""
     for fmt in ("parquet", "csv"):
         pattern = f"{path}/{_SKILL_YEAR_FILES}.{fmt}"
         if glob_paths(spark, pattern):
-            table = read_united(spark, pattern, schemas.SKILL_YEAR, fmt, with_file=True)
+            table = read_united(spark, pattern, schemas.SKILL_YEAR, fmt, with_file=True, multi_line=multi_line)
             year = F.regexp_extract("filename", rf"/([0-9]{{4}})_skills_counts_co\.{fmt}(?:/[^/]*)?$", 1)
             return table.select(year.cast("int").alias("year"), *schemas.SKILL_YEAR.names)
     if not glob_paths(spark, f"{path}/year=*"):
@@ -222,19 +285,24 @@ def read_skill_years(spark: SparkSession, path: str) -> DataFrame:
     return _by_year(spark, path, schemas.SKILL_YEAR).select("year", *schemas.SKILL_YEAR.names)
 
 
-def read_profiles_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, every column as text; empty values, quoted or not, are NULL."""
-    require_input(spark, path)
-    return spark.read.options(**CSV_OPTIONS).csv(path)
+def read_profiles_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """CSV files with headers, every column as text and by name; empty values, quoted or not, are NULL.
+
+    ``multi_line=False`` lets Spark split large files whose texts hold no line breaks.
+    """
+    return _united(csv_parts(spark, path, multi_line=multi_line))
+
 
+def read_link(spark: SparkSession, path: str, *, index_col: int | None = None, multi_line: bool = True) -> DataFrame:
+    """The firm identifier table, CSV or Parquet, with ``ID``, ``NAME``, ``GVKEY`` and what else it has.
 
-def read_link(spark: SparkSession, path: str) -> DataFrame:
-    """The firm identifier table, CSV or Parquet, with ``ID``, ``NAME``, ``GVKEY`` and what else it has."""
+    ``index_col`` is the position of a column of row numbers, which is left out whatever its name is.
+    """
     path, fmt = _locate(spark, path)
-    if fmt == "csv":
-        table = spark.read.options(**CSV_OPTIONS).csv(path)
-    else:
-        table = spark.read.parquet(path)
+    parts = csv_parts(spark, path, multi_line=multi_line) if fmt == "csv" else [spark.read.parquet(path)]
+    if index_col is not None:
+        parts = [p.select(*(f"`{c}`" for i, c in enumerate(p.columns) if i != index_col)) for p in parts]
+    table = _united(parts)
     known = {name.lower() for name in schemas.LINK.names}
-    others = [c for c in table.columns if c.lower() not in known and not re.match(r"_c\d+$|Unnamed", c)]
+    others = [c for c in table.columns if c.lower() not in known]
     return conform(table, schemas.LINK, keep=[F.col(f"`{c}`") for c in others])
