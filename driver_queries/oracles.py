@@ -139,6 +139,7 @@ _YEAR = "cast(year AS INTEGER) AS year"
 _SELECTS = {
     "q_explode_skills": f"SELECT * REPLACE ({_YEAR}) FROM exploded",
     "q_core_jobs": f"SELECT * REPLACE ({_YEAR}) FROM core_ids",
+    "q_core_jobs_term_table": f"SELECT * REPLACE ({_YEAR}) FROM core_ids",
     "q_skill_year_counts": f"SELECT * REPLACE ({_YEAR}) FROM skill_years",
     "q_skill_year_counts_shared_ids": f"SELECT * REPLACE ({_YEAR}) FROM ("
     + _SKILL_YEARS.format(exploded="exploded_shared", core="core_ids_shared", where="")

@@ -78,6 +78,10 @@ def q_core_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return ws.core_jobs(_postings(spark, sf))
 
 
+def q_core_jobs_term_table(spark: SparkSession, sf: str) -> DataFrame:
+    return ws.core_jobs(_postings(spark, sf), ws.terms_df(spark))
+
+
 def q_skill_year_counts(spark: SparkSession, sf: str) -> DataFrame:
     return ws.skill_year_counts(_postings(spark, sf))
 
@@ -382,7 +386,7 @@ def _extracts(spark: SparkSession, sf: str) -> str:
 
 def _ingested(spark: SparkSession, sf: str) -> DataFrame:
     dst = new_path(spark, "trimmed")
-    ws.ingest_postings(spark, _extracts(spark, sf), dst)
+    ws.ingest_postings(spark, _extracts(spark, sf), dst, same_headers=True)
     return spark.read.parquet(dst)
 
 

@@ -206,6 +206,20 @@ def test_ingest(spark, tmp_path):
         read_raw_postings(spark, str(root))
 
 
+def test_one_header_a_month(spark, tmp_path):
+    names = schemas.RAW_POSTING.names
+    for i, month in enumerate(("01", "01", "02")):
+        header = names if month == "01" else names[::-1]
+        values = [str(i) if n == "id" else f"{n} {i}" for n in header]
+        extract(tmp_path / "2010" / month / f"{i}.csv.gz", header, ",".join(values))
+    found = read_raw_postings(spark, str(tmp_path), same_headers=True)
+    assert rows(found, "id", "month", "company") == [(i, m, f"company {i}") for i, m in enumerate(("01", "01", "02"))]
+    extract(tmp_path / "2010" / "02" / "3.csv.gz", names, ",".join(["3", *names[1:]]))
+    with pytest.raises(Exception, match="(?i)header"):
+        read_raw_postings(spark, str(tmp_path), same_headers=True).collect()
+    assert read_raw_postings(spark, str(tmp_path)).count() == 4
+
+
 def test_odd_csv_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('\ufeffskill,"cnt"\r\nx,1\r\n', encoding="utf-8")
     (tmp_path / "b.csv").write_text("skill,,cnt\ny,0,2\n")

@@ -61,13 +61,20 @@ def explode_skills(
 
 def core_jobs(
     postings: DataFrame,
-    terms: Iterable[str] = CORE_TERMS,
+    terms: DataFrame | Iterable[str] = CORE_TERMS,
     *,
     sep: str = "|",
     id_col: str = ID,
     skills_col: str = SKILLS,
 ) -> DataFrame:
-    """Distinct jobs listing a core term. The list is tested as it stands, without exploding it."""
+    """Distinct jobs listing a core term. The list is tested as it stands, without exploding it.
+
+    Terms may also come as a table with a column ``term``, of any length; the skills then meet it by a join.
+    """
+    if isinstance(terms, DataFrame):
+        rows = explode_skills(postings, sep, (), id_col=id_col, skills_col=skills_col)
+        found = rows.join(terms.select(F.col("term").alias("skill")), "skill", "left_semi")
+        return found.drop("skill").distinct()
     jobs = listed(postings, id_col, skills_col)
     core = jobs.where(holds_any(skill_tokens(F.col("skills"), sep), terms))
     return core.select(*job_key(jobs)).distinct()

@@ -56,14 +56,16 @@ def read_raw_postings(
     *,
     schema: StructType = schemas.RAW_POSTING,
     missing: Iterable[str] = MISSING_TEXTS,
+    same_headers: bool = False,
 ) -> DataFrame:
     """The kept columns of all extracts ``root/{year}/{month}/*.csv.gz``.
 
     Adds ``year`` and ``month`` (the folder names) and ``filename``. Extracts need not agree on
-    the order of their columns, but each must have all the kept ones.
+    the order of their columns, but each must have all the kept ones. ``same_headers`` states that
+    those of one month agree, so that planning opens one file a month; one that differs raises.
     """
     folder = "[0-9][0-9][0-9][0-9]" if years is None else "{" + ",".join(str(y) for y in years) + "}"
-    parts = csv_parts(spark, f"{root}/{folder}/*/*.csv.gz")
+    parts = csv_parts(spark, f"{root}/{folder}/*/*.csv.gz", same_headers=same_headers)
     for part in parts:
         lacking = [c for c in schema.names if c not in part.columns]
         if lacking:
@@ -90,13 +92,14 @@ def ingest_postings(
     years: Iterable[int] | None = None,
     *,
     missing: Iterable[str] = MISSING_TEXTS,
+    same_headers: bool = False,
 ) -> None:
     """Prune all extracts to the kept columns and write them partitioned by year and month.
 
     One pass without a shuffle: gzip files cannot be split, so each is one task, and each lies in
     one month, so each task writes to one partition. Months present replace their former content.
     """
-    table = read_raw_postings(spark, root, years, missing=missing).drop("filename")
+    table = read_raw_postings(spark, root, years, missing=missing, same_headers=same_headers).drop("filename")
     (
         table.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -138,10 +138,15 @@ def _first_line(spark: SparkSession, file: str) -> str:
         stream.close()
 
 
-def _csv_groups(spark: SparkSession, pattern: str) -> list[tuple[list[str], list[str]]]:
-    """Column names and files for every distinct header."""
-    groups = _grouped(require_input(spark, pattern), lambda f: _first_line(spark, f))
-    found = []
+def _csv_groups(spark: SparkSession, pattern: str, same_headers: bool = False) -> list[tuple[list[str], list[str]]]:
+    """Column names and files for every distinct header; with ``same_headers`` one file of a folder speaks for all."""
+    files, found = require_input(spark, pattern), []
+    folders: dict[str, list[str]] = {}
+    for file in files:
+        folders.setdefault(file.rsplit("/", 1)[0] if same_headers else file, []).append(file)
+    first = _grouped([group[0] for group in folders.values()], lambda f: _first_line(spark, f))
+    of_file = {group[0]: group for group in folders.values()}
+    groups = {header: [f for one in ones for f in of_file[one]] for header, ones in first.items()}
     for header, files in groups.items():
         names = next(csv.reader([header.removeprefix("\ufeff")]), [])
         if names:
@@ -151,12 +156,18 @@ def _csv_groups(spark: SparkSession, pattern: str) -> list[tuple[list[str], list
     return found
 
 
-def csv_parts(spark: SparkSession, pattern: str, *, multi_line: bool = True) -> list[DataFrame]:
-    """CSV files as all-string tables, one scan per distinct header, so columns go by name."""
-    options = CSV_OPTIONS | {"multiLine": multi_line}
+def csv_parts(
+    spark: SparkSession, pattern: str, *, multi_line: bool = True, same_headers: bool = False
+) -> list[DataFrame]:
+    """CSV files as all-string tables, one scan per distinct header, so columns go by name.
+
+    ``same_headers`` states that the files of a folder agree: one of each folder is opened to plan, and
+    the task that reads a file raises if its header differs.
+    """
+    options = CSV_OPTIONS | {"multiLine": multi_line, "enforceSchema": not same_headers}
     return [
         spark.read.options(**options).schema(StructType([StructField(n, StringType()) for n in names])).csv(files)
-        for names, files in _csv_groups(spark, pattern)
+        for names, files in _csv_groups(spark, pattern, same_headers)
     ]
 
 
