@@ -24,8 +24,8 @@ from workforce_signals.llm.arrays import text_chunks
 from workforce_signals.llm.id_cache import IdCache
 from workforce_signals.llm.workers import importable
 
-# Bytes of text scanned at once, and pre-tokens kept with their ids in a worker.
-CHUNK, CACHED = 1 << 18, 600_000
+# Pre-tokens kept with their ids in a worker.
+CACHED = 600_000
 # Pre-tokens merged side by side.
 MERGED = 20_000
 # Texts decoded at once.
@@ -317,7 +317,7 @@ def _encode(vocabulary, text: str):
         ranks = _ranks(vocabulary.value, True)
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            for a, b, texts in text_chunks(batch.column(text), CHUNK):
+            for a, b, texts in text_chunks(batch.column(text)):
                 ids, offsets = ranks.encode(texts)
                 ends = np.cumsum(ranks.length[ids])
                 before = np.concatenate(([0], ends))[offsets[:-1]]
