@@ -38,6 +38,13 @@ def test_words_make_the_ids_of_the_whole_text(texts):
         assert ids[a:b].tolist() == [*WHOLE.encode(text, add_special_tokens=False).ids, 1], repr(text)
 
 
+def test_every_letter_before_a_sign():
+    words = [w.format(chr(c)) for c in range(0x20, 0x3000) for w in ("{}", "a{}", "A{}b", "x{}.", "{}!,", "e{}\u0301")]
+    ids, offsets = WORDS.encode(words, 1)
+    whole = WHOLE.encode_batch_fast(words, add_special_tokens=False)
+    assert [ids[a : b - 1].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [w.ids for w in whole]
+
+
 def test_long_text():
     ids, offsets = WORDS.encode([LONG, ""], 1)
     assert ids[: offsets[1]].tolist() == [*WHOLE.encode(LONG, add_special_tokens=False).ids, 1] and ids[offsets[1] :].tolist() == [1]

@@ -50,5 +50,5 @@ class IdCache:
             new = list(dict.fromkeys(lacking))
             self._add(new, *self.learn(new))
             at[missing] = np.fromiter(map(self.places.__getitem__, lacking), np.int64, len(lacking))
-        self.hits += np.bincount(at, minlength=len(self.hits))
+        np.add.at(self.hits, at, 1)
         return self._gather(at)

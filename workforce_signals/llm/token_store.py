@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,6 +39,11 @@ SEGMENT_DOCS, SEGMENT_BYTES = 1_024, 4 << 20
 CACHED = 600_000
 # ASCII signs that are never one token with a letter before them. An apostrophe may be.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Lower-case letters that the tokenizer's rules leave as they are and never cut between, and the signs that
+# byte-level vocabularies write for bytes (those that can be seen stand for themselves, the others follow from 256 on).
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0101\u0103\u0105\u0107\u010d\u0119\u011b\u0142\u0144\u0153\u0159\u015b\u0161\u017a\u017c\u017e]+")
+_SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 _loaded: dict[int, Words] = {}
 
@@ -54,7 +61,18 @@ class Words:
         self.cache = IdCache(self._learn, CACHED)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids of new words: Latin letters in lower case go straight to the model, others through all of the tokenizer."""
+        found, rest, tokenize = [], [], self.tokenizer.model.tokenize
+        for i, word in enumerate(words):
+            if _LATIN.fullmatch(word):
+                found.append([t.id for t in tokenize(word.encode().decode("latin-1").translate(_BYTES))])
+            else:
+                found.append(None)
+                rest.append(i)
+        if rest:
+            whole = self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)
+            for i, encoded in zip(rest, whole, strict=True):
+                found[i] = encoded.ids
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int32, counts.sum()), counts
 
@@ -64,7 +82,12 @@ class Words:
         for word in words:
             first.append(len(parts))
             stem = word.rstrip(_SIGNS)
-            if len(stem) < len(word) and stem and stem[-1].isalpha():
+            low = stem.lower()
+            if _LATIN.fullmatch(low):  # lower-casing these letters is what the tokenizer does
+                parts.append(low)
+                if len(stem) < len(word):
+                    parts.append(word[len(stem) :])
+            elif len(stem) < len(word) and stem and unicodedata.normalize("NFC", stem[-1]).lower()[-1].isalpha():
                 parts += stem, word[len(stem) :]
             else:
                 parts.append(word)
