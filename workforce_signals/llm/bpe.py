@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from workforce_signals.llm.arrays import text_chunks
 from workforce_signals.llm.id_cache import IdCache
-from workforce_signals.llm.workers import importable
+from workforce_signals.llm.workers import map_batches
 
 # Pre-tokens kept with their ids in a worker.
-CACHED = 600_000
+CACHED = 200_000
 # Pre-tokens merged side by side.
 MERGED = 20_000
 # Texts decoded at once.
@@ -359,10 +359,9 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     merged nor dropped, whatever their key. Other columns are left out.
     """
     spark = docs.sparkSession
-    importable(spark)
     narrow = docs.select(F.col(key), F.col(text).alias("_text"))
     kind = narrow.schema[0].dataType.simpleString()
-    return narrow.mapInArrow(_encode(_vocabulary(spark, path), "_text"), f"`{key}` {kind}, ids array<int>, ends array<int>")
+    return map_batches(narrow, _encode(_vocabulary(spark, path), "_text"), f"`{key}` {kind}, ids array<int>, ends array<int>")
 
 
 def decode(tokens: DataFrame, path: str, out: str = "decoded", keep_ids: bool = False) -> DataFrame:
@@ -371,12 +370,11 @@ def decode(tokens: DataFrame, path: str, out: str = "decoded", keep_ids: bool =
     NULL ids stay NULL. Other columns are kept, but for one named like ``out``, which is replaced.
     """
     spark = tokens.sparkSession
-    importable(spark)
     kept = [f for f in tokens.schema if f.name not in ("ids", "ends", out)]
     ids = ["ids array<int>"] if keep_ids else []
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *ids, f"`{out}` binary"])
     narrow = tokens.select(*(f"`{f.name}`" for f in kept), "ids")
-    return narrow.mapInArrow(_decode(_vocabulary(spark, path), out, keep_ids), schema)
+    return map_batches(narrow, _decode(_vocabulary(spark, path), out, keep_ids), schema)
 
 
 def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
