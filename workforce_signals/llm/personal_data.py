@@ -335,17 +335,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Field | N
 def _find(field: Field | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, every = [], []
-            for _, _, some in text_chunks(batch.column("_text")):
-                for text in some:
-                    found = base_spans(text) if _HAS.search(text) else []
-                    base.append(found)
-                    every.append(all_spans(text, found, field) if _HAS.search(text) else found)
-            kept = [n for n in batch.schema.names if n != "_text"]
-            counts = [pa.array([sum(s[1] == k for s in found) for found in base], pa.int64()) for k in range(len(KINDS))]
-            texts = [pa.array([joined(f) for f in found], pa.string()) for found in (base, every)]
-            names = [*kept, *(f"n_{k}" for k in KINDS), "base_spans", "spans"]
-            yield pa.record_batch([*(batch.column(n) for n in kept), *counts, *texts], names=names)
+            for a, b, some in text_chunks(batch.column("_text")):
+                base = [base_spans(text) if _HAS.search(text) else [] for text in some]
+                every = [all_spans(text, found, field) if _HAS.search(text) else found for text, found in zip(some, base, strict=True)]
+                counts = [pa.array([sum(s[1] == k for s in found) for found in base], pa.int64()) for k in range(len(KINDS))]
+                texts = [pa.array([joined(f) for f in found], pa.string()) for found in (base, every)]
+                names = ["_id", *(f"n_{k}" for k in KINDS), "base_spans", "spans"]
+                yield pa.record_batch([batch.column("_id").slice(a, b - a), *counts, *texts], names=names)
 
     return run
 
@@ -378,15 +374,16 @@ def redacted(text: str, spans: list[Span]) -> str:
 def _redact(field: Field | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("_text")
-            texts = strings(column)
-            for i, t in enumerate(texts):
-                if _HAS.search(t):
-                    texts[i] = redacted(t, all_spans(t, base_spans(t), field))
             at = batch.schema.get_field_index("_text")
-            valid = column.is_valid().to_pylist()
-            new = pa.array([t if v else None for t, v in zip(texts, valid, strict=True)], pa.string())
-            yield pa.record_batch([new if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
+            for a, b, texts in text_chunks(batch.column("_text")):
+                some = batch.slice(a, b - a)
+                valid = some.column("_text").is_valid().to_pylist()
+                for i, t in enumerate(texts):
+                    if _HAS.search(t):
+                        texts[i] = redacted(t, all_spans(t, base_spans(t), field))
+                new = pa.array([t if v else None for t, v in zip(texts, valid, strict=True)], pa.string())
+                columns = [new if i == at else some.column(i) for i in range(some.num_columns)]
+                yield pa.record_batch(columns, names=batch.schema.names)
 
     return run
 

@@ -181,5 +181,5 @@ def keep_good(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFram
     """The rows of ``docs`` that score THRESHOLD or more, with all their columns."""
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    found = with_statistics(renamed.withColumn("_scored", F.col(names[text])), "_scored", tuple(names.values()))
+    found = with_statistics(renamed, names[text], tuple(names.values()))
     return found.where(model.column() >= THRESHOLD).select(*(F.col(n).alias(c) for c, n in names.items()))

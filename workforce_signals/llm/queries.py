@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workforce_signals.llm import bpe, decontamination, html_extraction, language_id, nearest, personal_data, quality, sharding, token_store
-from workforce_signals.llm.jaccard_join import jaccard_components
+from workforce_signals.llm import (
+    bpe,
+    decontamination,
+    html_extraction,
+    jaccard_join,
+    language_id,
+    nearest,
+    personal_data,
+    quality,
+    sharding,
+    token_store,
+)
 from workforce_signals.plans.stored import new_path
 
 
@@ -56,7 +66,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +89,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    """Tokenizers, trained models and transitive links are tested against brute force instead."""
-    return {"op1_sharding": sharding.oracle_sql(), "op3_decontamination": decontamination.ORACLE_SQL}
+    """Tokenizers and trained models have no SQL; they are tested against brute force instead."""
+    return {
+        "op1_sharding": sharding.oracle_sql(),
+        "op3_decontamination": decontamination.ORACLE_SQL,
+        "op8_jaccard_join": jaccard_join.ORACLE_SQL,
+    }

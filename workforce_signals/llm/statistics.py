@@ -112,18 +112,20 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([np.asarray(c, np.float64) for c in columns], axis=1)
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8(batch.column("_text"))
-        names = [n for n in batch.schema.names if n != "_text"]
-        for a, b in spans_of(offsets):
-            found = text_statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            kept = [batch.column(n).slice(a, b - a) for n in names]
-            yield pa.record_batch([*kept, *(pa.array(c) for c in found.T)], names=[*names, *STATISTICS])
+def _batches(text: str, keep: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(text))
+            for a, b in spans_of(offsets):
+                found = text_statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                kept = [batch.column(n).slice(a, b - a) for n in keep]
+                yield pa.record_batch([*kept, *(pa.array(c) for c in found.T)], names=[*keep, *STATISTICS])
+
+    return run
 
 
 def with_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and the STATISTICS of every whole text; NULL counts as empty."""
-    narrow = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_text"]
-    return map_batches(narrow, _batches, ", ".join([*kinds, *(f"{s} double" for s in STATISTICS)]))
+    narrow = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys((*keep, text))))
+    kinds = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep]
+    return map_batches(narrow, _batches(text, keep), ", ".join([*kinds, *(f"{s} double" for s in STATISTICS)]))
