@@ -122,12 +122,18 @@ SELECT company_name, year, count(*) AS employees, cast(sum(ai_related_any) AS BI
 FROM persons_current GROUP BY company_name, year""",
     "long_texts": """
 SELECT DISTINCT id, title_raw, lower(coalesce(title_raw, '')) || ' ' || lower(description_raw) AS searched FROM merged""",
+    "long_found": """
+SELECT t.id, t.title_raw, k.skill, position(k.skill IN t.searched) AS pos
+FROM long_texts t JOIN (SELECT DISTINCT skill FROM exploded WHERE skill <> '') k ON contains(t.searched, k.skill)
+UNION ALL
+SELECT t.id, t.title_raw, k.skill, position(k.skill IN t.searched) AS pos
+FROM (SELECT * FROM long_texts WHERE contains(searched, 'job ') OR contains(searched, 'task ')) t
+JOIN (SELECT 'job ' || o_orderkey AS skill FROM orders UNION ALL SELECT 'task ' || o_orderkey FROM orders) k
+  ON contains(t.searched, k.skill)""",
     "long_hits": """
-SELECT t.id, t.title_raw, (SELECT k.skill FROM (
-    SELECT DISTINCT skill FROM exploded WHERE skill <> ''
-    UNION ALL SELECT 'job ' || o_orderkey FROM orders UNION ALL SELECT 'task ' || o_orderkey FROM orders) k
-  WHERE position(k.skill IN t.searched) > 0 ORDER BY position(k.skill IN t.searched), k.skill LIMIT 1) AS first_hit_skill
-FROM long_texts t""",
+SELECT t.id, t.title_raw, first(f.skill ORDER BY f.pos, f.skill) AS first_hit_skill
+FROM long_texts t LEFT JOIN long_found f ON f.id = t.id AND f.title_raw IS NOT DISTINCT FROM t.title_raw
+GROUP BY t.id, t.title_raw""",
     "measure": """
 SELECT company_name, year, count(*) AS employees, cast(sum(ai_related_any) AS BIGINT) AS ai_employees,
   cast(sum(ai_related_any) AS DOUBLE) / count(*) AS ai_measure
