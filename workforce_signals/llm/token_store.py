@@ -42,6 +42,8 @@ _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # Lower-case letters that the tokenizer's rules leave as they are and never cut between, and the signs that
 # byte-level vocabularies write for bytes (those that can be seen stand for themselves, the others follow from 256 on).
 _LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0101\u0103\u0105\u0107\u010d\u0119\u011b\u0142\u0144\u0153\u0159\u015b\u0161\u017a\u017c\u017e]+")
+# Signs among which lower-casing before normalising could make a difference.
+_COMPOSING = re.compile("[\u0130\u0300-\U0010ffff]")
 _SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
@@ -96,7 +98,10 @@ class Words:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``end_id`` after each, and the n + 1 offsets of the texts in them."""
-        words = " ".join(texts).replace("\n", " ").split(" ")
+        joined = " ".join(texts).replace("\n", " ")
+        if not _COMPOSING.search(joined):
+            joined = joined.lower()  # as the tokenizer does to these letters; fewer words are then distinct
+        words = joined.split(" ")
         per_text = np.fromiter((t.count(" ") + t.count("\n") + 1 for t in texts), np.int64, len(texts))
         ids, counts = self.cache.encode(words)
         sizes = np.add.reduceat(counts, np.cumsum(per_text) - per_text) if len(texts) else np.zeros(0, np.int64)
