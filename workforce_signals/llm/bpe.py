@@ -377,15 +377,40 @@ def decode(tokens: DataFrame, path: str, out: str = "decoded", keep_ids: bool =
     return map_batches(narrow, _decode(_vocabulary(spark, path), out, keep_ids), schema)
 
 
+def _round_trip(vocabulary, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = _ranks(vocabulary.value, True)
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            names = [n for i, n in enumerate(batch.schema.names) if i != at]
+            for a, b, texts in text_chunks(batch.column(text)):
+                ids, offsets = ranks.encode(texts)
+                ends = np.concatenate(([0], np.cumsum(ranks.length[ids])))[offsets].astype(np.int32)
+                buffers = [None, pa.py_buffer(ends), pa.py_buffer(ranks.bytes_of(ids))]
+                decoded = pa.Array.from_buffers(pa.binary(), len(texts), buffers)
+                kept = [batch.column(n).slice(a, b - a) for n in names]
+                yield pa.record_batch([*kept, _lists(offsets, ids), decoded], names=[*names, "ids", "decoded"])
+
+    return run
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, ids, decoded): the tokens of every whole text and the bytes they stand for, from one pass in a worker.
+
+    As ``encode`` followed by ``decode``, without sending the ids to another worker in between.
+    """
+    narrow = docs.select(F.col(key), F.col(text).alias("_text"))
+    kind = narrow.schema[0].dataType.simpleString()
+    return map_batches(narrow, _round_trip(_vocabulary(docs.sparkSession, path), "_text"), f"`{key}` {kind}, ids array<int>, decoded binary")
+
+
 def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded again; and the ids, if asked for."""
-    tokens = encode(docs, path, key, text)
-    told = tokens.select(
+    found = round_trip(docs, path, key, text)
+    return found.select(
         key,
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if keep_ids else []),
     )
-    found = decode(told, path, keep_ids=keep_ids)
-    ids = ["ids"] if keep_ids else []
-    return found.select(key, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), *ids)
