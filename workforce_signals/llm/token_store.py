@@ -30,13 +30,13 @@ from workforce_signals.llm.id_cache import IdCache
 from workforce_signals.llm.workers import map_batches
 
 # Documents whose ids the dictionary is trained on, and how much of each: a bounded sample, by hash of the id.
-SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 16_384
+SAMPLE_DOCS, SAMPLE_BYTES = 1_000, 16_384
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 # A segment ends after so many documents or bytes; a larger document is a segment of its own.
 SEGMENT_DOCS, SEGMENT_BYTES = 1_024, 4 << 20
 # Words kept with their ids in a worker.
-CACHED = 600_000
+CACHED = 900_000
 # ASCII signs that are never one token with a letter before them. An apostrophe may be.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # Lower-case letters that the tokenizer's rules leave as they are and never cut between, and the signs that
@@ -67,7 +67,8 @@ class Words:
         found, rest, tokenize = [], [], self.tokenizer.model.tokenize
         for i, word in enumerate(words):
             if _LATIN.fullmatch(word):
-                found.append([t.id for t in tokenize(word.encode().decode("latin-1").translate(_BYTES))])
+                signs = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+                found.append([t.id for t in tokenize(signs)])
             else:
                 found.append(None)
                 rest.append(i)
