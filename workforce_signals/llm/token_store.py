@@ -36,7 +36,7 @@ LEVEL = 3
 # A segment ends after so many documents or bytes; a larger document is a segment of its own.
 SEGMENT_DOCS, SEGMENT_BYTES = 1_024, 4 << 20
 # Words kept with their ids in a worker.
-CACHED = 900_000
+CACHED = 600_000
 # ASCII signs that are never one token with a letter before them. An apostrophe may be.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # Lower-case letters that the tokenizer's rules leave as they are and never cut between, and the signs that
