@@ -75,44 +75,60 @@ def contaminated(
     A document without an id is reported with NULL. Repeated rows are reported once, as are pairs of an id and an item
     that several texts or passages share (with the most words). Other columns are ignored, whatever their names.
     """
+    narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    enough = _passages(narrow, benchmark, ["doc_id"], item, item_text)
+    found = enough.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.max("matched_words").alias("matched_words"))
+    return found.select("doc_id", "item_id", F.col("item_words").cast("bigint"), F.col("matched_words").cast("bigint"))
+
+
+def _passages(narrow: DataFrame, benchmark: DataFrame, names: list[str], item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows (``names``, item_id, item_words, matched_words), one for every place where a text of ``narrow`` holds an item."""
     items = benchmark.select(F.col(item).cast("bigint").alias("item_id"), _hashed(F.col(item_text)).alias("hashes"))
     items = items.where(F.col("item_id").isNotNull() & (F.size("hashes") >= LEAST_WORDS)).distinct()
     items = store(items.withColumn("item_words", F.size("hashes")).withColumn("variant", F.xxhash64("hashes")), "bench-items").df
     seeds = store(_exploded(items, "item_id", "variant").withColumnRenamed("at", "item_at"), "bench-seeds")
 
-    narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     narrow = narrow.where("text IS NOT NULL").withColumn("content", F.xxhash64("text"))
     places = _exploded(narrow.select("content", _hashed(F.col("text")).alias("hashes")), "content")
     met = places.join(seeds.for_join(), "seed").select("content", "item_id", "variant", (F.col("at") - F.col("item_at")).alias("shift"))
     hits = store(met.distinct(), "bench-hits")
-    return _verified(narrow, items, hits)
+    return _verified(narrow, items, hits, names)
 
 
-def _verified(narrow: DataFrame, items: DataFrame, hits: Stored) -> DataFrame:
+def _verified(narrow: DataFrame, items: DataFrame, hits: Stored, names: list[str]) -> DataFrame:
     """Lays the items over the documents at the shifts that seeds propose."""
     one = hits.df.join(items, ["item_id", "variant"])
-    texts = narrow.select("doc_id", "content", "text").join(hits.for_join().select("content").distinct(), "content", "left_semi")
-    hashed = texts.distinct().select("doc_id", "content", _hashed(F.col("text")).alias("doc"))
+    texts = narrow.select(*names, "content", "text").join(hits.for_join().select("content").distinct(), "content", "left_semi")
+    hashed = texts.distinct().select(*names, "content", _hashed(F.col("text")).alias("doc"))
     laid = hashed.join(one, "content")
     same = F.transform(
         F.sequence(F.lit(0), F.col("item_words") - 1),
         lambda p: F.coalesce((p + F.col("shift") >= 0) & (F.get("doc", p + F.col("shift")) == F.get("hashes", p)), F.lit(False)),
     )
-    counted = laid.select("doc_id", "item_id", "item_words", same.alias("same"))
-    counted = counted.select("doc_id", "item_id", "item_words", most_in_window(F.col("same"), F.col("item_words")).alias("matched_words"))
+    counted = laid.select(*names, "item_id", "item_words", same.alias("same"))
+    counted = counted.select(*names, "item_id", "item_words", most_in_window(F.col("same"), F.col("item_words")).alias("matched_words"))
     window = F.least(F.col("item_words"), F.lit(WINDOW))
-    enough = counted.where(F.col("matched_words") >= window - F.floor(window / ONE_IN))
-    found = enough.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.max("matched_words").alias("matched_words"))
-    return found.select("doc_id", "item_id", F.col("item_words").cast("bigint"), F.col("matched_words").cast("bigint"))
+    return counted.where(F.col("matched_words") >= window - F.floor(window / ONE_IN))
+
+
+def _marks(text: str) -> list[Column]:
+    """Two hashes that stand for a text."""
+    return [F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))]
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", keep_without_id: bool = True) -> DataFrame:
     """The rows of ``docs`` without a passage of a benchmark item.
 
-    Rows with a reported id go; rows without an id stay, as nothing names them.
+    Every row is judged by its own text, whatever other rows have its id. With ``keep_without_id`` rows without an id stay, as
+    nothing names them; without it they are judged like all others.
     """
-    found = contaminated(docs, benchmark, key, text).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_leaks")).distinct()
-    return docs.join(store(found, "bench-found").for_join(), F.col(key) == F.col("_leaks"), "left_anti")
+    first, second = _marks("text")
+    narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    narrow = (narrow.where("_key IS NOT NULL") if keep_without_id else narrow).select("text", first.alias("_first"), second.alias("_second"))
+    found = store(_passages(narrow, benchmark, ["_first", "_second"]).select("_first", "_second").distinct(), "bench-found")
+    first, second = _marks(text)
+    leaks = (first == F.col("_first")) & (second == F.col("_second"))
+    return docs.join(found.for_join(), leaks & F.col(key).isNotNull() if keep_without_id else leaks, "left_anti")
 
 
 # The same rows by brute force: every equal pair of words, counted along shifts.
