@@ -48,6 +48,20 @@ def test_siblings_of_the_best_container_stay():
     assert main_text(page) == " ".join([re.sub("<[^>]*>", "", STORY)] * 6)
 
 
+@pytest.mark.parametrize("paragraphs", [3, 30])
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_what_stands_beside_the_body_stays(paragraphs, around):
+    story = re.sub("<[^>]*>", "", STORY)
+    page = f"""<body><nav><a href=/>Home</a></nav><{around}><h1>Title</h1><div class=body>{STORY * paragraphs}</div><ul><li>one<li>two</ul>
+    <table><tr><td>cell</table>loose words<div class=share>Share it</div><p>short end</p></{around}><footer>(c)</footer></body>"""
+    assert main_text(page) == " ".join(["Title", *[story] * paragraphs, "one two cell loose words short end"])
+
+
+def test_siblings_stay_on_a_page_without_a_body():
+    story = re.sub("<[^>]*>", "", STORY)
+    assert main_text(f"<h1>Title</h1><div>{STORY * 12}</div>loose<p>short end</p>") == " ".join(["Title", *[story] * 12, "loose short end"])
+
+
 def test_links_discount_a_container():
     links = "<p>" + "".join(f"<a href=/{i}>some words, a comma, and more words of a link</a> " for i in range(30)) + "</p>"
     assert main_text(f"<div>{links}</div><div>{STORY * 2}</div>") == " ".join([re.sub("<[^>]*>", "", STORY)] * 2)

@@ -2,7 +2,8 @@
 
 A page becomes a light tree of its elements. Every paragraph earns points for its length and its commas and passes
 them to its ancestors, less with every level; a container's points are discounted by the share of its text that
-stands in links. The best container is kept, with those siblings that score or read like it, and its blocks are joined.
+stands in links. The article around the best container is kept, or the container with its siblings, without furniture
+and menus, and the blocks are joined.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from workforce_signals.llm.workers import map_batches
 
 # Points: one per so many characters up to a limit, one per comma, one for a paragraph that is not tiny.
 CHARS_A_POINT, MOST_FOR_LENGTH, TINY = 100, 3.0, 25
-# A sibling of the best container stays from this share of its score on; a paragraph of so many characters, too.
-SIBLING_SHARE, SIBLING_LEAST, SIBLING_CHARS, SIBLING_LINKS = 0.2, 5.0, 80, 0.25
-# Inside the kept text, a list or box is a menu if so much of its text is links, and so many of them.
+# Inside the kept text, a list or box is a menu if so much of its text is links, and so many of them; any sibling of the
+# best container likewise.
 MENU_LINKS, MENU_COUNT = 0.6, 3
 
 # Names of HTML elements by their role, attribute words, and commas of some scripts.
@@ -189,18 +189,21 @@ class Page:
         n = len(self.names)
         score = [self.points[i] * (1 - self._density(i)) if self.takes[i] else 0.0 for i in range(n)]
         best = max((i for i in range(n) if self.takes[i] and not self.dropped[i] and self.length[i]), key=lambda i: (score[i], -i), default=0)
+        above, node = best, best
+        while node > 0:
+            node = self.parents[node]
+            if self.names[node] in ("article", "main"):
+                above = node
+        best = above
         kept = [False] * n
         kept[best] = True
-        if best and self.parents[best] > 0:
-            for i in range(1, n):
-                if self.parents[i] == self.parents[best] and i != best and not self.dropped[i] and self.length[i]:
-                    like = score[i] >= max(SIBLING_LEAST, SIBLING_SHARE * score[best])
-                    reads = self.names[i] == "p" and self.length[i] >= SIBLING_CHARS and self._density(i) < SIBLING_LINKS
-                    kept[i] = like or reads
+        up = self.parents[best] if self.names[best] not in ("article", "main") else -1
+        if up >= 0:
+            kept[up] = True
         for i in range(1, n):
             p = self.parents[i]
             if kept[p] and i != best:
-                menu = self.names[i] in BOXES and self.links[i] >= MENU_COUNT and self._density(i) > MENU_LINKS
+                menu = (self.names[i] in BOXES or p == up) and self.links[i] >= MENU_COUNT and self._density(i) > MENU_LINKS
                 kept[i] = not self.dropped[i] and not menu
         blocks, now, last = [], [], None
         for node, text in self.pieces:
