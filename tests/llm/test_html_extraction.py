@@ -57,6 +57,14 @@ def test_what_stands_beside_the_body_stays(paragraphs, around):
     assert main_text(page) == " ".join(["Title", *[story] * paragraphs, "one two cell loose words short end"])
 
 
+def test_captions_formulas_and_listings_stay():
+    page = f"""<body><article>{STORY}<figure><img src=a><figcaption>A caption</figcaption></figure><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.
+    <xmp class=code><b>a &amp; b</b></xmp><object data=f>a film</object><fieldset><legend>Box</legend><label>Name</label> of it</fieldset>
+    <form><fieldset><legend>Sign</legend><label>Mail</label></fieldset></form><xmp hidden>no</xmp>{STORY}</article></body>"""
+    story = re.sub("<[^>]*>", "", STORY)
+    assert main_text(page) == f"{story} A caption So x=2 holds. <b>a &amp; b</b> a film Box Name of it {story}"
+
+
 def test_siblings_stay_on_a_page_without_a_body():
     story = re.sub("<[^>]*>", "", STORY)
     assert main_text(f"<h1>Title</h1><div>{STORY * 12}</div>loose<p>short end</p>") == " ".join(["Title", *[story] * 12, "loose short end"])

@@ -27,11 +27,11 @@ MENU_LINKS, MENU_COUNT = 0.6, 3
 
 # Names of HTML elements by their role, attribute words, and commas of some scripts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|title|xmp|noembed|noframes|math|select|object"
-DROPPED = frozenset("nav header footer aside form button dialog menu fieldset label head figcaption audio video canvas".split())
+RAW = "script|style|noscript|template|textarea|iframe|svg|title|xmp|noembed|noframes|select"
+DROPPED = frozenset("nav header footer aside form button dialog menu head audio video canvas".split())
 BLOCKS = frozenset(
     "html body main article section div p pre blockquote ul ol li dl dt dd table thead tbody tfoot tr td th caption "
-    "h1 h2 h3 h4 h5 h6 address figure hgroup center details summary hr".split()
+    "h1 h2 h3 h4 h5 h6 address figure figcaption fieldset legend xmp hgroup center details summary hr".split()
 ) | DROPPED
 BOXES = frozenset("div section ul ol dl table center details figure".split())
 KEPT = frozenset("html body main".split())
@@ -53,7 +53,7 @@ CLOSES = {
 # Quotes count after an equals sign only. A tag, comment or script that never ends takes the rest of the page.
 _ATTRS = r"""(?:[^>=]|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?)*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>]){_ATTRS}(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<says>{_ATTRS})(?:>(?P<inside>.*?)(?:</(?P=raw)\s*>|\Z)|\Z)"
     rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
@@ -93,6 +93,8 @@ class Page:
             place = token.end()
             name = token["name"]
             if name is None:
+                if token["raw"] and token["raw"].lower() == "xmp":
+                    self._listing(stack, opened, token["says"], token["inside"] or "")
                 continue
             name = name.lower()
             if token["end"]:
@@ -126,6 +128,16 @@ class Page:
         if place < len(html):
             self.pieces.append((stack[-1], unescape(html[place:])))
 
+    def _listing(self, stack: list[int], opened: dict[str, int], attributes: str, text: str) -> None:
+        """An element whose text is shown letter by letter, tags and all."""
+        if opened.get("p"):
+            self._close(stack, opened, "p")
+        node = len(self.names)
+        self.names.append("xmp")
+        self.parents.append(stack[-1])
+        self.dropped.append(self.dropped[stack[-1]] or _unwanted("xmp", attributes))
+        self.pieces += [(node, ""), (node, text), (stack[-1], "")]
+
     def _within(self, stack: list[int], name: str, limits: tuple[str, ...]) -> bool:
         for node in reversed(stack):
             if self.names[node] == name:
