@@ -50,6 +50,21 @@ def test_blocks_agree_with_brute_force():
         assert near[:5].tolist() == order and scores[:5].tolist() == pytest.approx([exact[i] for i in order])
 
 
+def test_repeated_rows_of_an_id_take_one_place(spark):
+    few = [(0, [1, 0]), *[(1, [1, 0.01])] * 30, *[(2, [1, 0.02 + k / 1e4]) for k in range(30)], (3, [0, 1]), (4, [-1, 0]), (5, [1, 1])]
+    got = found(nn.nearest(table(spark, few)))
+    assert [i for _, i, _ in got[0]] == [1, 2, 5, 3, 4]
+    assert nn.brute_force(np.array([i for i, _ in few]), np.array([v for _, v in few], float)) == {0: [1, 2, 5, 3, 4]}
+
+
+def test_a_hot_id_that_fills_leaves_hides_no_neighbour(spark):
+    dice = np.random.default_rng(4)
+    base = dice.normal(size=16)
+    rows = [(0, base), *((1, base + 0.01 * dice.normal(size=16)) for _ in range(3000)), *((i, dice.normal(size=16)) for i in range(2, 400))]
+    got = found(nn.nearest(table(spark, rows)))
+    assert got[0][0][1] == 1 and all(len(near) == 5 for near in got.values()) and len(got) == 8
+
+
 def test_tree_places_every_vector_and_visits_every_leaf_once():
     dice = np.random.default_rng(2)
     x = nn.unit(dice.normal(size=(1500, 16)))

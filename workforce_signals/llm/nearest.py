@@ -158,7 +158,7 @@ def _assign(shared, mark: str, size: int):
 
 
 def _route(shared, mark: str, size: int):
-    """The leaves that each query opens: as many as calibrated, and on until they hold rows enough."""
+    """The leaves that each query opens: as many as calibrated, and on until they hold ids enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, leaves, counts = _tree(shared, mark)
@@ -180,24 +180,24 @@ def _route(shared, mark: str, size: int):
 
 
 def best_of(query: np.ndarray, query_id: int, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and cosines of the nearest rows, exactly in double precision; ties to smaller ids, each id once."""
+    """Ids and cosines of the nearest ids, exactly in double precision; ties to smaller ids, each id once by its nearest row.
+
+    Rows come in ascending order of their ids.
+    """
     near = vectors @ query / (norms * np.linalg.norm(query))
     near[ids == query_id] = -np.inf
     at = np.arange(len(ids))
-    if len(ids) > NEIGHBOURS:
-        at = np.flatnonzero(near >= np.partition(near, -NEIGHBOURS)[-NEIGHBOURS] - 1e-9)
+    most = np.maximum.reduceat(near, np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))))
+    if len(most) > NEIGHBOURS:
+        at = np.flatnonzero(near >= np.partition(most, -NEIGHBOURS)[-NEIGHBOURS] - 1e-9)
     at = at[near[at] > -np.inf]
     exact = (vectors[at] * query).sum(axis=1) / (norms[at] * np.linalg.norm(query))
     order = np.lexsort((ids[at], -exact))
+    _, first = np.unique(ids[at][order], return_index=True)
+    order = order[np.sort(first)[:NEIGHBOURS]]
     return ids[at][order], exact[order]
 
 
-def _distinct_first(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, first = np.unique(ids, return_index=True)
-    first = np.sort(first)[:NEIGHBOURS]
-    return ids[first], scores[first]
-
-
 def _search(size: int):
     """Rows sorted by (leaf, row_block, query_block, kind): the queries of a block first, then its rows."""
 
@@ -206,11 +206,12 @@ def _search(size: int):
             return
         ids = np.concatenate([i for i, _ in rows])
         vectors = np.concatenate([v for _, v in rows])
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
         norms = np.linalg.norm(vectors, axis=1)
         for qids, qvectors in queries:
             for query_id, q in zip(qids.tolist(), qvectors, strict=True):
                 found, scores = best_of(q, query_id, ids, vectors, norms)
-                found, scores = _distinct_first(found, scores)
                 out.extend((query_id, int(i), float(s)) for i, s in zip(found, scores, strict=True))
 
     def told(out):
@@ -287,9 +288,10 @@ def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", on
     first = spark.sparkContext.broadcast((tree, leaves, {}))
     placed = map_batches(clean, _assign(first, uuid.uuid4().hex, size), "vec_id bigint, vector array<double>, leaf int")
     placed = store(placed, "nearest-rows").df
-    # One row for each leaf of the tree, whose number the sample bounds.
+    # One row for each leaf of the tree, whose number the sample bounds. An id in several leaves counts in one of them.
     counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
-    second = spark.sparkContext.broadcast((tree, leaves, counts))
+    distinct = placed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect()
+    second = spark.sparkContext.broadcast((tree, leaves, {r["leaf"]: r["count"] for r in distinct}))
     queries = placed.where(F.col("vec_id") % one_in == 0).select("vec_id", "vector").distinct()
     opened = map_batches(queries, _route(second, uuid.uuid4().hex, size), "vec_id bigint, vector array<double>, leaves array<int>")
     opened = store(opened.select("vec_id", "vector", F.explode("leaves").alias("leaf")), "nearest-queries").df
@@ -315,9 +317,12 @@ def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", on
 
 def brute_force(ids: np.ndarray, vectors: np.ndarray, one_in: int = ONE_IN) -> dict[int, list[int]]:
     """The true neighbours, for measuring recall on tables that fit into memory."""
-    norms = np.linalg.norm(vectors, axis=1)
-    return {
-        int(i): _distinct_first(*best_of(vectors[k], int(i), ids, vectors, norms))[0].tolist()
-        for k, i in enumerate(ids.tolist())
-        if i % one_in == 0
-    }
+    units, out = unit(vectors), {}
+    for query_id in sorted({i for i in ids.tolist() if i % one_in == 0}):
+        best: dict[int, float] = {}
+        for k in np.flatnonzero(ids == query_id):
+            for i, score in zip(ids.tolist(), (units @ units[k]).tolist(), strict=True):
+                if i != query_id:
+                    best[i] = max(score, best.get(i, score))
+        out[int(query_id)] = sorted(best, key=lambda i: (-best[i], i))[:NEIGHBOURS]
+    return out
