@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from workforce_signals.llm import (
     bpe,
+    conversations,
     decontamination,
     html_extraction,
     jaccard_join,
@@ -80,10 +81,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_sharding, op2_byte_bpe, op3_decontamination, op4_quality_rules, op5_html_text, op6_language_id, op7_token_files,
-        op8_jaccard_join, op9_nearest, op10_personal_data,
+        op8_jaccard_join, op9_nearest, op10_personal_data, op12_conversation_repair,
     )
     return {query.__name__: query for query in found}
 
