@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from workforce_signals.llm.arrays import constants, mix, spans_of, utf8
 
@@ -15,28 +16,15 @@ WORDS = 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_LETTER = constants(256, 11)
-_LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1]
-_BASE = int(constants(1, 23)[0])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_SEED = constants(2, 11)
+# Bits of the first 0 to 8 bytes of a block.
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _PLACE = constants(8, 37)
 
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_up, _down = _powers(_BASE, 1), _powers(pow(_BASE, -1, 1 << 64), 1)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    global _up, _down
-    if len(_up) < n:
-        size = 1 << (n - 1).bit_length()
-        _up, _down = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
-    return _up, _down
+# Words of more bytes are hashed one by one, shorter ones all at once, eight bytes at a time.
+_LONG_WORD = 256
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,26 +42,39 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = offsets[1:][offsets[1:] > offsets[:-1]] - 1
     last[ends] = ~space[ends]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LETTER[data] * up[:n], out=total[1:])
-    return mix((total[stops] - total[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    return _hashed(_LOWER[data], starts, stops), np.searchsorted(starts, offsets)
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of each slice, in which every byte goes through the mixing function with all that came before it."""
+    length = stops - starts
+    out = mix(length.astype(np.uint64) * _SEED[0])
+    blocks = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    some, at = np.flatnonzero(length <= _LONG_WORD), 0
+    while len(some):
+        block = blocks[starts[some] + at].view("<u8").ravel()
+        out[some] = mix(out[some] ^ (block & _FIRST_BYTES[np.minimum(length[some] - at, 8)]))
+        at += 8
+        some = some[length[some] > at]
+    for i in np.flatnonzero(length > _LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : stops[i]].tobytes(), int(_SEED[1]))
+    return out
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Per row the sorted distinct hashes of its shingles of five words; of the whole sequence, if it has fewer."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> list[np.ndarray]:
+    """Per row the sorted distinct hashes of its shingles of ``size`` words; of the whole sequence, if it has fewer."""
     words, first = word_hashes(data, offsets)
     counts = np.diff(first)
     wide = np.zeros(0, np.uint64)
-    if len(words) >= WORDS:
-        wide = words[: len(words) - WORDS + 1] * _PLACE[0]
-        for k in range(1, WORDS):
-            wide += words[k : len(words) - WORDS + 1 + k] * _PLACE[k]
+    if len(words) >= size:
+        wide = words[: len(words) - size + 1] * _PLACE[0]
+        for k in range(1, size):
+            wide += words[k : len(words) - size + 1 + k] * _PLACE[k]
         wide = mix(wide)
     out = []
     for a, n in zip(first[:-1].tolist(), counts.tolist(), strict=True):
-        if n >= WORDS:
-            s = np.sort(wide[a : a + n - WORDS + 1])
+        if n >= size:
+            s = np.sort(wide[a : a + n - size + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s)
         elif n:
             out.append(mix((words[a : a + n] * _PLACE[:n]).sum(dtype=np.uint64, keepdims=True) + _PLACE[5] * np.uint64(n)))
@@ -88,8 +89,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return mix(sums + np.array([len(s) for s in sets], np.uint64) * _PLACE[7])
 
 
-def batch_sets(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+def batch_sets(batch: pa.RecordBatch, text: str, size: int = WORDS) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """Row ranges of a batch with the sets of their texts, a bounded number of bytes at a time."""
     data, offsets = utf8(batch.column(text))
     for a, b in spans_of(offsets):
-        yield a, b, shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        yield a, b, shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
