@@ -12,6 +12,7 @@ from workforce_signals.llm import (
     conversations,
     decontamination,
     html_extraction,
+    hyperminhash,
     jaccard_join,
     language_id,
     nearest,
@@ -85,10 +86,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(_table(spark, sf_dir, "conversations"))
 
 
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_sharding, op2_byte_bpe, op3_decontamination, op4_quality_rules, op5_html_text, op6_language_id, op7_token_files,
-        op8_jaccard_join, op9_nearest, op10_personal_data, op12_conversation_repair,
+        op8_jaccard_join, op9_nearest, op10_personal_data, op12_conversation_repair, op13_hyperminhash,
     )
     return {query.__name__: query for query in found}
 
@@ -99,4 +104,5 @@ def all_oracles() -> dict[str, str]:
         "op1_sharding": sharding.oracle_sql(),
         "op3_decontamination": decontamination.ORACLE_SQL,
         "op8_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op13_hyperminhash": hyperminhash.ORACLE_SQL,
     }
