@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workforce_signals.llm import (
+    alignment,
     bpe,
     conversations,
     decontamination,
@@ -82,6 +83,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(_table(spark, sf_dir, "conversations"))
 
@@ -93,7 +98,8 @@ def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_sharding, op2_byte_bpe, op3_decontamination, op4_quality_rules, op5_html_text, op6_language_id, op7_token_files,
-        op8_jaccard_join, op9_nearest, op10_personal_data, op12_conversation_repair, op13_hyperminhash,
+        op8_jaccard_join, op9_nearest, op10_personal_data, op11_token_alignment,
+        op12_conversation_repair, op13_hyperminhash,
     )
     return {query.__name__: query for query in found}
 
