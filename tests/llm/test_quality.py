@@ -1,4 +1,5 @@
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -100,3 +101,21 @@ def test_held_out_labels_are_not_seen(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     turned = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(doc_id AS string)) % 5 = 0 THEN 1 - quality ELSE quality END AS quality")
     assert quality.train(docs, labels) == quality.train(docs, turned)
+
+
+def test_a_hot_id_teaches_one_text(spark, monkeypatch):
+    """Rows of one id must not fill the sample: with and without 5,000 more of them the model is the same."""
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 300)
+    good = "The river, wide and slow, passed the old town in the calm of the evening. " * 3
+    ids = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 5]
+    hot = ids[0]
+    rows = [(i, f"{good}{i}" if i % 2 else "BUY NOW!!! $$$ 1234 %%% " * 6 + str(i)) for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int")
+    schema = "doc_id bigint, text string"
+    hashes = spark.createDataFrame([(f"x {k}",) for k in range(20_000)], "t string").selectExpr("t", f"xxhash64(t) > (SELECT xxhash64(text) FROM VALUES ('{dict(rows)[hot]}') AS v(text)) AS more")
+    more = [(hot, r["t"]) for r in hashes.where("more").limit(5000).collect()]
+    plain, crowded = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + more, schema)
+    model = quality.train(crowded, labels)
+    assert model == quality.train(plain, labels) and model.rules
+    scores = [r["predicted"] == r["doc_id"] % 2 for r in quality.score(plain, model).collect()]
+    assert np.mean(scores) > 0.95

@@ -153,17 +153,19 @@ def held_out(key: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> RuleModel:
-    """Fits a model on labelled texts that are not held out, SAMPLE_ROWS of them at most.
+    """Fits a model on labelled texts that are not held out: of SAMPLE_ROWS ids at most, those of least hash, one text each.
 
-    Rows with a NULL id or label teach nothing; an id with several labels counts with the smallest, an id with
-    several texts with each.
+    Rows with a NULL id or label teach nothing; an id with several labels counts with the smallest, an id with several texts
+    with the one of least hash, so that no id weighs more than another.
     """
     narrow = labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_label"))
     narrow = narrow.where("_id IS NOT NULL AND _label IN (0, 1)").where(~held_out("_id"))
     chosen = narrow.groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
     texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    least = F.min(F.struct(F.xxhash64("_text"), "_text")).alias("least")
+    texts = texts.groupBy("_id", "_label").agg(least).select("_id", "_label", "least._text")
     found = with_statistics(texts, "_text", ("_id", "_label"))
-    rows = found.orderBy("_id", *STATISTICS).limit(2 * SAMPLE_ROWS).toPandas()
+    rows = found.orderBy("_id").toPandas()  # SAMPLE_ROWS at most
     return fit_rules(rows[list(STATISTICS)].to_numpy(np.float64), rows["_label"].to_numpy(np.float64))
 
 
