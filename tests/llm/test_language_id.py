@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -86,3 +87,31 @@ def test_held_out_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     got = op6_language_id(spark, SF).join(docs, "doc_id").where("held_out").collect()
     assert len(got) > 20 and np.mean([r["lang"] == r["lang_pred"] for r in got]) >= 0.97
+
+
+def test_a_hot_id_teaches_one_text(spark):
+    path = vocabulary("piece_bpe_32k.model")
+    texts = {"en": "the hen is there and then", "fr": "la lune est belle et haute", "de": "der mond ist schön und rund"}
+    ids = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, f"{texts[name]} {i}", name) for i in ids for name in [sorted(texts)[i % 3]]]
+    hot = next(r for r in rows if r[2] == "en")
+    schema = "doc_id bigint, text string, lang string"
+    more = [(hot[0], f"{texts['fr']} {k}", "en") for k in range(3000)]  # wrong ones, all of one id
+    model = li.train(spark.createDataFrame(rows + more, schema), path)
+    got = li.predict(spark.createDataFrame(rows, schema), model)
+    wrong = got.join(spark.createDataFrame(rows, schema).select("doc_id", "lang"), "doc_id").where("lang <> lang_pred")
+    assert model.languages == ["de", "en", "fr"] and wrong.count() == 0
+
+
+def test_rare_languages_beyond_the_bound_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(li, "MOST_LANGUAGES", 2)
+    rows = [(i, "the hen", name) for i, name in enumerate(["a"] * 40 + ["b"] * 30 + [f"x{k}" for k in range(60)])]
+    model = li.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), vocabulary("piece_bpe_32k.model"))
+    assert model.languages == ["a", "b"]
+
+
+def test_scores_do_not_depend_on_neighbours(model):
+    texts = ["the hen there", "le lune", "", "then hen the the hen", "12"] * 3
+    alone = [li.Scorer(model).texts([t]) for t in texts]
+    names, share = li.Scorer(model).texts(texts)
+    assert names == [n[0] for n, _ in alone] and share.tolist() == [s[0] for _, s in alone]

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from workforce_signals.llm.arrays import constants, mix, strings, text_chunks
 from workforce_signals.llm.workers import map_batches
+from workforce_signals.plans.stored import store
 
 # Labelled texts that a language is learned from: a bounded sample, those with the smallest hashes of their ids.
-SAMPLE_DOCS = 300
+SAMPLE_DOCS, MOST_LANGUAGES = 300, 400
 ROUNDS, SMOOTHING = 4, 0.05
 # Letters per word; longer runs of letters are read as several words.
 LONGEST = 40
@@ -219,12 +220,15 @@ class Scorer:
             self.learn(new)
         at = np.fromiter(map(self.cache.__getitem__, every), np.int64, len(every))
         offsets = np.concatenate(([0], np.cumsum([len(ws) for ws in found])))
-        total = np.concatenate((np.zeros((1, self.scores.shape[1])), np.cumsum(self.scores[at], axis=0)))
+        # Summed text by text: a text's score must not depend on what is scored beside it.
+        filled = offsets[1:] > offsets[:-1]
+        sums = np.zeros((len(texts), self.scores.shape[1]))
+        if filled.any():
+            sums[filled] = np.add.reduceat(self.scores[at], offsets[:-1][filled], axis=0)
         letters = np.concatenate(([0], np.cumsum(self.known[at])))
         some = letters[offsets[1:]] > letters[offsets[:-1]]
         if not self.model.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        sums = total[offsets[1:]] - total[offsets[:-1]]
         best = sums.argmax(axis=1)
         share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
         names = [self.model.languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
@@ -270,7 +274,8 @@ def held_out(key: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 
 
 def train(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Learns every language that labels a text which is not held out, from SAMPLE_DOCS of its texts at most.
+    """Learns the languages that label texts which are not held out: of SAMPLE_DOCS ids a language at most, those of least hash, one
+    text each, so that no id weighs more than another. Beyond MOST_LANGUAGES the rarer ones, by number of ids, are not learned.
 
     ``path`` is a sentencepiece model, of which only the pieces are used. Rows without id, text or language
     teach nothing.
@@ -278,8 +283,13 @@ def train(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", l
     narrow = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     known = narrow.where("_id IS NOT NULL AND _text IS NOT NULL AND _lang IS NOT NULL").where(~held_out("_id"))
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = known.select("_id", "_lang").withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= SAMPLE_DOCS)
-    texts = known.join(F.broadcast(chosen.select("_id", "_lang").distinct()), ["_id", "_lang"], "left_semi")
+    pairs = store(known.select("_id", "_lang").distinct(), "language-ids").df
+    learned = pairs.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MOST_LANGUAGES)
+    chosen = pairs.join(F.broadcast(learned.select("_lang")), "_lang", "left_semi")
+    chosen = chosen.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= SAMPLE_DOCS).select("_id", "_lang")
+    chosen = store(chosen, "language-sample").df  # SAMPLE_DOCS * MOST_LANGUAGES rows at most
+    texts = known.join(F.broadcast(chosen), ["_id", "_lang"], "left_semi").groupBy("_id", "_lang")
+    texts = texts.agg(F.min(F.struct(F.xxhash64("_text"), "_text")).alias("least")).select("_lang", "least._text")
     found = map_batches(texts.select("_lang", "_text"), _count_words, "lang string, word string, n bigint")
     counts: dict[str, Counter] = defaultdict(Counter)
     for row in found.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():  # the words of the sample
