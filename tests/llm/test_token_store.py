@@ -13,7 +13,6 @@ from workforce_signals.llm.queries import op7_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WHOLE = Tokenizer.from_file(PATH)
-WHOLE.encode_special_tokens = True
 with open(PATH, "rb") as _file:
     WORDS = ts.Words(_file.read())
 
@@ -45,6 +44,34 @@ def test_every_letter_before_a_sign():
     assert [ids[a : b - 1].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [w.ids for w in whole]
 
 
+_spelled = st.lists(st.one_of(_signs, st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endoftext|", "<|EndOfText|>", "<|", "|>"])), max_size=6).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(_spelled, max_size=6))
+def test_special_tokens_are_those_of_the_library(texts):
+    """The library at its defaults, with special tokens inside words, at line ends, in other capitals and cut short."""
+    texts = [*texts, "a <|endoftext|> b", "x<|endoftext|>\ny", "<|startoftext|><|endoftext|>", "é<|startoftext|>\u0301"]
+    ids, offsets = WORDS.encode(texts, 1)
+    for text, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
+        assert ids[a:b].tolist() == [*WHOLE.encode(text, add_special_tokens=False).ids, 1], repr(text)
+
+
+def test_special_tokens_in_files(spark, tmp_path):
+    rows = [(1, "a <|endoftext|> b"), (2, "plain"), (3, "<|startoftext|>"), (4, None)]
+    ts.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH, str(tmp_path / "store"))
+    assert [tuple(r) for r in ts.token_digests(spark, str(tmp_path / "store")).orderBy("doc_id").collect()] == expected(rows)
+
+
+def test_dictionary_is_not_filled_by_a_hot_id(spark, tmp_path, monkeypatch):
+    rows = [(0, f"hot {i} text") for i in range(5000)] + [(i, f"document {i} " + "of many words " * 20) for i in range(1, 40)]
+    seen = []
+    monkeypatch.setattr(ts, "train_dictionary", lambda samples: seen.append(samples) or b"".join(samples)[:2000])
+    for k in range(2):
+        ts.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3 + k), PATH, str(tmp_path / f"{k}"))
+    assert len(seen[0]) == 40 and seen[0] == seen[1]
+
+
 def test_long_text():
     ids, offsets = WORDS.encode([LONG, ""], 1)
     assert ids[: offsets[1]].tolist() == [*WHOLE.encode(LONG, add_special_tokens=False).ids, 1] and ids[offsets[1] :].tolist() == [1]

@@ -12,6 +12,7 @@ A short document is read by picking its segment (first and last id are columns)
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import unicodedata
@@ -29,7 +30,7 @@ from workforce_signals.llm.arrays import text_chunks
 from workforce_signals.llm.id_cache import IdCache
 from workforce_signals.llm.workers import map_batches
 
-# Documents whose ids the dictionary is trained on, and how much of each: a bounded sample, by hash of the id.
+# Documents that the dictionary is trained on, one an id and by hash of the id, and how much of each: a bounded sample.
 SAMPLE_DOCS, SAMPLE_BYTES = 1_000, 16_384
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
@@ -57,6 +58,8 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_str(raw.decode())
+        self.special = [t["content"] for t in json.loads(raw).get("added_tokens") or () if t["special"]]
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.encode_special_tokens = True
         self.stems = IdCache(self._encode, CACHED)
@@ -98,7 +101,13 @@ class Words:
         return ids, np.add.reduceat(counts, first)
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, ``end_id`` after each, and the n + 1 offsets of the texts in them."""
+        """Ids of all texts, ``end_id`` after each, and the n + 1 offsets of the texts in them.
+
+        A special token that a text spells out is that token, as in the library, which encodes such texts itself.
+        """
+        spelled = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        if spelled:
+            return self._with_special(texts, spelled, end_id)
         joined = " ".join(texts).replace("\n", " ")
         if not _COMPOSING.search(joined):
             joined = joined.lower()  # as the tokenizer does to these letters; fewer words are then distinct
@@ -112,6 +121,15 @@ class Words:
         return out, offsets
 
 
+    def _with_special(self, texts: list[str], spelled: list[int], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        whole = self.library.encode_batch_fast([texts[i] for i in spelled], add_special_tokens=False)
+        ids, offsets = self.encode([t for i, t in enumerate(texts) if i not in set(spelled)], end_id)
+        others = iter(np.split(ids, offsets[1:-1]) if len(offsets) > 1 else [])
+        own = {i: np.array([*e.ids, end_id], np.uint32) for i, e in zip(spelled, whole, strict=True)}
+        parts = [own[i] if i in own else next(others) for i in range(len(texts))]
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
+
 def _words(raw: bytes) -> Words:
     key = hash(raw)
     if key not in _loaded:
@@ -140,8 +158,8 @@ def _samples(vocabulary, end_id: int, width: int):
     serialized = _serialized(vocabulary, end_id, width)
 
     def run(batches):
-        for _, found in serialized(batches):
-            yield pa.record_batch([pa.array([f[:SAMPLE_BYTES] for f in found], pa.binary())], names=["ids"])
+        for keys, found in serialized(batches):
+            yield pa.record_batch([keys, pa.array([f[:SAMPLE_BYTES] for f in found], pa.binary())], names=["key", "ids"])
 
     return run
 
@@ -230,8 +248,10 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, out: str, end_id: int =
     vocabulary = spark.sparkContext.broadcast(raw)
     narrow = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
     chosen = narrow.select("_key").where("_key IS NOT NULL").distinct().orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE_DOCS)
-    sample = map_batches(narrow.join(F.broadcast(chosen), "_key", "left_semi"), _samples(vocabulary, end_id, width), "ids binary")
-    trained = train_dictionary([bytes(r["ids"]) for r in sample.limit(SAMPLE_DOCS).collect()])
+    least = F.min(F.struct(F.xxhash64("_text"), "_text")).alias("least")
+    texts = narrow.join(F.broadcast(chosen), "_key", "left_semi").groupBy("_key").agg(least).select("_key", "least._text")
+    sample = map_batches(texts, _samples(vocabulary, end_id, width), "key bigint, ids binary")
+    trained = train_dictionary([bytes(r["ids"]) for r in sample.orderBy("key").collect()])  # SAMPLE_DOCS at most
     digest = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(digest, bytearray(trained), width, end_id)], "sha256 string, data binary, width int, end_id int").write.parquet(f"{out}/dictionary")
     shared = spark.sparkContext.broadcast(trained)
