@@ -92,3 +92,17 @@ def test_recall(spark, sf):
     assert set(got) == set(true)
     hits = sum(len({i for _, i, _ in got[q]} & set(near)) for q, near in true.items())
     assert hits / sum(map(len, true.values())) >= 0.9
+
+
+def test_a_hot_id_does_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(nn, "SAMPLE_ROWS", 1000)
+    dice = np.random.default_rng(7)
+    rows = [(0, dice.normal(size=8)) for _ in range(4000)] + [(i, dice.normal(size=8)) for i in range(1, 2500)]
+    seen, calibrated = [], nn.calibrated
+    monkeypatch.setattr(nn, "calibrated", lambda tree, sample: seen.append(len(sample)) or calibrated(tree, sample))
+    got = found(nn.nearest(table(spark, rows)))
+    assert seen == [1000]
+    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    true = nn.brute_force(ids, vectors)
+    hits = sum(len({i for _, i, _ in got[q]} & set(near)) for q, near in true.items())
+    assert hits / sum(map(len, true.values())) >= 0.9

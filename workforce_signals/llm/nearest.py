@@ -250,10 +250,13 @@ def _valid(vector: Column) -> Column:
 
 
 def fit_tree(rows: DataFrame, size: int) -> tuple[Tree, int]:
-    """A tree from a sample of at most SAMPLE_ROWS rows (vec_id, vector), and the leaves to open."""
+    """A tree from a sample of rows (vec_id, vector), and the leaves to open: SAMPLE_ROWS ids at most, those of least hash, one
+    vector each, so that an id with very many vectors does not fill it."""
     most = max(1_000, min(SAMPLE_ROWS, SAMPLE_VALUES // size))
     chosen = rows.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(most)
-    found = rows.join(F.broadcast(chosen), "vec_id", "left_semi").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).collect()
+    one = F.min(F.struct(F.xxhash64("vector").alias("hash"), "vector")).alias("one")
+    found = rows.join(F.broadcast(chosen), "vec_id", "left_semi").groupBy("vec_id").agg(one).select("vec_id", "one.vector")
+    found = found.orderBy(F.xxhash64("vec_id"), "vec_id").collect()  # ``most`` at most
     if not found:
         return Tree(np.zeros((0, size))), 1
     sample = unit(np.array([r["vector"] for r in found], np.float64))
