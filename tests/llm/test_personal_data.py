@@ -134,3 +134,15 @@ def test_whole_table(spark):
         assert [r[f"n_{k}"] for k in pd.KINDS] == [sum(s[1] == i for s in spans) for i in range(4)]
         assert r["base_sha256"] == hashlib.sha256(pd.joined(spans).encode()).hexdigest()
         assert set(pd.joined(spans).split(",")) <= set(r["spans"].split(","))
+
+
+def test_a_hot_id_teaches_one_text(spark, monkeypatch):
+    """The training texts are one an id, whatever the order and number of rows; the beginnings of very long ones too."""
+    rows = [(i, f"call +1 743 555 {1000 + i} or mail a{i}@b{i}.com") for i in range(60)]
+    rows += [(3, f"again {k} +1 743 555 {2000 + k}") for k in range(3000)] + [(61, "77 " * 5000 + "x@y.de")]
+    seen = []
+    monkeypatch.setattr(pd, "fit_field", lambda found: seen.append([tuple(v.tobytes() for v in f) for f in found]))
+    for parts in (2, 5):
+        pd.train(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts))
+    assert len(seen[0]) == 61 and seen[0] == seen[1]
+    assert max(len(y) // 8 for _, y, _, _ in seen[0]) == pd.SAMPLE_TOKENS

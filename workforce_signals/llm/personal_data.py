@@ -307,18 +307,22 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in strings(batch.column("_text")):
             g = graph(text)
-            if 0 < len(g.starts) <= SAMPLE_TOKENS:
-                y = labels_of(g, base_spans(text))
-                rows.append((g.features.tobytes(), y.astype(np.int8).tobytes(), _pairs(g.chain).tobytes(), _pairs(g.skip).tobytes()))
+            if g.starts:
+                y = labels_of(g, base_spans(text))[:SAMPLE_TOKENS]
+                chain, skip = (_pairs([p for p in pairs if max(p) < SAMPLE_TOKENS]) for pairs in (g.chain, g.skip))
+                rows.append((g.features[:SAMPLE_TOKENS].tobytes(), y.astype(np.int8).tobytes(), chain.tobytes(), skip.tobytes()))
         yield pa.record_batch([pa.array([r[k] for r in rows], pa.binary()) for k in range(4)], names=["x", "y", "chain", "skip"])
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Field | None:
-    """Learns a field from SAMPLE_DOCS texts with digits or at signs; None if there are none."""
+    """Learns a field from the texts with digits or at signs of SAMPLE_DOCS ids at most, those of least hash, one text each, up to
+    SAMPLE_TOKENS tokens of a text; None if there are none."""
     narrow = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").rlike(_SOME) & F.col("_id").isNotNull())
     chosen = narrow.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
-    found = map_batches(narrow.join(F.broadcast(chosen), "_id", "left_semi").select("_text"), _training, "x binary, y binary, chain binary, skip binary")
-    rows = sorted(tuple(bytes(v) for v in r) for r in found.limit(2 * SAMPLE_DOCS).collect())
+    least = F.min(F.struct(F.xxhash64("_text"), "_text")).alias("least")
+    texts = narrow.join(F.broadcast(chosen), "_id", "left_semi").groupBy("_id").agg(least).select("least._text")
+    found = map_batches(texts, _training, "x binary, y binary, chain binary, skip binary")
+    rows = sorted(tuple(bytes(v) for v in r) for r in found.collect())  # SAMPLE_DOCS at most
     return fit_field(
         [
             (
