@@ -1,11 +1,12 @@
 import html
+import random
 import re
 import time
 
 import pytest
 from fixtures_llm import SF, needs_tables
 
-from workforce_signals.llm.html_extraction import extract, main_text
+from workforce_signals.llm.html_extraction import Page, extract, main_text
 from workforce_signals.llm.queries import op5_html_text
 
 STORY = "<p>It was a long, quiet, grey morning, and nobody in the town had any wish to leave the house.</p>"
@@ -102,3 +103,93 @@ def test_whole_table(spark):
         article = re.sub(r"</?(?:p|h1|br|ul|li|div)\b[^>]*>", " ", article)
         assert row["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", "", article)).split())
         assert row["n_chars"] == len(row["text"])
+
+
+PARAGRAPH = "<p>" + "This is a long paragraph, with commas, and enough words to count as text of an article, truly. " * 3 + "</p>"
+ARTICLE = PARAGRAPH * 6
+OTHER = PARAGRAPH.replace("truly", "marked")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        *(f"<body><div class='{c}'>{ARTICLE}{OTHER}</div></body>" for c in ("content has-sidebar", "no-sidebar", "layout header-fixed", "post has-related-links")),
+        *(f"<body><article class='{c}'>{ARTICLE}{OTHER}</article></body>" for c in ("post ad-free", "post comments-open")),
+        f"<body><form id=aspnetForm><div>{ARTICLE}{OTHER}</div></form></body>",
+        f"<body><article>{ARTICLE}<section id='related-work'><h2>Related work</h2>{OTHER}</section></article></body>",
+        f"<body><article>{ARTICLE}<h2 id='discussion'>marked</h2>{PARAGRAPH}</article></body>",
+        f"<body><article><div class='entry-header'><h1>marked title</h1></div>{ARTICLE}</article></body>",
+        f"<body><div class=w><section><div class=c1>{ARTICLE}</div></section><section><div class=c2>{ARTICLE}{OTHER}</div></section></div></body>",
+    ],
+)
+def test_words_alone_drop_no_article(page):
+    assert main_text(page) == " ".join(re.sub("<[^>]*>", " ", page).split())
+
+
+@pytest.mark.parametrize(
+    "furniture",
+    [
+        f"<div class=comments>{OTHER}</div>",
+        f"<div class='comment-list'>{OTHER}</div>",
+        f"<form>{OTHER}</form>",
+        f"<div class='ad-slot'>{OTHER}</div>",
+        "<div id='related-posts'><a href=1>marked</a> <a href=2>marked</a></div>",
+        f"<div class='post-footer'>{OTHER}</div>",
+        f"<div hidden>{OTHER}</div>",
+        f"<aside>{OTHER}</aside>",
+    ],
+)
+def test_what_words_mark_beside_an_article_goes(furniture):
+    for page in (f"<body><article>{ARTICLE}{furniture}</article></body>", f"<body><div>{ARTICLE}</div>{furniture}</body>"):
+        assert "marked" not in main_text(page) and main_text(page).count("paragraph") == 18
+
+
+def random_tree(dice, depth=0):
+    """Nested boxes, paragraphs and links as (tag, children or text)."""
+    if depth and dice.random() < 0.5 or depth > 5:
+        words = " ".join(dice.choice(["one,", "two", "three", "fourteen,"]) for _ in range(dice.randrange(1, 40)))
+        return ("a" if dice.random() < 0.2 else "p", words)
+    return ("div", [random_tree(dice, depth + 1) for _ in range(dice.randrange(1, 5))])
+
+
+def as_html(tree):
+    tag, inside = tree
+    return f"<{tag}>{inside if isinstance(inside, str) else ''.join(map(as_html, inside))}</{tag}>"
+
+
+def points_by_hand(tree):
+    """Points of every box in page order, by walking from each paragraph to its ancestors."""
+    boxes = []
+
+    def walk(node, path):
+        tag, inside = node
+        if tag == "div":
+            boxes.append([0.0, path])
+            here = [len(boxes) - 1, *path]
+            loose = [c for c in inside if c[0] == "a"]
+            for child in inside:
+                walk(child, here)
+            blocks = any(c[0] != "a" for c in inside)
+            if loose:
+                give("".join(c[1] for c in loose), True, here if blocks else path)
+        elif tag == "p":
+            give(inside, False, path)
+
+    def give(text, linked, path):
+        size = len(" ".join(text.split()))
+        share = 0.0 if linked else text.count(",") + min(size / 100, 3) + (size >= 25)
+        for level, box in enumerate(path[:6]):
+            boxes[box][0] += share / (1, 2, 6, 9, 12, 15)[level]
+
+    walk(tree, [])
+    return [b[0] for b in boxes]
+
+
+def test_points_against_a_walk_over_random_trees():
+    dice = random.Random(6)
+    for _ in range(150):
+        tree = random_tree(dice)
+        page = Page(as_html(tree))
+        page._measure()
+        found = [p for name, p in zip(page.names, page.points, strict=True) if name == "div"]
+        assert found == pytest.approx(points_by_hand(tree))
