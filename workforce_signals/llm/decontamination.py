@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from workforce_signals.llm.workers import fresh
 from workforce_signals.plans.stored import Stored, store
 
 # Words that must nearly agree, and the share of them that may be replaced: one in so many.
@@ -116,19 +117,19 @@ def _marks(text: str) -> list[Column]:
     return [F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))]
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", keep_without_id: bool = True) -> DataFrame:
-    """The rows of ``docs`` without a passage of a benchmark item.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a passage of a benchmark item, with all their columns, whatever their names.
 
-    Every row is judged by its own text, whatever other rows have its id. With ``keep_without_id`` rows without an id stay, as
-    nothing names them; without it they are judged like all others.
+    Every row is judged by its own text, whatever its id is and whether it has one. Rows with a NULL or empty text stay, and so do
+    all rows where there are no items.
     """
     first, second = _marks("text")
-    narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
-    narrow = (narrow.where("_key IS NOT NULL") if keep_without_id else narrow).select("text", first.alias("_first"), second.alias("_second"))
+    narrow = docs.select(F.col(text).alias("text")).select("text", first.alias("_first"), second.alias("_second"))
     found = store(_passages(narrow, benchmark, ["_first", "_second"]).select("_first", "_second").distinct(), "bench-found")
-    first, second = _marks(text)
-    leaks = (first == F.col("_first")) & (second == F.col("_second"))
-    return docs.join(found.for_join(), leaks & F.col(key).isNotNull() if keep_without_id else leaks, "left_anti")
+    names = fresh(docs.columns, "_first", "_second")
+    marks = found.for_join().toDF(*names)
+    leaks = [mark == F.col(name) for mark, name in zip(_marks(text), names, strict=True)]
+    return docs.join(marks, leaks[0] & leaks[1], "left_anti")
 
 
 # The same rows by brute force: every equal pair of words, counted along shifts.

@@ -42,6 +42,17 @@ def _tidy(function: Callable[[Batches], Batches]) -> Callable[[Batches], Batches
     return run
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names like the given ones that no column has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema: str) -> DataFrame:
     """``df.mapInArrow`` with a function of this package."""
     importable(df.sparkSession)
