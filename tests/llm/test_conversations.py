@@ -5,9 +5,11 @@ import re
 import zlib
 
 import pytest
+from compare import difference, duck
 from fixtures_llm import SF, needs_tables
 
 from workforce_signals.llm import conversations as c
+from workforce_signals.llm.queries import op12_conversation_repair
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 COLUMNS = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
@@ -204,6 +206,7 @@ def test_long_conversations_are_dealt_out(spark, monkeypatch, segment):
 
 @needs_tables
 def test_whole_table(spark):
+    assert difference(op12_conversation_repair(spark, SF), duck(SF), c.oracle_sql()) == ""
     table = spark.read.parquet(f"{SF}/conversations.parquet")
     rows = [tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()]
     assert got(c.repair_damaged(table)) == expected(rows)

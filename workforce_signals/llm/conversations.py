@@ -439,3 +439,80 @@ def repair(rows: DataFrame) -> DataFrame:
 def repair_damaged(conversations: DataFrame) -> DataFrame:
     """``repair`` of the damaged rows of a conversation table; one row for every conversation of it, dropped rows or not."""
     return repair(damaged(conversations))
+
+
+def oracle_sql() -> str:
+    """The same rows in DuckDB: row by row, the least (cost, audit) of every state of the pattern, with the lines made so far."""
+    state = "STRUCT(cost BIGINT, audit VARCHAR, said VARCHAR[])"
+
+    def least(*options: str) -> str:
+        return f"list_sort(list_filter([{', '.join(options)}], lambda o: o IS NOT NULL))[1]"
+
+    def step(q: int, cost: str, edit: str, said: str = "", when: str = "true", of: str = "a.s") -> str:
+        lines = f"list_append({of}[{q + 1}].said, {said})" if said else f"{of}[{q + 1}].said"
+        put = f"{{'cost': {of}[{q + 1}].cost + {cost}, 'audit': {of}[{q + 1}].audit || '{edit}', 'said': {lines}}}"
+        return f"CASE WHEN {of}[{q + 1}] IS NOT NULL AND {when} THEN {put} END"
+
+    def inserted(q: int, role: str, of: str) -> str:
+        return step(q, "2", "I", f"'{role}:'", of=of)
+
+    def closed(states: str) -> str:
+        """States that insertions reach as well: user after 0, 1 and 3, assistant after user."""
+        user = least(f"{states}[3]", *(inserted(q, "user", states) for q in (0, 1, 3)))
+        both = f"[{states}[1], {states}[2], {user}, {states}[4]]"
+        return f"list_transform([{both}], lambda u: [u[1], u[2], u[3], {least('u[4]', inserted(2, 'assistant', 'u'))}])[1]"
+
+    free, extra = "x.fault NOT IN ('blank', 'duplicate')", "(x.fault = 'truncated')::BIGINT"
+    line, initial = "x.role || ':' || x.text", "x.role[1]"
+
+    def reached(to: int) -> str:
+        ways = [step(to, "3", "D")]
+        for begins, moves in _KEEP.items():
+            ways += [step(q, extra, "K", line, f"{free} AND {initial} = '{begins}'") for q, end in moves.items() if end == to]
+        ways += [step(q, f"2 + {extra}", "R", f"'{role}:' || x.text", free) for q, (end, role) in _MADE.items() if end == to]
+        return least(*ways)
+
+    nothing = f"NULL::{state}"
+    begin = f"[{{'cost': 0::BIGINT, 'audit': '', 'said': []::VARCHAR[]}}, {nothing}, {nothing}, {nothing}]"
+    after = f"list_transform([[{', '.join(reached(q) for q in STATES)}]], lambda r: {closed('r')})[1]"
+    return rf"""
+WITH bits AS (
+    SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+        lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda h: ord(h)::BIGINT)),
+        lambda c, h: xor(c >> 8, t[(xor(c, h) & 255) + 1]))) % 20 AS kind
+    FROM conversations, bits
+), rows AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM keyed
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM rows
+), judged AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+        WHEN regexp_extract(text, '([^ 	-])[ 	-]*\z', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] AS pair
+    FROM placed
+), folded AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+        list({{'role': role, 'text': text, 'fault': fault, 's': NULL::{state}[]}} ORDER BY n) AS rows
+    FROM judged GROUP BY conv_id
+), ends AS (
+    SELECT * EXCLUDE (rows), list_reduce(list_prepend(
+        {{'role': '', 'text': '', 'fault': '', 's': list_transform([{begin}], lambda r: {closed('r')})[1]}}, rows),
+        lambda a, x: {{'role': '', 'text': '', 'fault': '', 's': {after}}}).s AS s
+    FROM folded
+), best AS (
+    SELECT * EXCLUDE (s), list_sort(list_filter([s[1], s[4]], lambda o: o IS NOT NULL))[1] AS b FROM ends
+)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit,
+    sha256(coalesce(array_to_string(b.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM k.conv_id
+"""

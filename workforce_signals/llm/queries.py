@@ -110,5 +110,6 @@ def all_oracles() -> dict[str, str]:
         "op1_sharding": sharding.oracle_sql(),
         "op3_decontamination": decontamination.ORACLE_SQL,
         "op8_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op12_conversation_repair": conversations.oracle_sql(),
         "op13_hyperminhash": hyperminhash.ORACLE_SQL,
     }
