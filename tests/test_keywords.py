@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 import workforce_signals as ws
 from workforce_signals.functions import patterns
+from workforce_signals.operators import gram_search, keywords
 from workforce_signals.operators.spells import PROFILE_NAMES
+from workforce_signals.plans import stored
 
 SPELL = "id string, title_name string, description_raw string"
 
@@ -55,8 +57,22 @@ def test_no_keywords(spark):
     assert hits(spark, [("ai", "ai")], []) == [None]
 
 
-@pytest.mark.parametrize("path", ["pattern", "several patterns"])
-def test_all_paths_against_brute_force(spark, monkeypatch, path):
+@pytest.fixture
+def grams(monkeypatch):
+    """Every list counts as a long one."""
+    monkeypatch.setattr(keywords, "PATTERN_KEYWORDS", 0)
+
+
+@pytest.fixture
+def no_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(stored, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("path", ["pattern", "several patterns", "grams", "shuffled grams", "pieces"])
+def test_all_paths_against_brute_force(spark, monkeypatch, request, path):
     rng = random.Random(11)
     alphabet = "abé .c+"
     words = {"".join(rng.choices(alphabet, k=rng.randint(1, 5))).strip() for _ in range(60)} - {""}
@@ -66,6 +82,15 @@ def test_all_paths_against_brute_force(spark, monkeypatch, path):
     ]
     if path == "several patterns":
         monkeypatch.setattr(patterns, "PATTERN_KEYWORDS", 7)
+    if path in ("grams", "shuffled grams", "pieces"):
+        request.getfixturevalue("grams")
+        words |= {"".join(rng.choices(alphabet, k=rng.randint(9, 14))).strip() for _ in range(60)}
+        long = sorted(w for w in words if len(w) > 8)
+        values += [(rng.choice(long)[:5], "xyz" * rng.randint(0, 3) + rng.choice(long) + "x") for _ in range(100)]
+    if path == "shuffled grams":
+        request.getfixturevalue("no_broadcast")
+    if path == "pieces":
+        monkeypatch.setattr(gram_search, "PIECE", 7)
     expected = [earliest(f"{a} {b}", words) for a, b in values]
     assert hits(spark, values, words) == expected
     assert None not in hits(spark, [(w, "") for w in words], words)
@@ -83,6 +108,59 @@ def test_pattern_is_earliest_then_shortest(spark, words, texts):
     assert found == [earliest(t, words) for t in texts]
 
 
+def test_long_lists_by_every_way_to_use_them(spark, grams):
+    """Before the join, after it and for the measure; keywords across the space between title and text included."""
+    rng = random.Random(5)
+    words = ["deep learning", "learning to rank", "ai", "b c d", "deep learning to rank", "ünï 漢字漢字漢字", "x"]
+    parts = ["deep", "learning", "to rank", "b", "c d", "ünï", "漢字漢字漢字", "Deep", "", "  "]
+    values = [(" ".join(rng.choices(parts, k=rng.randint(0, 2))), " ".join(rng.choices(parts, k=rng.randint(0, 3)))) for _ in range(80)]
+    values += [(None, "ai"), ("ai", "x"), ("", ""), ("deep learning", "to rank"), ("a", "a" * 70_000 + "learning to rank")]
+    profiles = spark.createDataFrame([(i, "1", "F", a, "2000-01", None) for i, (a, _) in enumerate(values)], PROFILE)
+    texts = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(values)], "id bigint, description_raw string")
+    expected = [earliest(f"{a or ''} {b}".lower(), words) for a, b in values]
+    found = ws.merge_with_hits(profiles, texts, table(spark, words))
+    assert found.columns == [*ws.merge_profiles(profiles, texts).columns, "first_hit_skill"]
+    assert [r["first_hit_skill"] for r in found.orderBy("id").collect()] == expected
+    after = ws.first_keyword_hit(ws.merge_profiles(profiles, texts), words, "title_raw")
+    assert [r["first_hit_skill"] for r in after.orderBy("id").collect()] == expected
+    measure = ws.resume_measure(profiles, texts, table(spark, words), as_of=2000).collect()
+    assert [(r["employees"], r["ai_employees"]) for r in measure] == [(len(values), sum(e is not None for e in expected))]
+    both = profiles.join(texts, "id").select("*", *(F.lit(None).cast("string").alias(c) for c in ("is_current",)))
+    alone = ws.resume_measure(both, None, table(spark, words), as_of=2000).collect()
+    assert [(r["employees"], r["ai_employees"]) for r in alone] == [(len(values), sum(e is not None for e in expected))]
+
+
+def test_long_lists_that_hold_nothing(spark, grams):
+    index = gram_search.gram_index(table(spark, ["", None]))
+    df = spark.createDataFrame([("1", "a", "b")], SPELL)
+    assert rows(gram_search.with_first_hit(df, F.col("title_name"), index, "hit")) == [("1", "a", "b", None)]
+    assert hits(spark, [("ab", "c"), (None, None)], ["ab c"]) == ["ab c", None]
+
+
+def test_a_keyword_is_found_by_the_run_that_fewest_share(spark):
+    words = [f"machine learning {i}" for i in range(300)] + ["machine learning"]
+    index = gram_search.gram_index(table(spark, words))
+    most = index.table.df.groupBy("gram").count().agg(F.max("count")).first()[0]
+    assert index.table.rows == 301 and most <= 30  # a run of the first eight letters would be shared by all
+
+
+def test_a_frequent_run_is_split_and_no_text_crosses_the_network(spark, grams, no_broadcast):
+    """A third of the texts hold the same run; only windows around possible keywords meet the index."""
+    values = [(str(i), "boss", ("x" * 40 + "machine learning" if i % 3 == 0 else f"t{i}") + "y" * 500) for i in range(3000)]
+    df = spark.createDataFrame(values, SPELL).repartition(8)
+    index = keywords.literal_keywords(table(spark, ["machine learning", "boss x"]))
+    for name, value in (("skewedPartitionThresholdInBytes", "1k"), ("skewedPartitionFactor", "1.1")):
+        spark.conf.set(f"spark.sql.adaptive.skewJoin.{name}", value)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    try:
+        found = gram_search.first_hits(df, F.col("description_raw"), index)
+        assert [r["hit"] for r in found.collect()] == ["machine learning"] * 1  # one distinct text
+        assert "skew=true" in plan(found) or "isSkewJoin=true" in plan(found)
+    finally:
+        for name in ("skewJoin.skewedPartitionThresholdInBytes", "skewJoin.skewedPartitionFactor", "advisoryPartitionSizeInBytes"):
+            spark.conf.unset(f"spark.sql.adaptive.{name}")
+
+
 @settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(st.one_of(st.none(), st.text(st.sampled_from("aAbB \u3000"), max_size=5)), max_size=8),
@@ -94,12 +172,12 @@ def test_one_meaning_of_keywords(spark, words, values):
     expected = [earliest(f"{a} {b}".lower(), normal) for a, b in values]
     profiles = spark.createDataFrame([(i, "1", "F", a, "2000-01", None) for i, (a, _) in enumerate(values)], PROFILE)
     texts = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(values)], "id bigint, description_raw string")
-    for keywords in (words, table(spark, words)):
-        found = ws.merge_with_hits(profiles, texts, keywords).orderBy("id").collect()
+    for given_words in (words, table(spark, words)):
+        found = ws.merge_with_hits(profiles, texts, given_words).orderBy("id").collect()
         assert [r["first_hit_skill"] for r in found] == expected
-        found = ws.first_keyword_hit(ws.merge_profiles(profiles, texts), keywords, "title_raw").orderBy("id").collect()
+        found = ws.first_keyword_hit(ws.merge_profiles(profiles, texts), given_words, "title_raw").orderBy("id").collect()
         assert [r["first_hit_skill"] for r in found] == expected
-        measure = ws.resume_measure(profiles, texts, keywords, as_of=2000).collect()
+        measure = ws.resume_measure(profiles, texts, given_words, as_of=2000).collect()
         assert [(r["employees"], r["ai_employees"]) for r in measure] == [(len(values), sum(e is not None for e in expected))]
 
 
@@ -155,8 +233,7 @@ def test_a_long_list_with_short_keywords_makes_no_pairs(spark):
     df = spark.createDataFrame([("1", "clerk", "a lot of text"), ("2", "boss", "x qq0159 y"), ("3", "mmm", "")], SPELL)
     found = ws.first_keyword_hit(df, table(spark, words))
     assert [r["first_hit_skill"] for r in found.orderBy("id").collect()] == ["c", "qq01", None]
-    for pairs in ("Join", "Generate", "Exchange"):
-        assert pairs not in plan(found)
+    assert "CartesianProduct" not in plan(found) and "NestedLoop" not in plan(found)
 
 
 def test_older_sample_end_to_end(spark):

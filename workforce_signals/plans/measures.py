@@ -16,11 +16,12 @@ from workforce_signals.operators.keywords import (
     ending,
     first_keyword_hit,
     flag_keyword,
-    joint_hit,
     literal_keywords,
     opening,
     search_descriptions,
+    with_joint_hit,
 )
+from workforce_signals.operators.gram_search import GramIndex
 from workforce_signals.operators.linking import link_by_id, link_by_name
 from workforce_signals.operators.skills import repeated_ids, skill_scores, skill_year_counts
 from workforce_signals.operators.spells import (
@@ -80,7 +81,7 @@ def merge_with_hits(
     words = literal_keywords(keywords)
     found = ("text_hit", "text_opening")
     merged = merge_profiles(profiles, search_descriptions(descriptions, words), keep=found)
-    return merged.withColumn("first_hit_skill", joint_hit(F.col("title_raw"), words)).drop(*found)
+    return with_joint_hit(merged, F.col("title_raw"), words).drop(*found)
 
 
 def flag_years(
@@ -137,7 +138,7 @@ def resume_measure(
 def _flagged_spells(
     profiles: DataFrame,
     descriptions: DataFrame,
-    words: Sequence[str],
+    words: Sequence[str] | GramIndex,
     with_current: bool = False,
     names: dict[str, str] = PROFILE_NAMES,
 ) -> DataFrame:
@@ -147,8 +148,19 @@ def _flagged_spells(
     text. For keywords across the space between them, a title keeps the first part of a cut
     keyword if it ends with one, and a description the second part if it begins with one. A
     row enters the shuffle as an id, a flag and, rarely, such a part; flags of one id are
-    combined before it.
+    combined before it. With a list too long for a pattern, a row keeps as much of the description's
+    beginning as a keyword can cover.
     """
+    bare = usable_profiles(profiles.withColumn(names["description"], F.lit(None).cast("string")), names)
+    spells = parse_spells(bare, with_current, names=names).where(F.col("job_start_ym").isNotNull())
+    kept = ["id", "company_name_raw", "job_start_ym", "job_end_ym", *(["is_current"] if with_current else [])]
+    id_kind = descriptions.schema["id"].dataType.typeName()
+    if isinstance(words, GramIndex):
+        texts = search_descriptions(descriptions.where(F.col("description_raw").isNotNull()), words)
+        texts = texts.select(id_text(F.col("id"), id_kind).alias("id"), "text_opening", "text_hit")
+        texts = texts.groupBy("id", "text_opening").agg(F.max("text_hit").alias("text_hit"))
+        joined = with_joint_hit(spells.select(*kept, "title_name").join(texts, "id"), F.col("title_name"), words)
+        return joined.select(*kept, F.when(F.col("first_hit_skill").isNotNull(), 1).otherwise(0).alias("ai_related"))
     patterns, cut = keyword_patterns(words), cuts(words)
 
     def found(text: Column) -> Column:
@@ -157,7 +169,6 @@ def _flagged_spells(
             result = result | text.rlike(pattern)
         return result
 
-    id_kind = descriptions.schema["id"].dataType.typeName()
     text = lower_text(F.col("description_raw"))
     texts = (
         descriptions.where(F.col("description_raw").isNotNull())
@@ -170,10 +181,7 @@ def _flagged_spells(
         .agg(F.max("in_text").alias("in_text"))
     )
     title = lower_text(F.coalesce(F.col("title_name"), F.lit("")))
-    bare = usable_profiles(profiles.withColumn(names["description"], F.lit(None).cast("string")), names)
-    spells = parse_spells(bare, with_current, names=names)
-    kept = ["id", "company_name_raw", "job_start_ym", "job_end_ym", *(["is_current"] if with_current else [])]
-    spells = spells.where(F.col("job_start_ym").isNotNull()).select(
+    spells = spells.select(
         *kept,
         found(title).alias("in_title"),
         ending(title, (head for head, _ in cut)).alias("ending"),
