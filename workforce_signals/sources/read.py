@@ -26,6 +26,7 @@ from pyspark.sql.types import (
 
 from workforce_signals.functions.text import double_text, nan_to_null, whole_number
 from workforce_signals.sources import schemas
+from workforce_signals.sources.workbook import read_workbook, workbook_parts
 
 # Quotes are doubled inside quoted values, and quoted values may hold line breaks.
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
@@ -219,13 +220,14 @@ def read_united(
 
 
 def _locate(spark: SparkSession, path: str) -> tuple[str, str]:
-    for suffix, fmt in ((".parquet", "parquet"), (".csv", "csv")):
+    known = ((".parquet", "parquet"), (".csv", "csv"), (".xlsx", "workbook"))
+    for suffix, fmt in known:
         if path.endswith(suffix):
             return path, fmt
-    for suffix, fmt in ((".parquet", "parquet"), (".csv", "csv"), ("", "parquet")):
+    for suffix, fmt in (*known, ("", "parquet")):
         if list_files(spark, path + suffix):
             return path + suffix, fmt
-    raise FileNotFoundError(f"neither {path}.parquet nor {path}.csv exists")
+    raise FileNotFoundError(f"neither {path}.parquet nor {path}.csv nor {path}.xlsx exists")
 
 
 def read_table(
@@ -236,7 +238,7 @@ def read_table(
     *,
     multi_line: bool = True,
 ) -> DataFrame:
-    """A Parquet or CSV table. ``auto`` prefers ``path.parquet`` over ``path.csv``.
+    """A Parquet or CSV table or a workbook. ``auto`` prefers ``path.parquet`` over ``path.csv`` over ``path.xlsx``.
 
     CSV types are taken from ``schema``, or inferred by a second pass when there is none. Columns go
     by name either way; those a file lacks are NULL.
@@ -244,6 +246,9 @@ def read_table(
     """
     if fmt == "auto":
         path, fmt = _locate(spark, path)
+    if fmt == "workbook":
+        table = read_workbook(spark, path)
+        return table if schema is None else conform(table, schema)
     if schema is not None:
         require_input(spark, path)
         return read_united(spark, path, schema, fmt, multi_line=multi_line)
@@ -304,13 +309,19 @@ def read_profiles_csv(spark: SparkSession, path: str, *, multi_line: bool = True
     return _united(csv_parts(spark, path, multi_line=multi_line))
 
 
-def read_link(spark: SparkSession, path: str, *, index_col: int | None = None, multi_line: bool = True) -> DataFrame:
-    """The firm identifier table, CSV or Parquet, with ``ID``, ``NAME``, ``GVKEY`` and what else it has.
+def read_link(
+    spark: SparkSession, path: str, *, index_col: int | None = None, multi_line: bool = True, sheet: str | int = 0
+) -> DataFrame:
+    """The firm identifier table, CSV, Parquet or workbooks, with ``ID``, ``NAME``, ``GVKEY`` and what else it has.
 
-    ``index_col`` is the position of a column of row numbers, which is left out whatever its name is.
+    ``index_col`` is the position of a column of row numbers, which is left out whatever its name is. ``sheet`` names the sheet
+    of a workbook, or its place.
     """
     path, fmt = _locate(spark, path)
-    parts = csv_parts(spark, path, multi_line=multi_line) if fmt == "csv" else [spark.read.parquet(path)]
+    if fmt == "workbook":
+        parts = workbook_parts(spark, path, sheet)
+    else:
+        parts = csv_parts(spark, path, multi_line=multi_line) if fmt == "csv" else [spark.read.parquet(path)]
     if index_col is not None:
         parts = [p.select(*(f"`{c}`" for i, c in enumerate(p.columns) if i != index_col)) for p in parts]
     table = _united(parts)
