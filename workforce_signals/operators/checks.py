@@ -21,6 +21,14 @@ def file_row_counts(df: DataFrame, total_label: str, *, file_col: str = "filenam
     return counts.select(name.alias("filename"), "nrows").orderBy(F.col("filename").asc_nulls_last())
 
 
+def file_count_totals(counts: DataFrame, total_label: str, *, file_col: str = "filename") -> DataFrame:
+    """``file_row_counts`` from counts (``file_col``, ``nrows``) that were taken before, such as those of an audited ingest."""
+    is_total = F.grouping(file_col).alias("is_total")
+    sums = counts.rollup(file_col).agg(F.coalesce(F.sum("nrows"), F.lit(0)).alias("nrows"), is_total)
+    name = F.when(F.col("is_total") == 1, F.lit(total_label)).otherwise(F.col(file_col))
+    return sums.select(name.alias("filename"), "nrows").orderBy(F.col("filename").asc_nulls_last())
+
+
 def reconcile_counts(before: DataFrame, after: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Row counts of two tables side by side with their difference, overall or per ``by``."""
     sides = [

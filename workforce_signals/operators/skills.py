@@ -86,10 +86,18 @@ def repeated_ids(postings: DataFrame, *, id_col: str = ID) -> Stored:
     Job ids are nearly always unique, and where they are a job can be counted and scored
     inside its own row. This check reads the id column only; what it finds tells the
     skill and job operators which rows need to be brought together at all.
+
+    Ids are counted by a hash of eight bytes first, so an id that occurs once does not cross the
+    network itself, unless another one has its hash. Ids whose hash repeats are then counted as they are.
     """
     jobs = with_job_id(postings, id_col)
     key = job_key(jobs)
-    counts = jobs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    jobs = jobs.select(*key, F.xxhash64(*key).alias("id_hash"))
+    hashes = jobs.groupBy("id_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("id_hash")
+    marked = store(hashes, "repeated_hashes")
+    if marked.is_empty:
+        return store(jobs.select(*key).limit(0), "repeated_ids")
+    counts = jobs.join(marked.for_join(), "id_hash", "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     return store(counts.where(F.col("n") > 1).select(*key), "repeated_ids")
 
 
@@ -155,6 +163,11 @@ def skill_scores(
         F.sum(F.col("cnt").cast("bigint")).alias("total_cnt"),
         F.sum(F.col("co_jobs_with_ai").cast("bigint")).alias("total_co"),
     )
+    return scored(pooled, min_jobs)
+
+
+def scored(pooled: DataFrame, min_jobs: int = 50) -> DataFrame:
+    """Pooled counts (skill, total_cnt, total_co) of skills that are frequent enough, with their ratio as ``ai_score``."""
     if min_jobs > 0:
         pooled = pooled.where(F.col("total_cnt") >= min_jobs)
     ratio = F.col("total_co").cast("double") / F.col("total_cnt").cast("double")
