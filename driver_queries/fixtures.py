@@ -1,16 +1,22 @@
 """Posting, profile, description and link tables as views over the driver's tables.
 
 The view text is portable SQL: Spark builds the inputs of the queries from it, and the
-reference SQL starts with it.
+reference SQL starts with it. Only lists in order are written differently, see ``DUCK_VIEWS``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import zipfile
+from collections.abc import Callable, Iterable
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from workforce_signals.plans.stored import new_path
+from workforce_signals.plans.workers import importable
 from workforce_signals.sources.read import glob_paths
 from workforce_signals.sources.write import write_table, write_year
 
@@ -27,15 +33,16 @@ SELECT o.o_orderkey AS id, year(o.o_orderdate) AS year,
        ELSE t.toks || CASE WHEN o.o_orderkey % 89 = 0 THEN '||' ELSE '' END
                    || CASE WHEN o.o_orderkey % 101 = 0 THEN '|  ' ELSE '' END END AS skills_name
 FROM orders o LEFT JOIN (
-  SELECT l.l_orderkey, string_agg(
+  SELECT k.l_orderkey, listagg(k.tok, '|') WITHIN GROUP (ORDER BY k.place) AS toks
+  FROM (SELECT j.*, cast(j.l_linenumber AS string) || j.tok AS place FROM (SELECT l.l_orderkey, l.l_linenumber,
     CASE WHEN q.o_orderpriority = '1-URGENT' AND l.l_linenumber = 1 THEN 'Machine Learning'
          WHEN q.o_orderpriority = '1-URGENT' AND l.l_linenumber = 2 THEN ' NLP '
          WHEN l.l_linenumber = 7 THEN p.p_name || ' ' || p.p_brand
          WHEN l.l_linenumber = 3 THEN '  ' || upper(split_part(p.p_name, ' ', 2)) || ' '
          WHEN l.l_linenumber % 2 = 1 THEN split_part(p.p_name, ' ', 2) || ' ' || q.o_orderpriority
-         ELSE split_part(p.p_name, ' ', 2) END, '|') AS toks
-  FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN orders q ON q.o_orderkey = l.l_orderkey
-  GROUP BY l.l_orderkey) t ON t.l_orderkey = o.o_orderkey
+         ELSE split_part(p.p_name, ' ', 2) END AS tok
+  FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN orders q ON q.o_orderkey = l.l_orderkey) j) k
+  GROUP BY k.l_orderkey) t ON t.l_orderkey = o.o_orderkey
 """
 
 FX_PROFILE = """
@@ -66,11 +73,11 @@ FROM customer
 UNION ALL SELECT cast(NULL AS double), cast(NULL AS string), '999999'
 """
 
-# The older sample's layout, all text, with the descriptions of jobs that are still held.
+# The older sample's layout, all text.
 FX_SAMPLE = """
 SELECT cast(p.id AS string) AS ID, p.title_raw AS TITLE_NAME, p.company_name AS COMPANY_NAME_RAW, p.is_current AS IS_CURRENT,
   p.most_recent_company_start_month AS JOB_START_YM, p.most_recent_company_end_month AS JOB_END_YM,
-  CASE WHEN p.is_current = '1' THEN d.description_raw END AS DESCRIPTION_RAW
+  d.description_raw AS DESCRIPTION_RAW
 FROM fx_profile p LEFT JOIN fx_description d ON d.id = p.id
 """
 
@@ -82,6 +89,79 @@ VIEWS = {
     "fx_sample": FX_SAMPLE,
 }
 
+ROWS_PER_WORKBOOK = 50_000
+
+# The least parts of a workbook of one sheet.
+_BOOK = {
+    "[Content_Types].xml": """<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">
+<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>
+<Default Extension="xml" ContentType="application/xml"/>
+<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>
+<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>
+<Override PartName="/xl/sharedStrings.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sharedStrings+xml"/></Types>""",
+    "_rels/.rels": """<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">
+<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>""",
+    "xl/workbook.xml": """<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>""",
+    "xl/_rels/workbook.xml.rels": """<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">
+<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/>
+<Relationship Id="rId2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/sharedStrings" Target="sharedStrings.xml"/></Relationships>""",
+}
+
+
+def _workbook(rows: Iterable[tuple]) -> bytes:
+    """A workbook whose sheet has these rows, numbers as numbers and texts as shared strings, row numbers in front."""
+    strings: dict[str, int] = {}
+
+    def cell(value) -> str:
+        if value is None:
+            return "<c/>"
+        if isinstance(value, str):
+            return f'<c t="s"><v>{strings.setdefault(value, len(strings))}</v></c>'
+        return f"<c><v>{value!r}</v></c>"
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    lines = [f"<row>{''.join(map(cell, (None if i == 0 else i - 1, *row)))}</row>" for i, row in enumerate(rows)]
+    texts = "".join(f'<si><t xml:space="preserve">{escape(s)}</t></si>' for s in strings)
+    parts = _BOOK | {
+        "xl/worksheets/sheet1.xml": f"<worksheet {space}><sheetData>{''.join(lines)}</sheetData></worksheet>",
+        "xl/sharedStrings.xml": f"<sst {space}>{texts}</sst>",
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, text in parts.items():
+            archive.writestr(name, text)
+    return out.getvalue()
+
+
+def _write_workbooks(df: DataFrame, path: str) -> None:
+    """The table as workbooks of a bounded number of rows, as spreadsheets are given."""
+    spark = df.sparkSession
+    importable(spark)
+    names = tuple(df.columns)
+
+    def packed(batches):
+        rows = [row for batch in batches for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None)]
+        yield pd.DataFrame({"content": [_workbook([names, *rows])] if rows else []}, dtype=object)
+
+    files = df.repartition(1 + df.count() // ROWS_PER_WORKBOOK, F.xxhash64(*names)).mapInPandas(packed, "content binary")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, row in enumerate(files.toLocalIterator()):
+        stream = system.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{i}.xlsx"))
+        stream.write(row["content"])
+        stream.close()
+
+
+def link_workbooks(spark: SparkSession, sf_dir: str) -> str:
+    """The link table as a folder of workbooks."""
+    return built(spark, sf_dir, "link-workbooks", lambda path: _write_workbooks(link(spark, sf_dir), path))
+
+
+# An ordered list is spelled otherwise in DuckDB.
+_IN_ORDER = "listagg(k.tok, '|') WITHIN GROUP (ORDER BY k.place)", "string_agg(k.tok, '|' ORDER BY k.place)"
+DUCK_VIEWS = {name: text.replace(*_IN_ORDER) for name, text in VIEWS.items()}
+
 _built: dict[tuple[str, str, str], str] = {}
 
 

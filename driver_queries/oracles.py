@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from driver_queries.fixtures import AS_OF, END_YEAR, FIRST_YEAR, VIEWS
+from driver_queries.fixtures import AS_OF, DUCK_VIEWS, END_YEAR, FIRST_YEAR, VIEWS
 from driver_queries.queries import LOOKUP_ID, REFRESHED_YEAR, SCORE_YEARS, TOP_K
 
+# The core technology terms a posting is matched against.
 _CORE = (
     "('ai', 'artificial intelligence', 'ml', 'machine learning', 'nlp', "
     "'natural language processing', 'cv', 'computer vision')"
@@ -37,8 +38,6 @@ _ROUNDED = "SELECT * REPLACE (round(job_ai_score, 9) AS job_ai_score) FROM ({job
 
 _MONTH = "cast(try_strptime(nullif(trim({0}), '') || '-01', '%Y-%m-%d') AS DATE)"
 
-_SORTED = "array_to_string(list_sort(string_split({0}, '|')), '|') AS skills_name"
-
 
 def _position(order: str) -> str:
     keys = ", ".join(f"{key.strip()} NULLS LAST" for key in order.split(","))
@@ -46,7 +45,7 @@ def _position(order: str) -> str:
 
 
 CTES = {
-    **VIEWS,
+    **DUCK_VIEWS,
     "exploded": """
 SELECT p.year, cast(p.id AS VARCHAR) AS job_id, p.company, p.company_name, lower(trim(u.x)) AS skill
 FROM fx_postings p, unnest(string_split(p.skills_name, '|')) AS u(x)
@@ -222,7 +221,7 @@ FROM share s JOIN fx_link l ON try_cast(s.company AS DOUBLE) = l.ID)""",
 SELECT m.*, l.* FROM measure m JOIN fx_link l ON l.NAME = m.company_name
 WHERE m.year >= {FIRST_YEAR} AND m.year < {END_YEAR}""",
     "q_src_union_by_name": f"""
-SELECT id, company, CASE WHEN id % 2 = 0 THEN company_name END AS company_name, {_SORTED.format("skills_name")}, {_YEAR}
+SELECT id, company, CASE WHEN id % 2 = 0 THEN company_name END AS company_name, skills_name, {_YEAR}
 FROM fx_postings""",
     "q_src_skill_years": f"SELECT * REPLACE ({_YEAR}) FROM skill_years",
     "q_src_csv_roundtrip": "SELECT * REPLACE (nullif(skill, '') AS skill) FROM scores",
@@ -245,7 +244,7 @@ FROM fx_sample""",
 SELECT id, 'last_updated_date ' || id AS last_updated_date, 'duplicates ' || id AS duplicates,
   'posted ' || id AS posted, 'expired ' || id AS expired, company, company_name, 'title_name ' || id AS title_name,
   'title_clean ' || id AS title_clean, 'specialized_skills_name ' || id AS specialized_skills_name,
-  {_SORTED.format("nullif(skills_name, '')")}, {_YEAR}, 'month=' || lpad(cast(id % 12 + 1 AS VARCHAR), 2, '0') AS month
+  nullif(skills_name, '') AS skills_name, {_YEAR}, 'month=' || lpad(cast(id % 12 + 1 AS VARCHAR), 2, '0') AS month
 FROM fx_postings""",
     "q_file_rowcount_rollup": """
 SELECT coalesce(filename, 'Total') AS filename, count(*) AS nrows
@@ -259,6 +258,16 @@ FROM fx_postings GROUP BY year""",
     "q_write_year": f"""
 SELECT * REPLACE ({_YEAR}) FROM skill_years WHERE NOT (year = {REFRESHED_YEAR} AND skill IN {_CORE})""",
 }
+_SELECTS["q_point_lookup_clustered"] = _SELECTS["q_point_lookup"]
+_SELECTS["q_merge_bucketed"] = _SELECTS["q_merge_profiles"]
+_SELECTS["q_pooled_years"] = _SELECTS["q_write_year"]
+_SELECTS["q_pooled_refresh"] = _SCORES.format(
+    where=f"WHERE NOT (year = {REFRESHED_YEAR} AND skill IN {_CORE})", having="HAVING sum(cnt) >= 50"
+)
+_SELECTS["q_file_rowcount_scan"] = _SELECTS["q_file_rowcount_rollup"]
+_SELECTS["q_reconcile_scan"] = _SELECTS["q_reconcile"]
+_SELECTS["q_link_workbook"] = _SELECTS["q_link_by_id"]
+_SELECTS["q_read_workbook"] = "SELECT * FROM fx_link"
 _SELECTS["q_posting_measure"] = _SELECTS["q_link_by_id"]
 _SELECTS["q_resume_measure"] = _SELECTS["q_link_by_name"]
 

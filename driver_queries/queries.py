@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ LOOKUP_ID = 7
 TOP_K = 25
 SCORE_YEARS = (1993, 1996)
 REFRESHED_YEAR = 1995
+BUCKETS, FREQUENT_ROWS = 8, 12
 
 
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,6 +141,16 @@ def q_link_by_id(spark: SparkSession, sf: str) -> DataFrame:
     return ws.link_by_id(ws.company_share(_job_scores(spark, sf)), fx.link(spark, sf))
 
 
+def q_link_workbook(spark: SparkSession, sf: str) -> DataFrame:
+    """The link table comes as workbooks with row numbers in front."""
+    link = ws.read_link(spark, fx.link_workbooks(spark, sf) + "/*.xlsx", index_col=0)
+    return ws.link_by_id(ws.company_share(_job_scores(spark, sf)), link)
+
+
+def q_read_workbook(spark: SparkSession, sf: str) -> DataFrame:
+    return ws.read_link(spark, fx.link_workbooks(spark, sf) + "/*.xlsx", index_col=0)
+
+
 def _unlinkable(spark: SparkSession, sf: str) -> DataFrame:
     """Firm shares in which some firm ids are no numbers."""
     share = ws.company_share(_job_scores(spark, sf))
@@ -273,11 +285,6 @@ def _years(df: DataFrame) -> list[int]:
     return sorted(r["year"] for r in df.select("year").distinct().collect())
 
 
-def _sorted_skills(df: DataFrame) -> DataFrame:
-    """Skill lists with their pieces in order: the order in a list carries no meaning and differs between engines."""
-    return df.withColumn("skills_name", F.array_join(F.array_sort(F.split("skills_name", r"\|")), "|"))
-
-
 def _year_folders(postings: DataFrame, root: str) -> None:
     """Year folders whose files disagree: ids as integers and as doubles, firm name missing in some."""
 
@@ -293,7 +300,7 @@ def _year_folders(postings: DataFrame, root: str) -> None:
 def q_src_union_by_name(spark: SparkSession, sf: str) -> DataFrame:
     postings = _postings(spark, sf)
     root = fx.built(spark, sf, "jobs_by_year", lambda path: _year_folders(postings, path))
-    return _sorted_skills(ws.read_postings(spark, root))
+    return ws.read_postings(spark, root)
 
 
 def q_src_skill_years(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,7 +363,10 @@ def q_csv_to_parquet(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _write_extracts(postings: DataFrame, path: str) -> None:
-    """Raw extracts: one folder per year and month of gzip CSV files with more columns than are kept."""
+    """Raw extracts: one folder per year and month of gzip CSV files with more columns than are kept.
+
+    Odd years have their columns the other way round and one more, so that headers differ.
+    """
     raw = postings.select(
         F.lit("full text, of no use here").alias("body"),
         *(
@@ -369,6 +379,8 @@ def _write_extracts(postings: DataFrame, path: str) -> None:
 
     def write(year: int) -> None:
         rows = raw.where(F.col("year") == year).drop("year").repartition("month")
+        if year % 2:
+            rows = rows.select(F.lit("more").alias("more"), *reversed(rows.columns))
         (
             rows.write.partitionBy("month")
             .options(header=True, quote='"', escape='"', compression="gzip")
@@ -384,26 +396,39 @@ def _extracts(spark: SparkSession, sf: str) -> str:
     return fx.built(spark, sf, "extracts", lambda path: _write_extracts(ws.read_postings(spark, postings), path))
 
 
-def _ingested(spark: SparkSession, sf: str) -> DataFrame:
+def _audited(spark: SparkSession, sf: str):
+    return ws.ingest_audited(spark, _extracts(spark, sf), new_path(spark, "audited"), same_headers=True)
+
+
+def q_ingest_prune(spark: SparkSession, sf: str) -> DataFrame:
     dst = new_path(spark, "trimmed")
     ws.ingest_postings(spark, _extracts(spark, sf), dst, same_headers=True)
     return spark.read.parquet(dst)
 
 
-def q_ingest_prune(spark: SparkSession, sf: str) -> DataFrame:
-    return _sorted_skills(_ingested(spark, sf))
+def q_file_rowcount_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of every extract from the counts of an audited ingest. A month's files are added up: their names differ in each run."""
+    counts = _audited(spark, sf).file_rows
+    folder = F.concat_ws("/", "year", "month")
+    return ws.file_count_totals(counts.select(folder.alias("filename"), "nrows"), "Total")
 
 
-def q_file_rowcount_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    files = csv_parts(spark, f"{_extracts(spark, sf)}/*/*/*.csv.gz")
-    rows = ws.with_source_file(files[0].select("id"))
+def q_file_rowcount_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by reading the extracts, those of every header."""
+    parts = [ws.with_source_file(part.select("id")) for part in csv_parts(spark, f"{_extracts(spark, sf)}/*/*/*.csv.gz")]
+    rows = reduce(DataFrame.unionByName, parts)
     folder = F.regexp_extract("filename", r"/([0-9]{4}/month=[0-9]{2})/[^/]+$", 1)
     return ws.file_row_counts(rows.select(folder.alias("filename")), "Total")
 
 
 def q_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    return _audited(spark, sf).reconcile()
+
+
+def q_reconcile_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from two tables."""
     before = ws.read_raw_postings(spark, _extracts(spark, sf))
-    return ws.reconcile_counts(before, _ingested(spark, sf), by=("year",))
+    return ws.reconcile_counts(before, q_ingest_prune(spark, sf), by=("year",))
 
 
 def q_rowcount(spark: SparkSession, sf: str) -> DataFrame:
@@ -416,6 +441,37 @@ def q_point_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return ws.lookup(fx.profiles(spark, sf), LOOKUP_ID)
 
 
+def q_point_lookup_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from files that the lookup can skip."""
+    path = new_path(spark, "clustered")
+    ws.write_clustered(fx.profiles(spark, sf), path, "id")
+    return ws.lookup(spark.read.parquet(path), LOOKUP_ID)
+
+
+def q_merge_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sides stored in buckets; ids of more than FREQUENT_ROWS rows go apart."""
+    pair = ws.bucket_pair(fx.profiles(spark, sf), fx.descriptions(spark, sf), BUCKETS, frequent_rows=FREQUENT_ROWS)
+    return ws.merge_bucketed(*pair)
+
+
+def q_pooled_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all years after one year was replaced, from pooled counts kept by differences."""
+    root, postings = new_path(spark, "pooled"), _postings(spark, sf)
+    ws.replace_years(spark, root, ws.skill_year_counts(postings))
+    one = postings.where(F.col("year") == REFRESHED_YEAR)
+    ws.replace_years(spark, root, ws.skill_year_counts(one, drop_core=True), [REFRESHED_YEAR])
+    return ws.pooled_scores(spark, root)
+
+
+def q_pooled_years(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts that are in force after one year was replaced."""
+    root, postings = new_path(spark, "pooled"), _postings(spark, sf)
+    ws.replace_years(spark, root, ws.skill_year_counts(postings))
+    one = postings.where(F.col("year") == REFRESHED_YEAR)
+    ws.replace_years(spark, root, ws.skill_year_counts(one, drop_core=True), [REFRESHED_YEAR])
+    return ws.pooled_years(spark, root)
+
+
 def q_write_year(spark: SparkSession, sf: str) -> DataFrame:
     """Write all years, then replace a single one."""
     path, postings = new_path(spark, "skill_years"), _postings(spark, sf)
