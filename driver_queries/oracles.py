@@ -264,6 +264,9 @@ _SELECTS["q_pooled_years"] = _SELECTS["q_write_year"]
 _SELECTS["q_pooled_refresh"] = _SCORES.format(
     where=f"WHERE NOT (year = {REFRESHED_YEAR} AND skill IN {_CORE})", having="HAVING sum(cnt) >= 50"
 )
+_SELECTS["q_ingest_members"] = _SELECTS["q_ingest_prune"].replace(
+    "'month=' || lpad(cast(id % 12 + 1 AS VARCHAR), 2, '0') AS month", "'all' AS month"
+)
 _SELECTS["q_file_rowcount_scan"] = _SELECTS["q_file_rowcount_rollup"]
 _SELECTS["q_reconcile_scan"] = _SELECTS["q_reconcile"]
 _SELECTS["q_link_workbook"] = _SELECTS["q_link_by_id"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -24,6 +25,7 @@ TOP_K = 25
 SCORE_YEARS = (1993, 1996)
 REFRESHED_YEAR = 1995
 BUCKETS, FREQUENT_ROWS = 8, 12
+MEMBERS, RANGE_BYTES = 6, 1 << 14
 
 
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
@@ -406,6 +408,38 @@ def q_ingest_prune(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(dst)
 
 
+def _write_chained_extracts(spark: SparkSession, postings: DataFrame, path: str) -> None:
+    """Raw extracts of one gzip file a year that is a chain of members, as concatenated extracts are."""
+    names = schemas.RAW_POSTING.names
+    raw = postings.select(*(F.col(c).cast("string") if c in postings.columns else F.concat(F.lit(c + " "), F.col("id")).alias(c) for c in names), "year")
+    hadoop, settings = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    options = {"quote": '"', "escape": '"', "compression": "gzip", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+    def write(year: int) -> None:
+        parts = f"{path}/parts/{year}"
+        raw.where(F.col("year") == year).drop("year").repartition(MEMBERS).write.options(**options).csv(parts)
+        target = hadoop.fs.Path(f"{path}/{year}/all/{year}.csv.gz")
+        system = target.getFileSystem(settings)
+        out = system.create(target)
+        out.write(gzip.compress((",".join(names) + "\n").encode()))
+        for part in ws.list_files(spark, f"{parts}/*.csv.gz"):
+            stream = system.open(hadoop.fs.Path(part))
+            hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+            stream.close()
+        out.close()
+
+    _side_by_side([lambda y=y: write(y) for y in _years(postings)])
+
+
+def q_ingest_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Extracts that are chains of gzip members, each read by several tasks."""
+    postings = fx.postings_path(spark, sf)
+    root = fx.built(spark, sf, "chained", lambda path: _write_chained_extracts(spark, ws.read_postings(spark, postings), path))
+    dst = new_path(spark, "trimmed")
+    ws.ingest_postings(spark, root, dst, split_members=RANGE_BYTES)
+    return spark.read.parquet(dst)
+
+
 def q_file_rowcount_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of every extract from the counts of an audited ingest. A month's files are added up: their names differ in each run."""
     counts = _audited(spark, sf).file_rows

@@ -1,0 +1,125 @@
+import csv
+import gzip
+import io
+import random
+
+import pytest
+from conftest import rows
+
+import workforce_signals as ws
+from workforce_signals.sources import members, peek, read, schemas
+from workforce_signals.sources.ingest import ingest_postings, read_raw_postings
+
+NAMES = schemas.RAW_POSTING.names
+
+
+def written(values, names=NAMES, end="\r\n"):
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator=end)
+    writer.writerows([names, *values])
+    return out.getvalue().encode()
+
+
+def in_members(raw, rng, size=300):
+    """Gzip members that end anywhere, also inside a record, inside quotes and between the bytes of a letter."""
+    cuts = sorted({0, len(raw), *(rng.randrange(len(raw)) for _ in range(len(raw) // size))})
+    return b"".join(gzip.compress(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def made_up(rng, n):
+    texts = ['say "hi", you', "two\nlines", "three\r\n\nlines", "äé漢😀", '"', '""\n"', "plain", "", ",", "x" * 500, "a\n" * 90]
+    return [(i, *(rng.choice(texts) for _ in NAMES[1:])) for i in range(n)]
+
+
+def by_csv(raw):
+    return [r for r in csv.reader(io.StringIO(raw.decode(), newline=""))][1:]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_records_of_ranges_are_those_of_the_whole(seed, tmp_path, monkeypatch):
+    rng = random.Random(seed)
+    raw = written(made_up(rng, 60), end="\n")
+    raw = raw.rstrip(b"\r\n") if seed % 3 == 0 else raw
+    path = tmp_path / "t.gz"
+    path.write_bytes(in_members(raw, rng, rng.choice([50, 400, 5000])) + b"\0" * (seed % 2) * 100)
+    size = path.stat().st_size
+    step = rng.choice([64, 500, 3000, size])
+    monkeypatch.setattr(members, "READ", rng.choice([100, 1 << 20]))
+    import pyarrow as pa
+
+    ranges = pa.RecordBatch.from_pylist([{"file": str(path), "part": i, "start": a, "end": min(a + step, size)} for i, a in enumerate(range(0, size, step))])
+    counted = [r for b in members._count(iter([ranges])) for r in b.to_pylist()]
+    todo = members._chained(counted)
+    assert len(todo) > 3 or step == size or size < 4 * step
+    found = []
+    for row in todo:
+        one = pa.RecordBatch.from_pylist([dict(zip(("file", "first", "bytes", "odd", "header"), row, strict=True))])
+        found += [r["record"] for b in members._split(iter([one])) for r in b.to_pylist()]
+    assert [next(csv.reader(io.StringIO(r, newline=""))) for r in found] == by_csv(raw)
+
+
+def test_what_looks_like_a_member_is_none(tmp_path):
+    """Magic bytes inside a member, stored without compression, are tried and found wanting; else the chain shows it."""
+    raw = b"id\n" + b"".join(b"%d\n" % i + gzip.compress(b"inner")[:12].replace(b"\n", b"") + b"\n" for i in range(50))
+    path = tmp_path / "t.gz"
+    path.write_bytes(gzip.compress(raw, 0))
+    with open(path, "rb") as file:
+        assert members.first_member(file, 0, 10) == 0
+    inner = gzip.compress(b"whole inner member, decodes by itself" * 3)
+    path.write_bytes(gzip.compress(b"id\n" + inner + b"\n" + bytes(50_000), 0))
+    size, at = path.stat().st_size, path.read_bytes().index(inner)
+    rows_of = [dict(file=str(path), part=i, first=f, next=n, quotes=0, bytes=9) for i, (f, n) in enumerate([(0, None), (at, None)])]
+    assert members._chained(rows_of) == [(str(path), 0, 1 << 62, False, True)]
+    assert size > at
+
+
+def test_cut_off_files_raise(tmp_path):
+    path = tmp_path / "t.gz"
+    path.write_bytes(gzip.compress(b"id\n1\n" * 1000)[:-20])
+    with open(path, "rb") as file, pytest.raises(EOFError):
+        list(members.decoded(file, 0))
+    with pytest.raises(ValueError, match="does not begin"):
+        members._chained([dict(file="f", part=0, first=None, next=None, quotes=0, bytes=0)])
+
+
+def test_one_file_of_many_members_is_several_tasks(spark, tmp_path):
+    rng = random.Random(3)
+    (tmp_path / "raw/2020/2020-01").mkdir(parents=True)
+    big, small = tmp_path / "raw/2020/2020-01/big.csv.gz", tmp_path / "raw/2020/2020-01/one member.csv.gz"
+    values = made_up(rng, 400)
+    big.write_bytes(in_members(written(values), rng, 2000))
+    other = [NAMES[0], *reversed(NAMES[1:]), "more"]
+    small.write_bytes(gzip.compress(written([(1000 + i, *(["v"] * len(NAMES))) for i in range(20)], other)))
+    found = read_raw_postings(spark, f"{tmp_path}/raw", split_members=2000)
+    assert rows(found.drop("filename")) == rows(read_raw_postings(spark, f"{tmp_path}/raw").drop("filename"))
+    assert found.select("filename").distinct().count() == 2
+    assert rows(found) == rows(read_raw_postings(spark, f"{tmp_path}/raw", split_members=True))
+    tasks = members.member_records(spark, [f"file://{big}"], 2000)
+    assert tasks.rdd.getNumPartitions() > 4
+    assert members.member_records(spark, [f"file://{small}"]).rdd.getNumPartitions() == 1
+    ingest_postings(spark, f"{tmp_path}/raw", f"{tmp_path}/out", split_members=True)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 420
+
+
+def test_very_many_files_are_looked_at_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(peek, "FEW", 2)
+    monkeypatch.setattr(peek, "FILES_A_TASK", 2)
+    folder = tmp_path / "2010/parquet"
+    for i in range(4):
+        kind = "double" if i % 2 else "bigint"
+        spark.createDataFrame([(i, "a")], "id int, skills_name string").selectExpr(f"CAST(id AS {kind}) AS id", "skills_name").coalesce(1).write.mode("append").parquet(str(folder))
+    (tmp_path / "csv").mkdir()
+    for i, (name, text) in enumerate([("a.csv", b"x,y\n1,2\n"), ("b c.csv", b"y,x\r\n1,2\r\n"), ("d.csv.gz", gzip.compress(b"x,y\n5,6\n")), ("e.csv", b""), ("f.csv", "﻿x,y\n7,8".encode())]):
+        (tmp_path / "csv" / name).write_bytes(text)
+    expected = rows(ws.read_postings(spark, str(tmp_path))), rows(ws.read_profiles_csv(spark, f"{tmp_path}/csv/*"), "x", "y")
+    assert len(expected[0]) == 4 and expected[1] == [("1", "2"), ("2", "1"), ("5", "6"), ("7", "8")]
+
+    def never(*_):
+        raise AssertionError("the driver opened a footer")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(read, "_footer", never)
+        assert rows(ws.read_postings(spark, str(tmp_path))) == expected[0]
+    # Files that tasks cannot open are left to the driver.
+    monkeypatch.setattr(peek, "_SCHEMES", {})
+    assert peek.shapes(spark, ["hdfs://nowhere/a", "viewfs://store/b", "file:///none"], peek.first_line) == {}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from workforce_signals.sources import schemas
-from workforce_signals.sources.read import conform, csv_parts
+from workforce_signals.sources.read import conform, csv_parts, member_parts
 
 # Texts that stand for a missing value in raw extracts.
 MISSING_TEXTS = (
@@ -43,10 +43,10 @@ def _present(column: Column, missing: Iterable[str]) -> Column:
     return F.when(~column.isin(list(missing)), column)
 
 
-def _clean(df: DataFrame, missing: Iterable[str]) -> DataFrame:
+def _clean(df: DataFrame, missing: Iterable[str], file: Column | None = None) -> DataFrame:
     return df.select(
         *(_present(F.col(f"`{c}`"), missing).alias(c) for c in df.columns),
-        F.col("_metadata.file_path").alias("filename"),
+        (F.col("_metadata.file_path") if file is None else file).alias("filename"),
     )
 
 
@@ -58,15 +58,23 @@ def read_raw_postings(
     schema: StructType = schemas.RAW_POSTING,
     missing: Iterable[str] = MISSING_TEXTS,
     same_headers: bool = False,
+    split_members: bool | int = False,
 ) -> DataFrame:
     """The kept columns of all extracts ``root/{year}/{month}/*.csv.gz``.
 
     Adds ``year`` and ``month`` (the folder names) and ``filename``. Extracts need not agree on
     the order of their columns, but each must have all the kept ones. ``same_headers`` states that
     those of one month agree, so that planning opens one file a month; one that differs raises.
+    ``split_members`` lets several tasks read a file that is made of many gzip members, see ``members``; a number is
+    the compressed bytes that a task takes.
     """
     folder = "[0-9][0-9][0-9][0-9]" if years is None else "{" + ",".join(str(y) for y in years) + "}"
-    parts = csv_parts(spark, f"{root}/{folder}/*/*.csv.gz", same_headers=same_headers)
+    pattern = f"{root}/{folder}/*/*.csv.gz"
+    if split_members:
+        size = None if split_members is True else split_members
+        parts = member_parts(spark, pattern, same_headers=same_headers, range_bytes=size)
+    else:
+        parts = csv_parts(spark, pattern, same_headers=same_headers)
     for part in parts:
         lacking = [c for c in schema.names if c not in part.columns]
         if lacking:
@@ -75,7 +83,11 @@ def read_raw_postings(
     table = reduce(
         DataFrame.unionByName,
         [
-            conform(_clean(p.select(*schema.names), missing), schema, keep=keep)
+            conform(
+                _clean(p.select(*schema.names, "_file"), missing, F.col("_file")) if split_members else _clean(p.select(*schema.names), missing),
+                schema,
+                keep=keep,
+            )
             for p in parts
         ],
     )
@@ -94,13 +106,15 @@ def ingest_postings(
     *,
     missing: Iterable[str] = MISSING_TEXTS,
     same_headers: bool = False,
+    split_members: bool | int = False,
 ) -> None:
     """Prune all extracts to the kept columns and write them partitioned by year and month.
 
-    One pass without a shuffle: gzip files cannot be split, so each is one task, and each lies in
+    One pass without a shuffle: a gzip file of one member cannot be split, so each is one task, and each lies in
     one month, so each task writes to one partition. Months present replace their former content.
+    ``split_members`` reads files of many members by several tasks, in two passes.
     """
-    table = read_raw_postings(spark, root, years, missing=missing, same_headers=same_headers).drop("filename")
+    table = read_raw_postings(spark, root, years, missing=missing, same_headers=same_headers, split_members=split_members).drop("filename")
     _write_months(table, dst)
 
 

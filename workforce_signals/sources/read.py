@@ -26,6 +26,8 @@ from pyspark.sql.types import (
 
 from workforce_signals.functions.text import double_text, nan_to_null, whole_number
 from workforce_signals.sources import schemas
+from workforce_signals.sources.members import member_records
+from workforce_signals.sources.peek import first_line, parquet_shape, shapes
 from workforce_signals.sources.workbook import read_workbook, workbook_parts
 
 # Quotes are doubled inside quoted values, and quoted values may hold line breaks.
@@ -90,14 +92,19 @@ def _cast(source: StructField, target: DataType) -> Column:
     return column.cast(target)
 
 
-def _grouped(files: list[str], shape_of: Callable[[str], str]) -> dict[str, list[str]]:
-    """Group files by their shape. Only file headers are looked at."""
+def _grouped(
+    spark: SparkSession, files: list[str], look: Callable[[str], str], shape_of: Callable[[SparkSession, str], str]
+) -> list[list[str]]:
+    """Group files by their shape. Only file headers are looked at: very many by tasks with ``look``, the rest, and what tasks cannot
+    open, by the driver with ``shape_of``."""
+    found = shapes(spark, files, look)
+    rest = [f for f in files if f not in found]
     with ThreadPoolExecutor(_PEEK_THREADS) as pool:
-        shapes = list(pool.map(shape_of, files))
-    groups: dict[str, list[str]] = {}
-    for file, shape in zip(files, shapes, strict=True):
-        groups.setdefault(shape, []).append(file)
-    return groups
+        mine = dict(zip(rest, pool.map(lambda f: shape_of(spark, f), rest), strict=True))
+    groups: dict[tuple[bool, str], list[str]] = {}
+    for file in files:
+        groups.setdefault((file in found, found.get(file, mine.get(file, ""))), []).append(file)
+    return list(groups.values())
 
 
 def _footer(spark: SparkSession, file: str) -> str:
@@ -114,16 +121,16 @@ def _footer(spark: SparkSession, file: str) -> str:
 def parquet_parts(spark: SparkSession, pattern: str) -> list[DataFrame]:
     """Parquet files as one scan, or as one scan per schema where column types disagree.
 
-    Where they disagree, footers are read side by side without Spark jobs, so planning takes a
-    fixed number of jobs and one more for each distinct schema, however many files there are.
+    Where they disagree, footers are read by one Spark job, those of a few files by the driver, so planning
+    takes a fixed number of jobs and one more for each distinct schema, however many files there are.
     """
     try:
         return [spark.read.option("mergeSchema", True).parquet(pattern)]
     except (PySparkException, Py4JJavaError) as error:
         if "CANNOT_MERGE_SCHEMAS" not in str(error):
             raise
-    groups = _grouped(require_input(spark, pattern), lambda f: _footer(spark, f))
-    return [spark.read.parquet(*group) for group in groups.values()]
+    groups = _grouped(spark, require_input(spark, pattern), parquet_shape, _footer)
+    return [spark.read.parquet(*group) for group in groups]
 
 
 def _first_line(spark: SparkSession, file: str) -> str:
@@ -145,13 +152,11 @@ def _csv_groups(spark: SparkSession, pattern: str, same_headers: bool = False) -
     folders: dict[str, list[str]] = {}
     for file in files:
         folders.setdefault(file.rsplit("/", 1)[0] if same_headers else file, []).append(file)
-    first = _grouped([group[0] for group in folders.values()], lambda f: _first_line(spark, f))
     of_file = {group[0]: group for group in folders.values()}
-    groups = {header: [f for one in ones for f in of_file[one]] for header, ones in first.items()}
-    for header, files in groups.items():
-        names = next(csv.reader([header.removeprefix("\ufeff")]), [])
+    for ones in _grouped(spark, list(of_file), first_line, _first_line):
+        names = next(csv.reader([_first_line(spark, ones[0]).removeprefix("\ufeff")]), [])
         if names:
-            found.append(([name or f"_c{i}" for i, name in enumerate(names)], files))
+            found.append(([name or f"_c{i}" for i, name in enumerate(names)], [f for one in ones for f in of_file[one]]))
     if not found:
         raise FileNotFoundError(f"only empty files at {pattern}")
     return found
@@ -172,6 +177,22 @@ def csv_parts(
     ]
 
 
+def member_parts(
+    spark: SparkSession, pattern: str, *, same_headers: bool = False, range_bytes: int | None = None
+) -> list[DataFrame]:
+    """``csv_parts`` of gzip files, of which large ones made of many members are read by several tasks.
+
+    Each table has a further column ``_file``. With ``same_headers`` headers that differ are not noticed.
+    """
+    options = {k: str(v) for k, v in CSV_OPTIONS.items() if k not in ("header", "multiLine")}
+    parts = []
+    for names, files in _csv_groups(spark, pattern, same_headers):
+        schema = StructType([StructField(n, StringType()) for n in names])
+        row = F.from_csv("record", schema.toDDL(), options).alias("row")
+        parts.append(member_records(spark, files, range_bytes).select(F.col("filename").alias("_file"), row).select("row.*", "_file"))
+    return parts
+
+
 def _united(parts: list[DataFrame]) -> DataFrame:
     """Tables one below the other by column name; columns a table lacks are NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
