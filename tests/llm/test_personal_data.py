@@ -82,8 +82,8 @@ def field():
     texts += [f"the year {1900 + i} saw {i} of 10.0.{i}.7 and 2020-05-{10 + i % 20}, version 1.{i}.3" for i in range(100)]
     graphs = []
     for t in texts:
-        g = pd.graph(t)
-        graphs.append((g.features, pd.labels_of(g, pd.base_spans(t)), pd._pairs(g.chain), pd._pairs(g.skip)))
+        g, y = pd.taught(t)
+        graphs.append((g.features, y, pd._pairs(g.chain), pd._pairs(g.skip)))
     return pd.fit_field(graphs)
 
 
@@ -101,6 +101,68 @@ def test_the_field_adds_repeats_and_leaves_clean_texts_alone(field):
         assert added(clean, field) == []
 
 
+def repeats(text, spans):
+    """What a reader would mark: every other mention of a phone or card number without its first part."""
+    rests = {(kind, pd.second_mention(text[a:b], kind)) for a, kind, b in spans}
+    found = {(m.start(), kind, m.end()) for kind, rest in rests if rest for m in re.finditer(re.escape(rest), text)}
+    return {f for f in found if not any(a <= f[0] < b for a, _, b in spans)}
+
+
+def with_repeats():
+    out = []
+    for i in range(120):
+        number = f"+{1 + i % 40} (7{i % 10}3) 555-{3000 + 7 * i}"
+        rest, other = number.split(" ", 1)[1], f"(7{(i + 5) % 10}1) 554-{2000 + 3 * i}"
+        out.append(f"Write to us or call {number} now. " + "Many calm words follow it here. " * (i % 9) + f"Again, that is {rest} as before, and {other} is a part.")
+    return out
+
+
+def test_without_skip_potentials_results_are_worse(spark, field):
+    """Repeats are found through their links and look-alikes are not; without the skip weights nothing is added."""
+    alone = pd.Field(field.unary, field.chain, np.zeros_like(field.skip))
+    found = {name: [0, 0, 0] for name in ("field", "alone")}
+    for text in with_repeats():
+        base = pd.base_spans(text)
+        true = repeats(text, base) - {(a, k, b) for a, k, b in base}
+        for name, model in (("field", field), ("alone", alone)):
+            got = set(pd.all_spans(text, base, model)) - set(base)
+            hits = {t for t in true if any(k == t[1] and a <= t[0] + 1 and b >= t[2] - 1 for a, k, b in got)}
+            found[name] = [n + m for n, m in zip(found[name], (len(hits), len(true), len(got) - len(hits)), strict=True)]
+    hits, true, wrong = found["field"]
+    assert true == 120
+    assert hits >= 0.95 * true and wrong <= 0.02 * true
+    assert found["alone"][0] < 0.5 * true
+
+
+def test_the_query_adds_repeats_planted_in_the_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    planted = [(10**6 + i, text, "en", "planted", len(text)) for i, text in enumerate(with_repeats()[:40])]
+    both = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    rows = pd.find(both, pd.train(both)).collect()
+    extra = {r["doc_id"] for r in rows if r["spans"] != r["base_spans"]}
+    assert len(extra & {p[0] for p in planted}) >= 36
+    before = {r["doc_id"]: r["base_spans"] for r in pd.find(docs, None).collect()}
+    assert all(r["base_spans"] == before[r["doc_id"]] for r in rows if r["doc_id"] in before)
+
+
+def test_evidence_is_kept():
+    dice = np.random.default_rng(5)
+    field = pd.Field(dice.normal(size=(3, pd.LABELS)), dice.normal(size=(pd.LABELS, pd.LABELS)), np.zeros((pd.LABELS, pd.LABELS)))
+    known = np.array([0, 2, 0])
+    p = pd.marginals(field, dice.normal(size=(3, 3)), pd._pairs([(0, 1), (1, 2)]), pd._pairs([]), known)
+    assert p[1, 2] > 0.999 and np.allclose(p.sum(axis=1), 1)
+
+
+def test_second_mentions():
+    assert pd.second_mention("+1 (743) 555-3824", 3) == "(743) 555-3824" and pd.second_mention("+17435553824", 3) == "35553824"
+    assert pd.second_mention("4111 1111 1111 1111", 2) == "111 1111 1111 1111"
+    assert pd.second_mention("a@b.c", 0) is None and pd.second_mention("10.0.0.1", 1) is None and pd.second_mention("+12 34567 890", 3) == "34567 890"
+    g, y = pd.taught("call +1 (743) 555-3824 now")
+    assert y.tolist() == [4, 4, 0, 0, 4, 4, 4]
+    g, y = pd.taught("call +1 (743) 555-3824 or 555-3824 at 5")
+    assert y.tolist() == [4, 4, 0, 0, 4, 4, 4, pd.UNKNOWN, 0]
+
+
 def test_skip_pairs_link_what_is_alike():
     g = pd.graph("555-1234567 then 12 then 5551234567 and 12")
     assert set(g.skip) == {(0, 2), (1, 3)}

@@ -4,7 +4,12 @@ Patterns give the base spans. The field then labels the tokens that hold a digit
 personal data of these kinds, which keeps their label fixed). Neighbouring tokens share a chain potential, and tokens
 of one document that repeat each other, or end in the same digits, share a skip potential however far apart they are.
 Loopy message passing brings the labels of a document into line, so that a number that stands once with its country code and
-once without is found both times. The weights are learned from the base spans by pseudo-likelihood.
+once without is found both times: tokens of base spans are evidence, whose label is fixed and passed on.
+
+The weights are learned by pseudo-likelihood from texts with their base spans. What the patterns need is held out there: every text
+gets second mentions of its numbers without the country code or the first digit, which have the label of the number, and
+other numbers of the same form, which have none. So it takes a repeat, and not the form alone, to make a label likely. Repeats that
+a text has by itself teach nothing, since their label is not known.
 """
 
 from __future__ import annotations
@@ -36,6 +41,10 @@ STEPS, RATE, DECAY = 200, 0.5, 1e-3
 # Rounds of message passing, damping, and the certainty from which a label counts.
 ROUNDS, DAMPING, CERTAIN = 12, 0.3, 0.9
 LABELS = 1 + len(KINDS)
+# Numbers of a text that get a second mention in training, and the log-odds of a base span's label.
+MENTIONED, EVIDENCE = 16, 30.0
+# The label of tokens that teach nothing.
+UNKNOWN = -1
 # Digits that tokens which are alike end in.
 ALIKE = 7
 
@@ -197,13 +206,16 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def fit_field(graphs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Field | None:
     """Weights that make every token's label likely given its features and its neighbours' labels.
 
-    ``graphs``: features, labels, chain pairs, skip pairs. None without tokens.
+    ``graphs``: features, labels, chain pairs, skip pairs. Tokens labelled UNKNOWN teach nothing, nor do pairs with them. None without
+    tokens.
     """
     if not graphs or not sum(len(g[1]) for g in graphs):
         return None
     offsets = np.cumsum([0, *(len(g[1]) for g in graphs)])
     x, y = np.concatenate([g[0] for g in graphs]).astype(np.float64), np.concatenate([g[1] for g in graphs])
     pairs = [np.concatenate([g[k].reshape(-1, 2) + o for g, o in zip(graphs, offsets, strict=False)]).astype(np.int64) for k in (2, 3)]
+    known = y != UNKNOWN
+    pairs, y = [p[known[p].all(axis=1)] for p in pairs], np.maximum(y, 0)
     n, one = len(y), np.eye(LABELS)
     unary, tables = np.zeros((x.shape[1], LABELS)), [np.zeros((LABELS, LABELS)) for _ in pairs]
     first, second = [np.zeros_like(unary), *map(np.zeros_like, tables)], [np.zeros_like(unary), *map(np.zeros_like, tables)]
@@ -212,7 +224,7 @@ def fit_field(graphs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         for (i, j), t in zip((p.T for p in pairs), tables, strict=True):
             np.add.at(score, i, t[:, y[j]].T)
             np.add.at(score, j, t[y[i], :])
-        miss = one[y] - _softmax(score)
+        miss = (one[y] - _softmax(score)) * known[:, None]
         slopes = [x.T @ miss / n - DECAY * unary]
         for (i, j), t in zip((p.T for p in pairs), tables, strict=True):
             g = np.zeros_like(t)
@@ -227,9 +239,14 @@ def fit_field(graphs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return Field(unary, tables[0], (tables[1] + tables[1].T) / 2)
 
 
-def marginals(field: Field, features: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    """Label probabilities of every token by loopy message passing over chain and skip pairs."""
+def marginals(field: Field, features: np.ndarray, chain: np.ndarray, skip: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """Label probabilities of every token by loopy message passing over chain and skip pairs. ``known``: labels that are evidence,
+    where not 0."""
     own = features @ field.unary
+    if known is not None:
+        given = np.flatnonzero(known)
+        own[given] = 0.0
+        own[given, known[given]] = EVIDENCE
     i = np.concatenate((chain[:, 0], skip[:, 0])).astype(np.int64)
     j = np.concatenate((chain[:, 1], skip[:, 1])).astype(np.int64)
     if not len(i):
@@ -290,9 +307,12 @@ def all_spans(text: str, base: list[Span], field: Field | None) -> list[Span]:
     g = graph(text)
     if not g.starts:
         return base
-    p = marginals(field, g.features, _pairs(g.chain), _pairs(g.skip))
+    known = labels_of(g, base)
+    if not known.any():
+        return base  # nothing is certain, so there is nothing to pass on
+    p = marginals(field, g.features, _pairs(g.chain), _pairs(g.skip), known)
     label = np.where(p.max(axis=1) >= CERTAIN, p.argmax(axis=1), 0)
-    label[labels_of(g, base) > 0] = 0
+    label[known > 0] = 0
     added = []
     for kind, a, b in _runs(label, g):
         inner = text[a:b].strip(_EDGES + ("()=" if kind < 3 else "="))
@@ -302,13 +322,39 @@ def all_spans(text: str, base: list[Span], field: Field | None) -> list[Span]:
     return sorted({*base, *added})
 
 
+_CODE = re.compile(r"\+[0-9]{1,3}[ .-]*")
+_OTHER = str.maketrans("0123456789", "1234567890")
+
+
+def second_mention(text: str, kind: int) -> str | None:
+    """A card or phone number without what its pattern goes by; None for other kinds and where too little would be left."""
+    rest = text[1:].lstrip(" -") if kind == 2 else _CODE.sub("", text, count=1) if kind == 3 else ""
+    return rest if rest and _admissible(kind, rest) and not base_spans(rest) else None
+
+
+def taught(text: str) -> tuple[Graph, np.ndarray]:
+    """A training text with second mentions of its numbers, and other numbers of their form, before it; and its labels."""
+    base, before, marks = base_spans(text), "", []
+    for a, kind, b in base[:MENTIONED]:
+        rest = second_mention(text[a:b], kind)
+        if rest is not None:
+            marks.append((len(before) + len("also "), kind, len(before) + len("also ") + len(rest)))
+            before += f"also {rest} and {rest.translate(_OTHER)} "
+    g = graph(before + text)
+    y = labels_of(g, sorted([*marks, *((a + len(before), kind, b + len(before)) for a, kind, b in base)]))
+    own = np.array(g.starts, np.int64) >= len(before)
+    unsure = {k for i, j in g.skip for k, other in ((i, j), (j, i)) if own[k] and y[k] == 0 and y[other] > 0}
+    y[list(unsure)] = UNKNOWN
+    return g, y
+
+
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text in strings(batch.column("_text")):
-            g = graph(text)
+            g, y = taught(text)
             if g.starts:
-                y = labels_of(g, base_spans(text))[:SAMPLE_TOKENS]
+                y = y[:SAMPLE_TOKENS]
                 chain, skip = (_pairs([p for p in pairs if max(p) < SAMPLE_TOKENS]) for pairs in (g.chain, g.skip))
                 rows.append((g.features[:SAMPLE_TOKENS].tobytes(), y.astype(np.int8).tobytes(), chain.tobytes(), skip.tobytes()))
         yield pa.record_batch([pa.array([r[k] for r in rows], pa.binary()) for k in range(4)], names=["x", "y", "chain", "skip"])
