@@ -24,6 +24,14 @@ def test_one_frequent_id_and_equal_rows_are_split(spark):
     assert sum(v[0] for v in sums.values()) == sum(len(t) for _, t in rows)
 
 
+def test_very_many_equal_rows_are_numbered_by_task(spark):
+    rows = spark.range(0, 4000, 1, 7).selectExpr("CASE WHEN id < 3000 THEN 1 ELSE id END AS doc_id", "repeat('x', 10) AS text")
+    found = sharding.assign_shards(rows, 1000)
+    shards = {r["shard"]: r["n"] for r in found.where("doc_id = 1").groupBy("shard").count().withColumnRenamed("count", "n").collect()}
+    assert sum(shards.values()) == 3000 and len(shards) == 30 and set(shards.values()) == {100}
+    assert found.count() == 4000 and found.where("shard_bytes > 1000").count() == 0
+
+
 def test_only_large_buckets_split(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', 10) AS text")
     shards = sharding.assign_shards(docs, 1000).select("shard", "depth", "shard_bytes").distinct().collect()

@@ -21,6 +21,8 @@ SHARD_BYTES = 1 << 20
 KEY_BITS, ALL_BITS = 60, 120
 # Bits by which a directory is longer than even shards would need, and by which the next one is longer still.
 SPARE, STEP = 4, 10
+# Lengths of prefixes that are summed up at once.
+LENGTHS = 6
 
 
 def _bits(value: Column) -> Column:
@@ -28,18 +30,39 @@ def _bits(value: Column) -> Column:
     return F.lpad(F.conv(digits, 16, 2), KEY_BITS, "0")
 
 
+def _sums(sizes: DataFrame, low: int, high: int) -> DataFrame:
+    """(depth, shard, shard_bytes, n) of the prefixes of every length from ``low`` to ``high``.
+
+    A few lengths at a time, from the longest on, and each time from the shortest sums before, so that the rows at work fall
+    from slots to a fraction of them.
+    """
+    below, out, top = sizes.select(F.col("slot").alias("shard"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("n")), None, high
+    while top >= low:
+        least = max(low, top - LENGTHS + 1)
+        every = below.withColumn("depth", F.explode(F.sequence(F.lit(least), F.lit(top))))
+        every = every.groupBy("depth", F.expr("substring(shard, 1, depth)").alias("shard"))
+        found = store(every.agg(F.sum("shard_bytes").alias("shard_bytes"), F.sum("n").alias("n")), "shard-sums").df
+        out = found if out is None else out.unionAll(found)
+        below, top = found.where(F.col("depth") == least).drop("depth"), least - 1
+    return out
+
+
 def _buckets(sizes: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     """Directory entries of length ``high``: (slot, shard, depth, shard_bytes); no shard where the bucket must split on.
 
-    ``sizes`` has (slot, bytes, rows). Prefixes of every length from ``low`` on are summed up from the slots, and a
-    slot belongs to the shortest that fits.
+    ``sizes`` has (slot, bytes, rows). A bucket is a prefix that fits while the one a bit shorter does not, and no prefix shorter
+    than ``low`` does.
     """
-    depth = F.explode(F.sequence(F.lit(low), F.lit(high)))
-    every = sizes.select("slot", "bytes", "rows", depth.alias("depth")).withColumn("shard", F.expr("substring(slot, 1, depth)"))
-    sums = every.groupBy("depth", "shard").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("n"))
-    fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("n") == 1)).select("depth", "shard", "shard_bytes")
-    best = every.join(fits, ["depth", "shard"]).groupBy("slot").agg(F.min(F.struct("depth", "shard", "shard_bytes")).alias("best"))
-    return sizes.select("slot").join(best, "slot", "left").select("slot", "best.shard", "best.depth", "best.shard_bytes")
+    fits = _sums(sizes, low, high).where((F.col("shard_bytes") <= limit) | (F.col("n") == 1)).drop("n")
+    above = fits.select((F.col("depth") + 1).alias("depth"), F.col("shard").alias("above"))
+    fits = fits.withColumn("above", F.expr("substring(shard, 1, depth - 1)"))
+    final = store(fits.join(above, ["depth", "above"], "left_anti").select("depth", "shard", "shard_bytes"), "shard-buckets").df
+    lengths = sorted(r["depth"] for r in final.select("depth").distinct().collect())  # ALL_BITS + 1 at most
+    if not lengths:
+        return sizes.select("slot", F.lit(None).cast("string").alias("shard"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("bigint").alias("shard_bytes"))
+    every = sizes.select("slot", F.explode(F.array(*map(F.lit, lengths))).alias("depth")).withColumn("shard", F.expr("substring(slot, 1, depth)"))
+    best = every.join(final, ["depth", "shard"])
+    return sizes.select("slot").join(best, "slot", "left").select("slot", "shard", "depth", "shard_bytes")
 
 
 def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,10 +102,20 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id"
 
 
 def _numbered(rows: DataFrame, limit: int) -> DataFrame:
-    """Equal rows: as many to a shard as fit, one at least."""
-    number = F.row_number().over(Window.partitionBy("bits").orderBy("bytes")) - 1
+    """Equal rows: as many to a shard as fit, one at least.
+
+    Rows are numbered within the task that has written them, and each task's rows follow those of the one before, so that no
+    task gets all rows of one kind.
+    """
+    rows = store(rows.withColumn("task", F.spark_partition_id()), "shard-equal").df
+    tasks = rows.groupBy("bits", "task").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("bits").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select("bits", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("bits", "task").orderBy("bytes")) - 1
+    numbered = rows.withColumn("inside", inside).join(tasks, ["bits", "task"])
     fit = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1))))
-    named = rows.select("doc_id", "bytes", F.concat_ws("#", "bits", F.floor(number / fit).cast("string")).alias("shard"))
+    place = F.floor((F.col("before") + F.col("inside")) / fit).cast("string")
+    named = store(numbered.select("doc_id", "bytes", F.concat_ws("#", "bits", place).alias("shard")), "shard-numbered").df
     sums = named.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"))
     return named.join(sums, "shard").select("doc_id", "shard", F.lit(ALL_BITS).alias("depth"), "shard_bytes")
 
