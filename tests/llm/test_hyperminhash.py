@@ -6,6 +6,7 @@ import pytest
 from compare import difference, duck
 from fixtures_llm import ODD, SF, by_id, needs_tables, no_documents, odd_documents
 
+from workforce_signals.llm import connect
 from workforce_signals.llm import hyperminhash as h
 from workforce_signals.llm.queries import op13_hyperminhash
 
@@ -74,13 +75,13 @@ def test_against_brute_force(spark, seed):
 
 
 def test_small_blocks_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(h, "BLOCK", 3)
+    monkeypatch.setattr(connect, "BLOCK", 3)
     texts = near_copies(3, groups=8, copies=40, sizes=(6, 20, 60))
     assert got(spark, texts) == brute_force(texts)
 
 
 def test_large_sets_make_more_tiles(spark, monkeypatch):
-    monkeypatch.setattr(h, "BLOCK_SHINGLES", 100)
+    monkeypatch.setattr(connect, "BLOCK_SHINGLES", 100)
     texts = near_copies(4, groups=4, copies=25, sizes=(60, 120))
     assert got(spark, texts) == brute_force(texts)
 
