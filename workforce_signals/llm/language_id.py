@@ -29,6 +29,8 @@ ROUNDS, SMOOTHING = 4, 0.05
 LONGEST = 40
 # Words kept with their scores in a worker; beyond it the cache starts anew.
 CACHED = 300_000
+# Bytes of text scored at once; new words are then looked up many at a time.
+CHUNK = 4 << 20
 UNKNOWN = "und"
 # Keeps products of many small probabilities within range: every letter counts this much more.
 _LIFT = 12.0
@@ -58,23 +60,29 @@ def _letters(word: str) -> list[str]:
 
 
 class Lattice:
-    """Finds the pieces inside words, by hashes of their letters, many words of one length at a time."""
+    """Finds the pieces inside words, by hashes of their letters, many words of one length at a time.
+
+    From every letter of the words the search goes on only as long as some piece begins with what it has read.
+    """
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
         self.longest = max(map(len, pieces), default=1)
+        beginnings = sorted({p[:n] for p in pieces for n in range(1, len(p) + 1)})
+        number = {p: i for i, p in enumerate(pieces)}
+        self.piece_of = np.array([*(number.get(b, len(pieces)) for b in beginnings), len(pieces)], np.int32)
         self.powers = np.full(LONGEST + 2, _BASE, np.uint64)
         self.powers[0] = 1
         self.powers = np.multiply.accumulate(self.powers)
         self.inverse = np.full(LONGEST + 2, pow(_BASE, -1, 1 << 64), np.uint64)
         self.inverse[0] = 1
         self.inverse = np.multiply.accumulate(self.inverse)
-        hashes = np.array([self._hash(p) for p in pieces], np.uint64)
+        hashes = np.array([self._hash(b) for b in beginnings], np.uint64)
         # Two tables of slots; what the first cannot place goes to the second, the rest is searched.
-        self.slots, left = [], np.arange(len(pieces))
+        self.slots, left = [], np.arange(len(beginnings))
         for shift in (44, 24):
             slot = ((hashes[left] >> np.uint64(shift)) & np.uint64((1 << 20) - 1)).astype(np.int64)
-            table = np.full(1 << 20, len(pieces), np.int32)
+            table = np.full(1 << 20, len(beginnings), np.int32)
             table[slot[::-1]] = left[::-1]
             self.slots.append((np.uint64(shift), table))
             left = left[table[slot] != left]
@@ -92,7 +100,11 @@ class Lattice:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of the piece with each hash, or the number of pieces if there is none."""
-        none = len(self.pieces)
+        return self.piece_of[self.beginning(hashes)]
+
+    def beginning(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of the beginning of a piece with each hash, or the number of beginnings if there is none."""
+        none = len(self.hashes) - 1
         out = np.full(len(hashes), none, np.int32)
         for shift, table in self.slots:
             got = table[((hashes >> shift) & np.uint64((1 << 20) - 1)).astype(np.int64)]
@@ -103,17 +115,25 @@ class Lattice:
         return out
 
     def arcs(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, rows, piece) for words of one length, ends ascending; letters without a piece count as unknown."""
+        """(start, end, rows, piece) for words of one length, starts ascending; letters without a piece count as unknown."""
         size = len(words[0]) + 1
         points = np.frombuffer("".join(_EDGE + w for w in words).encode("utf-32-le"), np.uint32).reshape(-1, size)
         total = self._prefix(points.astype(np.uint64))
-        for end in range(1, size + 1):
-            for length in range(1, min(end, self.longest) + 1):
-                a = end - length
-                found = self.find(mix((total[:, end] - total[:, a]) * self.inverse[a]))
-                rows = np.flatnonzero(found < len(self.pieces)) if length > 1 else np.arange(len(words))
-                if len(rows):
-                    yield a, end, rows, found[rows]
+        every, none = np.arange(len(words)), len(self.hashes) - 1
+        for a in range(size):
+            rows, before = every, total[:, a]
+            for end in range(a + 1, min(size, a + self.longest) + 1):
+                begun = self.beginning(mix((total[rows, end] - before[rows]) * self.inverse[a]))
+                piece, more = self.piece_of[begun], begun < none
+                if end == a + 1:
+                    yield a, end, rows, piece
+                else:
+                    whole = piece < len(self.pieces)
+                    if whole.any():
+                        yield a, end, rows[whole], piece[whole]
+                rows = rows[more]
+                if not len(rows):
+                    break
 
 
 def by_length(words: list[str], most: int = 5_000) -> Iterator[list[int]]:
@@ -247,7 +267,7 @@ def _predict(shared, mark: str):
             _scorers[mark] = Scorer(shared.value)
         scorer = _scorers[mark]
         for batch in batches:
-            for a, b, texts in text_chunks(batch.column("_text")):
+            for a, b, texts in text_chunks(batch.column("_text"), CHUNK):
                 names, share = scorer.texts(texts)
                 keys = batch.column("_id").slice(a, b - a)
                 yield pa.record_batch([keys, pa.array(names, pa.string()), pa.array(share)], names=["_id", "lang_pred", "score"])
