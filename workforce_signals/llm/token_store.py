@@ -58,7 +58,7 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(raw.decode())
+        self.raw, self.library = raw.decode(), None
         self.special = [t["content"] for t in json.loads(raw).get("added_tokens") or () if t["special"]]
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.encode_special_tokens = True
@@ -105,10 +105,12 @@ class Words:
 
         A special token that a text spells out is that token, as in the library, which encodes such texts itself.
         """
-        spelled = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        if spelled:
-            return self._with_special(texts, spelled, end_id)
-        joined = " ".join(texts).replace("\n", " ")
+        joined = " ".join(texts)
+        if any(s in joined for s in self.special):
+            spelled = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+            if spelled:
+                return self._with_special(texts, spelled, end_id)
+        joined = joined.replace("\n", " ")
         if not _COMPOSING.search(joined):
             joined = joined.lower()  # as the tokenizer does to these letters; fewer words are then distinct
         words = joined.split(" ")
@@ -122,6 +124,10 @@ class Words:
 
 
     def _with_special(self, texts: list[str], spelled: list[int], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.raw)
         whole = self.library.encode_batch_fast([texts[i] for i in spelled], add_special_tokens=False)
         ids, offsets = self.encode([t for i, t in enumerate(texts) if i not in set(spelled)], end_id)
         others = iter(np.split(ids, offsets[1:-1]) if len(offsets) > 1 else [])
