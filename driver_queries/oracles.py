@@ -292,4 +292,4 @@ def all_oracles() -> dict[str, str]:
 
 def over_stored_inputs() -> dict[str, str]:
     """The same statements for a database in which the input views already exist."""
-    return {query: _statement(select, frozenset(VIEWS)) for query, select in _SELECTS.items()}
+    return {query: _statement(select, frozenset(DUCK_VIEWS)) for query, select in _SELECTS.items()}

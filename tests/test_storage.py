@@ -181,3 +181,12 @@ def test_totals_of_counts_taken_before(spark):
     counts = spark.createDataFrame([("a", 2), ("b", 0), ("a", 3)], "filename string, nrows bigint")
     assert rows(ws.file_count_totals(counts, "All")) == [("All", 5), ("a", 5), ("b", 0)]
     assert rows(ws.file_count_totals(counts.limit(0), "All")) == []
+
+
+def test_stored_tables_are_measured_with_all_they_hold(spark):
+    rows_of = [(1, "abc", bytearray(1000), [1] * 50, ["ab"] * 10, {"k": "v" * 30}, (1, "z" * 40)), (None,) * 7]
+    schema = "a int, b string, c binary, d array<int>, e array<string>, f map<string,string>, g struct<x:int,y:string>"
+    found = ws.store(spark.createDataFrame(rows_of, schema), "measured")
+    overhead, fields = 2 * 32, 2 * 7 * 8
+    assert found.rows == 2 and found.nbytes == overhead + fields + 3 + 1000 + 400 + 10 * 10 + (8 + 9) + (8 + 38) + (8 + 8 + 40)
+    assert ws.store(spark.createDataFrame([], schema), "empty").nbytes == 0

@@ -12,8 +12,9 @@ import uuid
 from dataclasses import dataclass
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 # Largest table, uncompressed, that is sent to every executor. Beyond it the join shuffles.
 BROADCAST_BYTES = 128 * 1024 * 1024
@@ -70,15 +71,32 @@ class Stored:
         return F.broadcast(self.df) if self.is_small else self.df
 
 
+def _width(column: Column, kind: DataType) -> Column:
+    """Bytes that a value takes in memory: eight, and what texts, binary values, arrays, maps and structs hold besides."""
+    least = F.lit(8).cast("bigint")
+    if isinstance(kind, (StringType, BinaryType)):
+        more = F.octet_length(column).cast("bigint")
+    elif isinstance(kind, ArrayType) and isinstance(kind.elementType, (StringType, BinaryType, ArrayType, MapType, StructType)):
+        more = F.aggregate(column, F.lit(0).cast("bigint"), lambda total, x: total + _width(x, kind.elementType))
+    elif isinstance(kind, ArrayType):
+        more = 8 * F.size(column).cast("bigint")
+    elif isinstance(kind, MapType):
+        more = _width(F.map_keys(column), ArrayType(kind.keyType)) + _width(F.map_values(column), ArrayType(kind.valueType))
+    elif isinstance(kind, StructType):
+        more = sum((_width(column[f.name], f.dataType) for f in kind), F.lit(0).cast("bigint"))
+    else:
+        return least
+    return least + F.when(column.isNull(), F.lit(0).cast("bigint")).otherwise(more)
+
+
 def store(df: DataFrame | Stored, name: str) -> Stored:
     """Write ``df`` to the shared folder, measured by the write. A stored table is returned as it is."""
     if isinstance(df, Stored):
         return df
     spark, path, seen = df.sparkSession, new_path(df.sparkSession, name), Observation()
-    width = F.lit(_ROW_OVERHEAD + 8 * len(df.columns))
+    width = F.lit(_ROW_OVERHEAD).cast("bigint")
     for field in df.schema:
-        if field.dataType.typeName() == "string":
-            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+        width = width + _width(F.col(f"`{field.name}`"), field.dataType)
     size = F.count(F.lit(1)).alias("rows"), F.sum(width.cast("bigint")).alias("nbytes")
     df.observe(seen, *size).write.parquet(path)
     found = seen.get
