@@ -93,15 +93,16 @@ def _runs(texts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
 
 
 def first_hits(df: DataFrame, text: Column, index: GramIndex) -> DataFrame:
-    """(text_hash, text_check, text_bytes, hit_start, hit) of every distinct text that holds a keyword.
+    """(text_hash, text_check, text_bytes, hit_start, hit_bytes) of every distinct text that holds a keyword.
 
-    ``hit`` is the keyword that starts earliest, the shortest one on a tie; ``hit_start`` counts bytes from 0. Keywords match
+    The hit is the keyword that starts earliest, the shortest one on a tie; ``hit_start`` counts bytes from 0. Keywords match
     anywhere, also inside words.
     """
     texts = df.select(F.coalesce(text, F.lit("")).alias("text"))
     texts = texts.select(*text_key(F.col("text")), F.col("text").cast("binary").alias("raw"))
     if not index.sizes:
-        return texts.select(*_TEXT_KEY, F.lit(0).alias("hit_start"), F.lit("").alias("hit")).limit(0)
+        none = F.lit(0).cast("bigint")
+        return texts.select(*_TEXT_KEY, none.alias("hit_start"), none.alias("hit_bytes")).limit(0)
     runs, keywords = _runs(texts, index.sizes), index.table.for_join()
     if index.table.is_small:
         found, base = runs.join(keywords, "gram"), F.lit(0)
@@ -117,17 +118,20 @@ def first_hits(df: DataFrame, text: Column, index: GramIndex) -> DataFrame:
         found = rows.select(*_TEXT_KEY, "place", "gram", near.alias("raw")).join(keywords, "gram")
     start = F.col("place") - F.col("offset")
     same = F.col("raw").substr(start - base + 1, F.octet_length("keyword_raw")) == F.col("keyword_raw")
-    least = F.min(F.struct(start.alias("hit_start"), F.octet_length("keyword_raw").alias("n"), F.col("keyword").alias("hit"))).alias("least")
-    hits = found.where((start >= 0) & same).groupBy(*_TEXT_KEY).agg(least)
-    return hits.select(*_TEXT_KEY, "least.hit_start", "least.hit")
+    # Place and length as one number, whose least value is summed up without sorting.
+    unit = index.longest + 1
+    hits = found.where((start >= 0) & same).groupBy(*_TEXT_KEY).agg(F.min(start.cast("bigint") * unit + F.octet_length("keyword_raw")).alias("least"))
+    return hits.select(*_TEXT_KEY, F.floor(F.col("least") / unit).alias("hit_start"), F.pmod(F.col("least"), F.lit(unit)).alias("hit_bytes"))
 
 
 def with_first_hit(df: DataFrame, text: Column, index: GramIndex, hit: str, start: str | None = None) -> DataFrame:
     """``df`` with the first keyword of ``text`` as ``hit`` and, if asked for, the byte it starts at."""
     hits = first_hits(df, text, index)
     names = [f"_{name}" for name in _TEXT_KEY]
-    hits = hits.select(*(F.col(a).alias(b) for a, b in zip(_TEXT_KEY, names, strict=True)), F.col("hit").alias(hit), *([F.col("hit_start").alias(start)] if start else []))
+    hits = hits.toDF(*names, "_hit_start", "_hit_bytes")
     on = F.lit(True)
     for mine, other in zip(text_key(text), names, strict=True):
         on = on & (mine == F.col(other))
-    return df.join(hits, on, "left").drop(*names)
+    found = F.coalesce(text, F.lit("")).cast("binary").substr(F.col("_hit_start").cast("int") + 1, F.col("_hit_bytes").cast("int"))
+    places = [F.col("_hit_start").alias(start)] if start else []
+    return df.join(hits, on, "left").select(*(F.col(f"`{c}`") for c in df.columns), found.cast("string").alias(hit), *places)
