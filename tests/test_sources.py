@@ -172,6 +172,16 @@ def test_csv_folder_to_parquet(spark, tmp_path):
     assert rows(typed, "id", "company_name", "title_raw") == [(1, None, None), (2, "F", None), (3, "G", None)]
 
 
+def test_gzip_csv_folder_to_zstd_parquet(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.csv").write_text("id,company_name\n1,F\n")
+    with gzip.open(tmp_path / "src" / "b.csv.gz", "wt") as out:
+        out.write('id,company_name\n2,"G\nH"\n')
+    csv_to_parquet(spark, str(tmp_path / "src"), str(tmp_path / "dst"))
+    assert rows(spark.read.parquet(str(tmp_path / "dst"))) == [("1", "F"), ("2", "G\nH")]
+    assert all(f.endswith(".zstd.parquet") for f in ws.list_files(spark, str(tmp_path / "dst")))
+
+
 def extract(path, header, *lines):
     path.parent.mkdir(parents=True, exist_ok=True)
     with gzip.open(path, "wt") as out:

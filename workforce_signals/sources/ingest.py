@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructType
 
 from workforce_signals.sources import schemas
 from workforce_signals.sources.read import conform, csv_parts, member_parts
+from workforce_signals.sources.write import write_table
 
 # Texts that stand for a missing value in raw extracts.
 MISSING_TEXTS = (
@@ -180,15 +181,15 @@ def csv_to_parquet(
     missing: Iterable[str] = MISSING_TEXTS,
     multi_line: bool = True,
 ) -> None:
-    """Convert every CSV of a folder to Parquet, columns by name: as text, or as ``schema`` says.
+    """Convert every CSV of a folder, also gzip ones, to Parquet (ZSTD), columns by name: as text, or as ``schema`` says.
 
     ``multi_line=False`` lets Spark split large files whose values hold no line breaks.
     """
-    parts = [_clean(p, missing).drop("filename") for p in csv_parts(spark, f"{src}/*.csv", multi_line=multi_line)]
+    parts = [_clean(p, missing).drop("filename") for p in csv_parts(spark, f"{src}/*.{{csv,csv.gz}}", multi_line=multi_line)]
     if schema is None:
         names = list(dict.fromkeys(c for p in parts for c in p.columns))
         schema = StructType()
         for name in names:
             schema = schema.add(name, StringType())
     table = reduce(DataFrame.unionByName, [conform(p, schema) for p in parts])
-    table.write.mode("overwrite").parquet(dst)
+    write_table(table, dst)
