@@ -5,6 +5,7 @@ import os
 import pytest
 from conftest import plan
 
+import workforce_signals as ws
 from driver_queries import fixtures as fx
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -22,3 +23,13 @@ def test_only_small_tables_are_dealt_out(spark, monkeypatch, name):
     assert "RoundRobinPartitioning" in plan(fx._view(spark, SF_DIR, name))
     monkeypatch.setattr(fx, "_SMALL_BYTES", 0)
     assert "Exchange" not in plan(fx._view(spark, SF_DIR, name))
+
+
+def test_sample_csv_is_written_from_the_view_in_small_gzip_files(spark, monkeypatch):
+    monkeypatch.setattr(fx, "ROWS_PER_CSV", 500)
+    monkeypatch.setattr(fx, "_built", {})
+    files = ws.list_files(spark, fx.sample_csv(spark, SF_DIR))
+    assert all(f.endswith(".csv.gz") for f in files)
+    assert [name for _, _, name in fx._built] == ["sample"]  # no second copy of the texts as a stored table
+    per_file = [ws.read_profiles_csv(spark, f).count() for f in files]
+    assert max(per_file) <= 500 and sum(per_file) == fx.profiles(spark, SF_DIR).count()
