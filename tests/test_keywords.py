@@ -248,3 +248,17 @@ def test_older_sample_end_to_end(spark):
     texts = spark.createDataFrame([("2", "does ML")], "id string, description_raw string")
     split = ws.resume_measure(spark.createDataFrame(sample, schema), texts, ["ml"], as_of=2002, open_end="flag", names=names)
     assert rows(split) == [("F", 2001, 1, 1, 1.0), ("F", 2002, 1, 1, 1.0)]
+
+
+def test_filters_grow_with_the_list_and_pass_few_other_runs(spark, grams, no_broadcast):
+    sizes = gram_search._filter_sizes({5: 10, 8: 20_000_000})
+    assert sizes[8][1] * gram_search._PIECE_BITS >= 16 * 20_000_000
+    most = gram_search._filter_sizes({7: 10**9, 8: 10**10})
+    assert sum(pieces for _, pieces in most.values()) * gram_search._PIECE_BITS <= 8 * gram_search.BROADCAST_BYTES
+    index = gram_search.gram_index(spark.range(200_000).select(F.concat(F.lit("keyword "), "id").alias("skill")))
+    grams = index.table.df.select("gram", "gram_size").unionAll(spark.range(100_000).select(F.xxhash64("id"), F.lit(8)))
+    first, pieces = index.sizes[8]
+    marked = grams.withColumn("bucket", gram_search._bucket(F.col("gram"), F.lit(first), F.lit(pieces))).join(index.bloom.df, "bucket")
+    mask = gram_search._mask(F.col("gram"))
+    passed = marked.where(F.get("words", gram_search._word(F.col("gram"))).bitwiseAND(mask) == mask)
+    assert 200_000 <= passed.count() < 203_000
