@@ -1,7 +1,8 @@
 """The physical plans that large inputs depend on."""
 
 import pytest
-from conftest import plan
+from conftest import plan, rows
+from pyspark.sql import functions as F
 
 import workforce_signals as ws
 from workforce_signals.plans import stored
@@ -145,3 +146,22 @@ def test_an_id_with_a_third_of_all_rows_is_split(spark, tmp_path, no_broadcast):
             spark.conf.unset(key)
     assert len(found) == n and sum(r["employees"] for r in found) == n
     assert sum(r["ai_employees"] for r in found) == sum(1 for i in range(n) if (7 if i % 3 == 0 else i) % 2)
+
+
+def test_positions_and_their_keys_move_rows_by_ranges_only(spark, tmp_path):
+    from driver_queries.queries import _ordered
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(100).selectExpr("id % 7 AS k", "id", "repeat('text', 5) AS text")
+        ws.write_table(ws.order_output(df, "k", "id"), str(tmp_path / "t"))
+        text = plan(ws.with_position(spark.read.parquet(str(tmp_path / "t"))))
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+        ordered = _ordered(df, ("k", "-id"))
+        text = plan(ordered)
+        assert "rangepartitioning(k" in text and "hashpartitioning(k" not in text
+        assert len(rows(ordered)) == 100
+        first = {r["k"]: r["p"] for r in _ordered(df, ("k",)).groupBy("k").agg(F.count_distinct("position").alias("n"), F.min("position").alias("p")).where("n = 1").collect()}
+        assert first == {k: 1 + sum(i % 7 < k for i in range(100)) for k in range(7)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
