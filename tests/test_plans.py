@@ -165,3 +165,13 @@ def test_positions_and_their_keys_move_rows_by_ranges_only(spark, tmp_path):
         assert first == {k: 1 + sum(i % 7 < k for i in range(100)) for k in range(7)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_skills_of_repeated_ids_are_made_distinct_in_tasks_of_a_bounded_size(spark):
+    values = [(i // 2, 2010, "1", "F", "ai|x", "t") for i in range(20)]
+    jobs = spark.createDataFrame(values, POSTING)
+    text = plan(ws.job_scores(jobs, spark.createDataFrame([("ai", 1.0)], "skill string, ai_score double")))
+    before = text[text.index("REBALANCE_PARTITIONS_BY_NONE" if "REBALANCE_PARTITIONS_BY_NONE" in text else "REBALANCE_PARTITIONS") :]
+    assert "Generate explode" in before
+    kept = [line for line in text.split("\n") if "HashAggregate" in line and "functions=[]" in line]
+    assert len(kept) >= 2
