@@ -6,7 +6,7 @@ import pytest
 from compare import difference, duck
 from fixtures_llm import ODD, SF, by_id, needs_tables, no_documents, odd_documents
 
-from workforce_signals.llm import connect
+from workforce_signals.llm import components, connect
 from workforce_signals.llm import hyperminhash as h
 from workforce_signals.llm.queries import op13_hyperminhash
 
@@ -187,3 +187,15 @@ def test_whole_table(spark):
     assert difference(op13_hyperminhash(spark, SF), duck(SF), h.ORACLE_SQL) == ""
     texts = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert by_id(op13_hyperminhash(spark, SF), *COLUMNS) == brute_force(texts)
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    stored, real = [], components.store
+    monkeypatch.setattr(components, "store", lambda df, name: stored.append(name) or real(df, name))
+    stars = spark.createDataFrame([(5, 1), (7, 1), (1, 9), (4, 2), (3, 3)], "a bigint, b bigint")
+    assert sorted(map(tuple, components.components(stars).collect())) == [(4, 2), (5, 1), (7, 1), (9, 1)]
+    assert stored == ["links-0"]
+    stored.clear()
+    path = spark.createDataFrame([(1, 2), (2, 3), (5, 3), (5, 4)], "a bigint, b bigint")
+    assert sorted(map(tuple, components.components(path).collect())) == [(2, 1), (3, 1), (4, 1), (5, 1)]
+    assert components._are_stars(components.components(path).withColumnsRenamed({"node": "a", "root": "b"}))
