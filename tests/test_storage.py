@@ -1,6 +1,7 @@
 """Tables stored so that later reads skip, join without a shuffle, or take only differences."""
 
 import shutil
+import time
 
 import pytest
 from conftest import plan, rows
@@ -190,3 +191,17 @@ def test_stored_tables_are_measured_with_all_they_hold(spark):
     overhead, fields = 2 * 32, 2 * 7 * 8
     assert found.rows == 2 and found.nbytes == overhead + fields + 3 + 1000 + 400 + 10 * 10 + (8 + 9) + (8 + 38) + (8 + 8 + 40)
     assert ws.store(spark.createDataFrame([], schema), "empty").nbytes == 0
+
+
+def test_storing_leaves_no_shuffle_files(spark):
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for i in range(blocks.size()) if (name := blocks.apply(i).name()).startswith("shuffle_")}
+
+    before = shuffled()
+    found = ws.store(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert found.rows == 7 and not shuffled() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
