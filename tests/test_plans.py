@@ -175,3 +175,35 @@ def test_skills_of_repeated_ids_are_made_distinct_in_tasks_of_a_bounded_size(spa
     assert "Generate explode" in before
     kept = [line for line in text.split("\n") if "HashAggregate" in line and "functions=[]" in line]
     assert len(kept) >= 2
+
+
+def test_ordered_spell_years_send_a_text_once_a_spell(spark, monkeypatch):
+    from driver_queries import queries
+
+    written, write = [], ws.write_table
+
+    def seen(df, path, *more, **options):
+        written.append((path, plan(df)))
+        write(df, path, *more, **options)
+
+    monkeypatch.setattr(ws, "write_table", seen)
+    monkeypatch.setattr(queries, "_keywords", lambda spark, sf: spark.createDataFrame([("machine learning",)], "skill string"))
+    placed = queries.q_ordered_spell_years(spark, "/root/testdata/sf0.001")
+    sorted_write = next(text for path, text in written if "/ordered-" in path)
+    # The only ranges are those of spells, below the step that makes years of them; nothing meets again after that.
+    assert sorted_write.count("rangepartitioning(") == 1 and sorted_write.index("Generate explode") < sorted_write.index("Exchange")
+    assert "rangepartitioning(" not in plan(placed) and "hashpartitioning(id" not in plan(placed)
+
+
+def test_first_places_of_ranged_rows_are_those_of_all_their_key(spark):
+    from driver_queries.queries import _ordered, _ordered_in_ranges
+
+    values = [(None if i % 5 == 0 else f"p{i % 4}", None if i % 3 == 0 else f"t{i % 2}", 2000 + i % 2, f"x{i % 20}") for i in range(200)]
+    df = spark.createDataFrame(values, "id string, title_name string, year int, text string")
+    ranged = df.repartitionByRange(3, F.col("id").asc_nulls_last(), F.col("title_name").asc_nulls_last())
+    order = ("id", "title_name", "year")
+    got = _ordered_in_ranges(ranged, order)
+    assert got.columns == [*df.columns, "position"] and got.schema == _ordered(df, order).schema
+    places = sorted((r is None, r or "", t is None, t or "", y) for r, t, y, _ in values)
+    expected = sorted(((*v, 1 + places.index((v[0] is None, v[0] or "", v[1] is None, v[1] or "", v[2]))) for v in values), key=str)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == expected == sorted((tuple(r) for r in _ordered(df, order).collect()), key=str)
